@@ -33,9 +33,10 @@ _STROKES = str.maketrans(STROKES)
 HYPHENS = "-‐‑¬\xad"
 _DIVIDED = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\r?\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@+$](?=[^\W_])|\((?=[^\W\d_]{2})(?![^()]*\)))*|[@+](?=[^\W\d_]{2})(?:[^\W_]|[@+](?=[^\W_]))+")
-_ODD_INSIDE = re.compile(r"(?<=[^\W\d_]{2})[0156@+](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})\((?=[^\W\d_]{2})(?![^()\n]*\))|ſ")
+_ODD_INSIDE = re.compile(r"(?<![^\W_])[^\W\d_]?[a-zà-ÿ]+[0156@+ſ][a-zà-ÿ]{2,15}(?![^\W_])|(?<![^\W_])[^\W\d_]?[a-zà-ÿ]+\([a-zà-ÿ]{2,15}(?![^()\n]*\))(?![^\W_])")
 _PAGE = re.compile(r"^(?:[\W_]*(?:p|pg|page|pagina|página|pág)?\s*[.:]?\s*\d{1,4}\s*(?:(?:/|sur|of|de|\|)\s*\d{1,4})?[\W_]*|[\W_]*[ivxl]{1,6}[\W_]*)$", re.IGNORECASE)
-_BESIDE = re.compile(r"^\s*\d{1,4}(?:\s{2,}|\s*\|\s*)(?=\S)|(?<=\S)(?:\s{2,}|\s*\|\s*)\d{1,4}\s*$")
+_BESIDE = re.compile(r"^\s*\d{1,3}\s+(?:[—–|·-]\s*)?(?=[^\W\d])|(?<=[\w)])\s+(?:[—–|·-]\s*)?\d{1,3}\s*$")
+_SEPARATED = re.compile(r" [–—•/·] ")
 BITS = 23
 
 
@@ -205,10 +206,10 @@ def short_lines(texts: DataFrame, kind: str, longest: int = 64) -> DataFrame:
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for line in dict.fromkeys(text.split("\n")):
                     s = line.strip()
-                    if not 6 <= len(s) <= longest or s[-1] in ".;,:!?" or "\t" in s or " ; " in s or s.count(" | ") > 1 or is_page_number(s):
+                    if not 6 <= len(s) <= longest or s[-1] in ";,:!?" or (s[-1] == "." and not _SEPARATED.search(s)) or "\t" in s or " ; " in s or s.count(" | ") > 1 or is_page_number(s):
                         continue
                     t, b = _title_tokens(line.rstrip("\r"))
-                    if 2 <= len(t) <= 9 and not t[0] in ("-", "*", "–", "•", "—") and sum(len(x) > 2 for x in t) >= 1:
+                    if 2 <= len(t) <= 13 and not t[0] in ("-", "*", "–", "•", "—") and sum(len(x) > 2 for x in t) >= 1:
                         row.append(i)
                         lines.append(line)
                         tokens.append(t)
@@ -229,11 +230,13 @@ def running_titles(texts: DataFrame, kind: str, common: int = 8, scan_share: flo
     formed = at.groupBy("file", "title").agg(F.first("n").alias("n"), F.first("scans").alias("scans"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
     whole = F.regexp_replace(F.array_join("m", " "), r"\*( \*)+", "*")
     lead = F.when((F.col("m")[0] != "*") & (F.col("m")[1] != "*"), F.concat(F.col("m")[0], F.lit(" "), F.col("m")[1], F.lit(" …")))
-    shapes = formed.select("file", "title", "n", "scans", F.explode(F.array_compact(F.array(whole, lead))).alias("shape"))
+    mark = F.array_position(F.transform("m", lambda x: x.isin(*"–—•/·")), True)
+    rest = F.when((mark > 1) & (mark < F.size("m")), F.concat(F.lit("… "), F.regexp_replace(F.array_join(F.slice("m", mark, F.size("m")), " "), r"\*( \*)+", "*")))
+    shapes = formed.select("file", "title", "n", "scans", F.explode(F.array_distinct(F.array_compact(F.array(whole, lead, rest)))).alias("shape"))
     told = shapes.groupBy("shape").agg(
         F.countDistinct("file").alias("files"), (F.sum(F.col("scans") * F.col("n")) / F.sum("n")).alias("scans"), (F.countDistinct(F.when(F.col("n") >= 2, F.col("file"))) / F.countDistinct("file")).alias("again"),
     )
-    good = told.where((F.col("scans") >= scan_share) & (F.col("files") >= 3) & (F.col("again") >= again_share) & (F.col("shape") != "*"))
+    good = told.where((F.col("scans") >= scan_share) & (F.col("files") >= 3) & (F.col("again") >= again_share) & ~F.col("shape").rlike(r"^(… \S )?[*#]$"))
     by_shape = shapes.join(good.select("shape"), "shape").select("file", "title").distinct()
     by_file = titles.where((F.col("n") >= 3) & (F.col("scans") >= scan_share)).select("file", "title")
     found = by_shape.unionByName(by_file).distinct()
