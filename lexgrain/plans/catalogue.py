@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from lexgrain.plans import retrieval_queries, store_queries, text_queries
+
+MODULES = [text_queries, store_queries, retrieval_queries]
 
 
 def queries() -> dict:
