@@ -220,27 +220,58 @@ def short_lines(texts: DataFrame, kind: str, longest: int = 64) -> DataFrame:
     return texts.select("key", "file", "text", "scan").mapInArrow(cut, f"key {kind}, file string, scan boolean, line string, tokens array<string>, beside boolean")
 
 
+_MARKS = ("–", "—", "•", "/", "·")
+
+
+def _shapes(tokens: list[str], known: list[bool]) -> list[str]:
+    """The forms of a title with rare words masked: the whole, its first two words, what follows its separator."""
+    m = [t if k else "*" for t, k in zip(tokens, known)]
+    squeeze = lambda x: [t for i, t in enumerate(x) if t != "*" or i == 0 or x[i - 1] != "*"]
+    out = [" ".join(squeeze(m))]
+    if m[0] != "*" and m[1] != "*":
+        out.append(f"{m[0]} {m[1]} …")
+    at = next((i for i, t in enumerate(m) if t in _MARKS), 0)
+    if 0 < at < len(m) - 1:
+        out.append("… " + " ".join(squeeze(m[at:])))
+    return [x for x in dict.fromkeys(out) if not re.fullmatch(r"(?:… \S )?[*#]", x)]
+
+
 def running_titles(texts: DataFrame, kind: str, common: int = 8, scan_share: float = 0.7, again_share: float = 0.2) -> DataFrame:
-    """``key, line, beside``: the running titles standing in the texts. texts: ``key, file, text, scan``."""
-    lines = written(short_lines(texts, kind), "short-lines")
-    flat = lines.select("file", F.array_join("tokens", " ").alias("title"), "tokens", "scan", "key").distinct()
-    titles = flat.groupBy("file", "title").agg(F.count("*").alias("n"), F.avg(F.col("scan").cast("double")).alias("scans"), F.first("tokens").alias("tokens"))
-    token_files = titles.select("file", F.explode("tokens").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("files"))
-    at = titles.select("file", "title", "n", "scans", F.posexplode("tokens").alias("i", "t")).join(token_files, "t").withColumn("m", F.when(F.col("files") >= common, F.col("t")).otherwise("*"))
-    formed = at.groupBy("file", "title").agg(F.first("n").alias("n"), F.first("scans").alias("scans"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
-    whole = F.regexp_replace(F.array_join("m", " "), r"\*( \*)+", "*")
-    lead = F.when((F.col("m")[0] != "*") & (F.col("m")[1] != "*"), F.concat(F.col("m")[0], F.lit(" "), F.col("m")[1], F.lit(" …")))
-    mark = F.array_position(F.transform("m", lambda x: x.isin(*"–—•/·")), True)
-    rest = F.when((mark > 1) & (mark < F.size("m")), F.concat(F.lit("… "), F.regexp_replace(F.array_join(F.slice("m", mark, F.size("m")), " "), r"\*( \*)+", "*")))
-    shapes = formed.select("file", "title", "n", "scans", F.explode(F.array_distinct(F.array_compact(F.array(whole, lead, rest)))).alias("shape"))
-    told = shapes.groupBy("shape").agg(
-        F.countDistinct("file").alias("files"), (F.sum(F.col("scans") * F.col("n")) / F.sum("n")).alias("scans"), (F.countDistinct(F.when(F.col("n") >= 2, F.col("file"))) / F.countDistinct("file")).alias("again"),
-    )
-    good = told.where((F.col("scans") >= scan_share) & (F.col("files") >= 3) & (F.col("again") >= again_share) & ~F.col("shape").rlike(r"^(… \S )?[*#]$"))
-    by_shape = shapes.join(good.select("shape"), "shape").select("file", "title").distinct()
-    by_file = titles.where((F.col("n") >= 3) & (F.col("scans") >= scan_share)).select("file", "title")
-    found = by_shape.unionByName(by_file).distinct()
-    return lines.withColumn("title", F.array_join("tokens", " ")).join(found, ["file", "title"]).select("key", "line", "beside").distinct()
+    """``key, line, beside``: the running titles standing in the texts. texts: ``key, file, text, scan``.
+
+    Files, titles and shapes travel as 64-bit numbers.
+    """
+    spark = texts.sparkSession
+    same = F.xxhash64("file", F.array_join("tokens", " "))
+    lines = written(short_lines(texts, kind).withColumn("id", same).withColumn("f", F.xxhash64("file")).drop("file"), "short-lines")
+    each = lines.groupBy("id", "key").agg(F.first("f").alias("f"), F.first("tokens").alias("tokens"), F.max("scan").cast("double").alias("scan"))
+    once = each.groupBy("id").agg(F.first("f").alias("f"), F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.avg("scan").alias("scans"))
+    titles = written(once, "titles")
+    token_files = titles.select("f", F.explode("tokens").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("files")).where(F.col("files") >= common)
+    bits = spark.sparkContext.broadcast(_bitmap(token_files, "t"))
+
+    def shape(batches):
+        for batch in batches:
+            tokens = batch.column(2).to_pylist()
+            flat = [t for own in tokens for t in own]
+            at = _spots(_hash(flat)) if flat else np.empty(0, np.int64)
+            known = (((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) > 0).tolist()
+            row, out, k = [], [], 0
+            for i, own in enumerate(tokens):
+                s = _shapes(own, known[k : k + len(own)])
+                k += len(own)
+                row += [i] * len(s)
+                out += s
+            take = pa.array(row, pa.int64())
+            numbers = _hash(out).view(np.int64) if out else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), batch.column(4).take(take), pa.array(numbers)], names=["id", "f", "n", "scans", "shape"])
+
+    shapes = written(titles.select("id", "f", "tokens", "n", "scans").mapInArrow(shape, "id long, f long, n long, scans double, shape long"), "shapes")
+    by_file = shapes.groupBy("shape", "f").agg(F.sum("n").alias("n"), F.sum(F.col("scans") * F.col("n")).alias("s"), F.max("n").alias("most"))
+    told = by_file.groupBy("shape").agg(F.count("*").alias("files"), (F.sum("s") / F.sum("n")).alias("scans"), F.avg((F.col("most") >= 2).cast("double")).alias("again"))
+    good = told.where((F.col("scans") >= scan_share) & (F.col("files") >= 3) & (F.col("again") >= again_share))
+    found = shapes.join(good.select("shape"), "shape").select("id").unionByName(titles.where((F.col("n") >= 3) & (F.col("scans") >= scan_share)).select("id")).distinct()
+    return lines.select("id", "key", "line", "beside").join(found, "id").select("key", "line", "beside").distinct()
 
 
 def line_noise(texts: DataFrame, kind: str, titles: DataFrame) -> DataFrame:
