@@ -175,7 +175,8 @@ class Model:
         self.itself = {g: float(max(v, 1e-9)) for g, v in zip(symbols, q)}
         self.share = np.where(np.append(True, share[1:] >= 2e-5), share * alive, 0.0)
         self.marks = {g: np.array([CIPHERS[name].get(g, "") in MARKS for name in NAMES]) for g in symbols}
-        self.active = [name for name, v in zip(NAMES, self.share[1:]) if v > 0]
+        self.active_at = np.flatnonzero(self.share[1:] > 0)
+        self.active = [NAMES[i] for i in self.active_at]
 
     @staticmethod
     def _lend_to_capitals(model: np.ndarray) -> None:
@@ -205,6 +206,24 @@ class Model:
         """For each swap: how much better it explains the occurrence than the symbol itself does."""
         return np.array(self._swapped(g, left, right)) / (self.itself.get(g, 1e-7) * self._own(g, left, right))
 
+    def evidence(self, g: str, left: int, right: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each active swap: ln of its ratio, whether it explains the symbol at all, whether what it tells is only a mark.
+        Remembered, as symbols and neighbours are few."""
+        known = self.__dict__.setdefault("_known", {})
+        hit = known.get((g, left, right))
+        if hit is None:
+            if len(known) > 500_000:
+                known.clear()
+            at = self.active_at
+            r = self.ratios(g, left, right)[at]
+            inside = r >= 0.2
+            mark = self.marks[g][at] & (r < np.exp(9)) if g in self.marks else np.zeros(len(at), bool)
+            hit = known[g, left, right] = (np.log(np.where(inside, r, 1.0)), inside, mark)
+        return hit
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
     def doubtful(self) -> set[str]:
         return set().union(*(CIPHERS[name] for name in self.active)) if self.active else set()
 
@@ -235,23 +254,25 @@ def _field_chance(model: Model, share: np.ndarray, seen: list[tuple[str, int, in
     Only a stretch may be garbled: symbols that a swap explains badly count as standing outside it, at the price ``partly``. The same
     symbol between the same neighbours counts ``most`` times at most.
     """
-    gain, marks, outside = np.zeros(len(NAMES)), np.zeros(len(NAMES)), np.zeros(len(NAMES), bool)
+    n_active = len(model.active_at)
+    if not n_active:
+        return 0.0, -1
+    gain, marks, outside = np.zeros(n_active), np.zeros(n_active), np.zeros(n_active, bool)
     for g, left, right, n in seen:
-        r = model.ratios(g, left, right)
-        inside = r >= 0.2
-        told = min(n, most) * np.log(np.where(inside, r, 1.0))
-        mark = model.marks[g] & (r < np.exp(9)) if g in model.marks else np.zeros(len(NAMES), bool)
-        gain += np.where(mark, 0.0, told)
-        marks += np.where(mark, told, 0.0)
+        told, inside, mark = model.evidence(g, left, right)
+        told = told * min(n, most)
+        if mark.any():
+            gain += np.where(mark, 0.0, told)
+            marks += np.where(mark, told, 0.0)
+        else:
+            gain += told
         outside |= ~inside
     gain = gain + np.where(gain >= np.log(3), marks, 0.0)
-    best = np.log(np.maximum(share[1:], 1e-12)) + gain - partly * outside
-    best = np.where((model.share[1:] > 0) & (gain >= np.log(3)), best, -np.inf)
-    top = best.max()
-    if not np.isfinite(top):
+    best = np.where(gain >= np.log(3), np.log(np.maximum(share[1:][model.active_at], 1e-12)) + gain - partly * outside, -np.inf)
+    if not np.isfinite(best.max()):
         return 0.0, -1
     weight = np.exp(np.minimum(best, 600)).sum()
-    return float(weight / (weight + share[0])), int(best.argmax())
+    return float(weight / (weight + share[0])), int(model.active_at[best.argmax()])
 
 
 def garbled_fields(rows: DataFrame, key: str, source: str, fields: list[str], sure: float = 0.5, weight: float = 50.0) -> DataFrame:
@@ -325,7 +346,10 @@ def garbled_fields(rows: DataFrame, key: str, source: str, fields: list[str], su
                 chance.append(1.0 if lost else c)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chance, pa.float64()), pa.array(swap, pa.string())], names=["key", "field", "chance", "swap"])
 
-    judged = found.join(shares, "source", "left").select("key", "field", "share", "seen").mapInArrow(judge, f"key {kind}, field string, chance double, swap string")
+    # a source with a third of all fields is met in 16 tasks
+    spread = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int"))
+    judged = salted.join(spread, ["source", "salt"], "left").select("key", "field", "share", "seen").mapInArrow(judge, f"key {kind}, field string, chance double, swap string")
     return judged.where(F.col("chance") >= sure).groupBy("key", "field").agg(F.max_by(F.struct("chance", "swap"), "chance").alias("j")).select(F.col("key").alias(key), "field", "j.chance", "j.swap")
 
 
