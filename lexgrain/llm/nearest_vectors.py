@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector, by balanced posting lists.
 
-Centroids come from a bounded sample (``fit_rows`` rows of smallest key hash) by balanced bisection; every usable row
+Centroids come from a bounded sample (at most ``fit_rows`` rows, those of the smallest hashes of their vectors) by balanced bisection; every usable row
 is indexed. A row is stored in each list whose centroid is at most ``store_ratio`` times as far as its nearest one
 (boundary rows so stand in several lists) and searched in each list within ``probe_ratio``. Lists are found by a beam
 search over the neighbour graph of the centroids. The centroids are what is broadcast: at most ``most_lists`` vectors.
@@ -105,7 +105,7 @@ class CentroidGraph:
 
 
 def nearest(
-    rows: DataFrame, key: str, vector: str, k: int = 5, dims: int = 64, list_size: int = 1000, most_lists: int = 512, fit_rows: int = 20_000, store_ratio: float = 1.10, probe_ratio: float = 1.25, most_probes: int = 8
+    rows: DataFrame, key: str, vector: str, k: int = 5, dims: int = 64, list_size: int = 1000, most_lists: int = 512, fit_rows: int = 8_000, store_ratio: float = 1.10, probe_ratio: float = 1.20, most_probes: int = 5
 ) -> DataFrame:
     """``key, neighbour, cosine, position`` (1..k, ties by key) for every usable vector.
 
@@ -116,9 +116,10 @@ def nearest(
     vectors = written(unit_vectors(rows, key, vector, dims).withColumn("h", F.xxhash64("vec")), "vectors")
     first = vectors.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("key"))).where(F.col("n") <= k + 1)
     classes = first.groupBy("h").agg(F.min_by("vec", "n").alias("vec"), F.sort_array(F.collect_list("key")).alias("keys"))
-    sample = [np.frombuffer(r[0], np.float32) for r in vectors.orderBy(F.xxhash64("h"), "key").limit(fit_rows).select("vec").collect()]
     total = vectors.count()
-    lists = int(np.clip(total // list_size, 1, most_lists))
+    share = 1.0 if total <= fit_rows else 0.95 * fit_rows / total  # so many of the hashes' range; the limit only guards the tail
+    sample = [np.frombuffer(r[0], np.float32) for r in vectors.where(F.xxhash64("h") <= int(-(2**63) + share * (2**64 - 1))).select("vec").limit(fit_rows).collect()]
+    lists = int(np.clip(total // list_size, max(1, min(64, total // 50)), most_lists))
     graph = CentroidGraph(balanced_centroids(np.stack(sample), lists)) if sample else None
     shared = spark.sparkContext.broadcast(graph)
 
