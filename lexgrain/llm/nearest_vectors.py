@@ -118,7 +118,7 @@ def nearest(
     classes = first.groupBy("h").agg(F.min_by("vec", "n").alias("vec"), F.sort_array(F.collect_list("key")).alias("keys"))
     total = vectors.count()
     share = 1.0 if total <= fit_rows else 0.95 * fit_rows / total  # so many of the hashes' range; the limit only guards the tail
-    sample = [np.frombuffer(r[0], np.float32) for r in vectors.where(F.xxhash64("h") <= int(-(2**63) + share * (2**64 - 1))).select("vec").limit(fit_rows).collect()]
+    sample = [np.frombuffer(r[0], np.float32) for r in vectors.where(F.xxhash64("h") <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))).select("vec").limit(fit_rows).collect()]
     lists = int(np.clip(total // list_size, max(1, min(64, total // 50)), most_lists))
     graph = CentroidGraph(balanced_centroids(np.stack(sample), lists)) if sample else None
     shared = spark.sparkContext.broadcast(graph)
