@@ -72,6 +72,13 @@ def spelling(a: str, b: str) -> float:
     return 1 - last[-1] / max(1, len(a), len(b))
 
 
+def alike_words(a: str, b: str) -> float:
+    """Spelling likeness; 0.95 at least where every word of a begins, by three letters or more, or is the word of b in its place."""
+    x, y = a.split(), b.split()
+    short = len(x) == len(y) and all(p == q or (len(p) >= 3 and q.startswith(p)) for p, q in zip(x, y))
+    return max(spelling(a, b), 0.95 if short else 0.0)
+
+
 def _forms(rows: DataFrame, key: str, kind: str, many) -> DataFrame:
     """``key, field, form, tokens`` for each form that ``many`` makes of a text."""
 
@@ -121,7 +128,7 @@ def match_values(values: DataFrame, entries: DataFrame, similarity: float = 0.3,
     def spell(batches):
         for batch in batches:
             f, g = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array([spelling(*p) for p in zip(f, g)], pa.float64())], names=["field", "value", "ref", "f", "g", "jaccard", "alike"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array([alike_words(*p) for p in zip(f, g)], pa.float64())], names=["field", "value", "ref", "f", "g", "jaccard", "alike"])
 
     spelt = scored.select("field", "value", "ref", "f", "g", "jaccard").mapInArrow(spell, f"field string, value string, ref {dict(entries.dtypes)['ref']}, f string, g string, jaccard double, alike double")
     good = spelt.where((F.col("f") == F.col("g")) | ((F.col("alike") >= alike) & (F.least(F.length("f"), F.length("g")) > short)))
