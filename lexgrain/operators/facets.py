@@ -62,12 +62,25 @@ def align(stated: DataFrame, values: DataFrame) -> DataFrame:
     return best.select("facet", "stated", "b.value")
 
 
+def containing(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """The pairs of texts (with ``_q``) and values (with ``_d``, not empty) where the text contains the value.
+
+    An equality join on the first three letters of the value (fewer for shorter ones) with the letters at every place of the
+    text; neither side is broadcast by force, and stored values typed in many ways may be many.
+    """
+    n = F.length("_q")
+    grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(F.col("_q"), i, k))).otherwise(F.array().cast("array<string>"))))
+    spread = texts.withColumn("_g", F.explode(F.array_distinct(grams)))
+    keyed = values.where(F.length("_d") > 0).withColumn("_g", F.left("_d", F.lit(3)))
+    return spread.join(keyed, "_g").where(F.col("_q").contains(F.col("_d"))).drop("_g")
+
+
 def mentioned(questions: DataFrame, key: str, question: str, values: DataFrame) -> DataFrame:
     """``key, facet, value``: the first value of each facet that stands in the question as whole words."""
-    q = questions.select(key, folded(F.col(question)).alias("q"))
-    met = q.crossJoin(F.broadcast(values.select("facet", "value", folded(F.col("value")).alias("d")))).where(F.length("d") > 0)
-    inside = met.where(F.concat(F.lit(" "), F.regexp_replace("q", "[^a-z0-9_]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("d", "[^a-z0-9_]+", " "), F.lit(" "))))
-    return inside.groupBy(key, "facet").agg(F.min("value").alias("value"))
+    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(folded(c), "[^a-z0-9_]+", " "), F.lit(" "))
+    texts = questions.select(F.col(key).alias("_key"), spaced(F.col(question)).alias("_q"))
+    known = values.where(F.length(folded(F.col("value"))) > 0).select("facet", "value", spaced(F.col("value")).alias("_d"))
+    return containing(texts, known).groupBy("_key", "facet").agg(F.min("value").alias("value")).withColumnRenamed("_key", key)
 
 
 def relaxed(attempts: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrain.functions.text import terms
+from lexgrain.functions.text import folded, terms
+from lexgrain.operators.facets import containing
 
 FUSION = {"cross": 0.55, "vector": 0.20, "lexical": 0.15, "overlap": 0.10}
 HEURISTIC = {"vector": 0.55, "path": 0.20, "content": 0.15, "reliability": 0.10}
@@ -34,12 +35,11 @@ def min_max(value: Column, group: str) -> Column:
 
 def gate(question: str, subjects: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Adds ``gate``: 1 where the question names no stored subject or this one, else 0.25 (also for a null subject)."""
-    from lexgrain.functions.text import folded
-
-    asked = rows.select(key, folded(F.col(question)).alias("q")).distinct()
-    named = asked.crossJoin(F.broadcast(subjects)).where(F.col("q").contains(F.col("value"))).groupBy(key).agg(F.collect_set("value").alias("named"))
-    joined = rows.join(named, key, "left")
-    return joined.withColumn("gate", F.when(F.col("named").isNull() | F.coalesce(F.array_contains("named", F.lower("subject")), F.lit(False)), 1.0).otherwise(0.25)).drop("named")
+    asked = rows.select(F.col(key).alias("_key"), folded(F.col(question)).alias("_q")).distinct()
+    stored = subjects.select(F.col("value").alias("_d"))
+    named = containing(asked, stored).groupBy("_key").agg(F.collect_set("_d").alias("_named"))
+    joined = rows.join(named, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn("gate", F.when(F.col("_named").isNull() | F.coalesce(F.array_contains("_named", F.lower("subject")), F.lit(False)), 1.0).otherwise(0.25)).drop("_named", "_key")
 
 
 def heuristic(rows: DataFrame, group: str, question: str, k: int) -> DataFrame:

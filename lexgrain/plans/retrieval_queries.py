@@ -78,9 +78,13 @@ _SAME = " AND ".join(f"({q} IS NULL OR {T.folded_sql(c)} = {T.folded_sql(q)})" f
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id) <= 30""")
 def lexical_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     cols = ("subject", "level", "track")
-    req = base.requests(spark, d).select("query_id", "question", *[F.col(c).alias(f"q_{c}") for c in cols])
-    agree = facets.same(F.col("subject"), F.col("q_subject")) & facets.same(F.col("level"), F.col("q_level")) & facets.same(F.col("track"), F.col("q_track"))
-    s = lexical_search.scores(_index(spark, d, *cols), "chunk_id", req, "query_id", "question", agree, *[f"q_{c}" for c in cols])
+    # both sides are folded once, before they meet
+    rows = base.chunks(spark, d, "indexed_content", *cols).withColumns({c: T.folded(c) for c in cols})
+    req = base.requests(spark, d).select("query_id", "question", *[T.folded(c).alias(f"q_{c}") for c in cols])
+    agree = F.lit(True)
+    for c in cols:
+        agree = agree & (F.col(f"q_{c}").isNull() | F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False)))
+    s = lexical_search.scores(lexical_search.postings(rows, "chunk_id", "indexed_content", *cols), "chunk_id", req, "query_id", "question", agree, *[f"q_{c}" for c in cols])
     return lexical_search.top(s, "query_id", "chunk_id", 30).select("query_id", "chunk_id", F.round("lexical_score", 4).alias("score"))
 
 
