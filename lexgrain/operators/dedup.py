@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.operators.rerank import reliability_rank
@@ -75,5 +75,39 @@ def survivors(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return rows.join(pairs.select(F.col("key_dropped").alias(key)).distinct(), key, "left_anti")
 
 
-def survivor_order(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("first_seen")))
+def drop_in_order(nodes: list[tuple], linked: set[tuple]) -> set:
+    """The keys dropped when (key, length, rank) are taken in order of length: each kept row meets the later kept ones it is
+    linked to, and the weaker by (rank, length) of the two goes, the earlier on ties; a row goes on meeting others after it is dropped."""
+    order = sorted(nodes, key=lambda x: (x[1], x[0]))
+    gone: set = set()
+    for i, (k, n, r) in enumerate(order):
+        if k in gone:
+            continue
+        for k2, n2, r2 in order[i + 1 :]:
+            if k2 not in gone and (k, k2) in linked:
+                gone.add(k if (r, n) <= (r2, n2) else k2)
+    return gone
+
+
+def near_sequential(rows: DataFrame, group: list[str], key: str, text: str, threshold: float = 92.0) -> DataFrame:
+    """``key`` of the rows that the sequential rule drops, which depends on the order where reliabilities differ.
+
+    Only linked rows can influence each other, so the rule runs on each connected component of the pairs.
+    """
+    from lexgrain.operators.components import components
+    from lexgrain.session import written
+
+    pairs = written(near(rows, group, key, text, threshold), "near")
+    part = components(pairs, "key_kept", "key_dropped")
+    facts = rows.select(F.col(key).alias("node"), F.length(text).alias("n"), reliability_rank(F.col("reliability")).alias("r"))
+    nodes = part.join(facts, "node").select("component", "node", "n", "r", F.lit(None).cast(dict(rows.dtypes)[key]).alias("other"))
+    edges = pairs.join(part, F.col("key_kept") == F.col("node")).select("component", "node", F.lit(-1).alias("n"), F.lit(-1).alias("r"), F.col("key_dropped").alias("other"))
+
+    def run(table: pa.Table) -> pa.Table:
+        d = table.to_pydict()
+        every = list(zip(d["node"], d["n"], d["r"], d["other"]))
+        linked = {p for k, n, _, o in every if n < 0 for p in ((k, o), (o, k))}
+        gone = drop_in_order([(k, n, r) for k, n, r, _ in every if n >= 0], linked)
+        return pa.table({"key": pa.array(sorted(gone), table.schema.field("node").type)})
+
+    return nodes.unionByName(edges).groupBy("component").applyInArrow(run, f"key {dict(rows.dtypes)[key]}").withColumnRenamed("key", key)

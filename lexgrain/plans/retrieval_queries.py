@@ -216,6 +216,15 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", each.alias("e")))), lambda x: x["e"]), ";").alias("cited"))
 
 
+@query(f"WITH {_FUSED} SELECT r.subject, b.query_id, b.chunk_id, row_number() OVER (PARTITION BY r.subject ORDER BY b.query_id, b.position) AS number FROM best b JOIN search_requests r USING (query_id) WHERE r.subject IS NOT NULL")
+def continuous_numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Sources numbered on across the searches of a turn; requests of one stated subject stand in for a turn."""
+    turns = table(spark, d, "search_requests").where("subject is not null").select("query_id", F.col("subject").alias("turn"))
+    rows = _fused(spark, d).select("query_id", "chunk_id", "position").join(turns, "query_id")
+    by = Window.partitionBy("turn").orderBy("query_id", "position")
+    return rows.select(F.col("turn").alias("subject"), "query_id", "chunk_id", F.row_number().over(by).alias("number"))
+
+
 _VALUES = "SELECT DISTINCT facet, value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS facet, lower({c}) AS value FROM doc" for c in facets.FACETS) + ") WHERE value IS NOT NULL AND value <> ''"
 
 

@@ -99,7 +99,33 @@ def near_dup_indel(spark: SparkSession, d: str) -> DataFrame:
     """Near duplicates within one file and subject, of the chunks that exact deduplication keeps."""
     c = base.chunks(spark, d, "source_file", "document_id", "subject", "content", "content_hash", "reliability", "char_count")
     kept = dedup.exact(c, "content_hash", "char_count", F.col("chunk_id"))
-    return dedup.near(kept, ["document_id", "subject"], "chunk_id", "content").select("key_kept", "key_dropped", F.round("ratio", 4).alias("ratio"))
+    return dedup.near(kept, ["source_file", "subject"], "chunk_id", "content").select("key_kept", "key_dropped", F.round("ratio", 4).alias("ratio"))
+
+
+@query()
+def near_dup_mixed_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that the sequential rule drops within one file and subject."""
+    c = base.chunks(spark, d, "source_file", "subject", "content", "content_hash", "reliability", "char_count")
+    kept = dedup.exact(c, "content_hash", "char_count", F.col("chunk_id"))
+    return dedup.near_sequential(kept, ["source_file", "subject"], "chunk_id", "content")
+
+
+@query(f"""WITH {base.CHUNKS}, ranked AS (SELECT chunk_id, row_number() OVER (PARTITION BY content_hash ORDER BY CASE reliability WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, coalesce(char_count, 0) DESC, chunk_id) AS n,
+min(chunk_id) OVER (PARTITION BY content_hash) AS first_seen FROM ch WHERE content_hash IS NOT NULL AND content_hash <> '') SELECT chunk_id, row_number() OVER (ORDER BY first_seen) AS place FROM ranked WHERE n = 1""")
+def dedup_survivor_order(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks kept, in the order in which their hashes were first seen (chunks ordered by id)."""
+    from lexgrain.operators.ranking import positions
+
+    kept = dedup.exact(base.chunks(spark, d, "content_hash", "reliability", "char_count"), "content_hash", "char_count", F.col("chunk_id"))
+    return positions(kept.select("chunk_id", "first_seen", F.lit(0).alias("all")), ["all"], [F.col("first_seen")], "place").select("chunk_id", "place")
+
+
+@query(f"WITH {base.CHUNKS} SELECT document_id, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chunk_order, chunk_id)) AS merged FROM ch WHERE content IS NOT NULL GROUP BY document_id")
+def merge_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a document joined by blank lines, as a hash."""
+    c = base.chunks(spark, d, "document_id", "content", "chunk_order").where("content is not null")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_order", "chunk_id", "content"))), lambda x: x["content"])
+    return c.groupBy("document_id").agg(F.sha2(F.array_join(parts, "\n\n"), 256).alias("merged"))
 
 
 _VECTORS = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"

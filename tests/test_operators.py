@@ -118,3 +118,30 @@ def test_context_line(spark):
     df = spark.createDataFrame([("maths", None, "S1", ["A", "B"], "texte"), (None, None, None, None, "seul")], "s string, l string, t string, h array<string>, c string")
     got = [r[0] for r in df.select(T.contextualized(*map(F.col, ("s", "l", "t", "h", "c")))).collect()]
     assert got == ["maths S1 > A > B\n\ntexte", "seul"]
+
+
+def test_sequential_near_dup(spark):
+    """The rule on a chain and on a mixed group, against the plain loop over all pairs."""
+    import random
+
+    rng = random.Random(4)
+    base = "la structure du roman est décrite par le groupe et la classe répond à la question posée par le maître"
+    rows = []
+    for i in range(40):
+        t = list(base * 2)
+        for _ in range(rng.randrange(14)):
+            t[rng.randrange(len(t))] = rng.choice("abcdefgh ")
+        rows.append((f"k{i:02d}", "s", "".join(t) + "x" * rng.randrange(6), rng.choice(["high", "medium", "low"])))
+    df = spark.createDataFrame(rows, "k string, s string, t string, reliability string")
+    rank = {"high": 3, "medium": 2, "low": 1}
+    linked = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and min(len(a[2]), len(b[2])) >= 0.92 * max(len(a[2]), len(b[2])) and dedup.indel_ratio(a[2], b[2]) >= 92}
+    want = dedup.drop_in_order([(k, len(t), rank[r]) for k, _, t, r in rows], linked)
+    assert {r[0] for r in dedup.near_sequential(df, ["s"], "k", "t").collect()} == want
+
+
+def test_scan_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"12345")
+    (tmp_path / "b.txt").write_bytes(b"1")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.pdf").write_bytes(b"1")
+    assert [r["length"] for r in store_files.scan_files(spark, str(tmp_path)).collect()] == [5]
