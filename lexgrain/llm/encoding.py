@@ -136,7 +136,7 @@ class Model:
         self._lend_to_capitals(model)
         each = model.sum((1, 2))
         one = ((model.sum(2) + 0.02) / (each + 0.02 * _WIDTH)[:, None])[:, :, None] * ((model.sum(1) + 0.02) / (each + 0.02 * _WIDTH)[:, None])[:, None, :]
-        self.joint = 0.97 * (model + 1.0 * one) / (each + 1.0)[:, None, None] + 0.03 * one
+        self.joint = (model + 20.0 * one) / (each + 20.0)[:, None, None]
         self.plain = ((total.sum(1) + 1)[:, None] * (total.sum(0) + 1)[None, :]) / ((total.sum() + _WIDTH) ** 2)
         self.often = {c: often.get(c, 0) / every for c in LANGUAGE}
         rows = list(counts)
@@ -280,10 +280,10 @@ def garbled_fields(rows: DataFrame, key: str, source: str, fields: list[str], su
 
     Null texts and keys are left out, as are texts of ASCII only; rows with a null source share one. A field with replacement
     characters is garbled (swap "lost" if no other). Repeated rows of a key count once (the surest). An empty table gives no rows.
-    Other columns are ignored. weight: occurrences that the common shares count for in a source.
+    Other columns are ignored. The language model is counted over the last field (here the text with its headings). weight: occurrences that the common shares count for in a source.
     """
     spark = rows.sparkSession
-    model = Model(symbol_counts(rows, fields[:1]))
+    model = Model(symbol_counts(rows, fields[-1:]))
     shared = spark.sparkContext.broadcast((model, model.doubtful()))
     kind = dict(rows.dtypes)[key]
     item = "struct<g:string,l:int,r:int,n:int>"
@@ -415,7 +415,7 @@ def restored_fields(rows: DataFrame, key: str, source: str, fields: list[str], *
     Repeated rows of one key give one row for each field (the latest text in string order, should they differ).
     """
     spark = rows.sparkSession
-    model = spark.sparkContext.broadcast(Model(symbol_counts(rows, fields[:1])))
+    model = spark.sparkContext.broadcast(Model(symbol_counts(rows, fields[-1:])))
     found = garbled_fields(rows, key, source, fields, **how)
     texts = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("t")).select(key, "t.field", "t.text")
     joined = texts.join(found, [key, "field"]).groupBy(key, "field").agg(F.first("swap").alias("swap"), F.first("chance").alias("chance"), F.max("text").alias("text"))
