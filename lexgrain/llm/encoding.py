@@ -228,20 +228,48 @@ class Model:
         return set().union(*(CIPHERS[name] for name in self.active)) if self.active else set()
 
 
+def _tally(text: str | None, among: set[str]) -> dict:
+    """(symbol, left, right) -> occurrences of the symbols in ``among``; a run with a replacement character counts as that."""
+    own: dict = {}
+    if text and not text.isascii():
+        for s in _symbols(text):
+            if s[0] in among:
+                own[s] = own.get(s, 0) + 1
+            elif LOST in s[0]:
+                own[(LOST, 0, 0)] = own.get((LOST, 0, 0), 0) + 1
+    return own
+
+
+def _tallies(texts: list[str | None], among: set[str]) -> list[dict]:
+    """The tally of each field of a row. A later field that is the first one under other lines takes over its tally."""
+    first = texts[0]
+    out = [_tally(first, among)]
+    for text in texts[1:]:
+        at = len(text) - len(first) if text and first else 0
+        if at == 0 and text and text == first:
+            out.append(out[0])
+        elif at > 0 and text[at - 1] == "\n" and text.endswith(first):
+            own = dict(out[0])
+            for s, n in _tally(text[:at], among).items():
+                own[s] = own.get(s, 0) + n
+            out.append(own)
+        else:
+            out.append(_tally(text, among))
+    return out
+
+
 def symbol_counts(rows: DataFrame, fields: list[str]) -> dict[tuple[str, int, int], int]:
-    """(symbol, left, right) -> occurrences over all texts. Symbols are those some swap makes, and the letters: a fixed set."""
+    """(symbol, left, right) -> occurrences over all texts of all fields. Symbols are those some swap makes, and the letters: a fixed set."""
 
     def count(batches):
         held: dict = {}
         for batch in batches:
-            for i in range(batch.num_columns):
-                for text in batch.column(i).to_pylist():
-                    if text and not text.isascii():
-                        for s in _symbols(text):
-                            if s[0] in _COUNTED:
-                                held[s] = held.get(s, 0) + 1
-        at = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in at], pa.string()), pa.array([a[1] for a in at], pa.int32()), pa.array([a[2] for a in at], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["g", "l", "r", "n"])
+            for texts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                for own in _tallies(list(texts), _COUNTED):
+                    for s, n in own.items():
+                        held[s] = held.get(s, 0) + n
+        at = [a for a in held if a[0] != LOST]
+        yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in at], pa.string()), pa.array([a[1] for a in at], pa.int32()), pa.array([a[2] for a in at], pa.int32()), pa.array([held[a] for a in at], pa.int64())], names=["g", "l", "r", "n"])
 
     total = rows.select(*fields).mapInArrow(count, "g string, l int, r int, n long").groupBy("g", "l", "r").agg(F.sum("n").alias("n"))
     return {(r.g, r.l, r.r): r.n for r in total.collect()}
@@ -280,10 +308,10 @@ def garbled_fields(rows: DataFrame, key: str, source: str, fields: list[str], su
 
     Null texts and keys are left out, as are texts of ASCII only; rows with a null source share one. A field with replacement
     characters is garbled (swap "lost" if no other). Repeated rows of a key count once (the surest). An empty table gives no rows.
-    Other columns are ignored. The language model is counted over the last field (here the text with its headings). weight: occurrences that the common shares count for in a source.
+    Other columns are ignored. weight: occurrences that the common shares count for in a source.
     """
     spark = rows.sparkSession
-    model = Model(symbol_counts(rows, fields[-1:]))
+    model = Model(symbol_counts(rows, fields))
     shared = spark.sparkContext.broadcast((model, model.doubtful()))
     kind = dict(rows.dtypes)[key]
     item = "struct<g:string,l:int,r:int,n:int>"
@@ -292,16 +320,8 @@ def garbled_fields(rows: DataFrame, key: str, source: str, fields: list[str], su
         _, odd = shared.value
         for batch in batches:
             row, field, items = [], [], []
-            for k, name in enumerate(fields):
-                for i, text in enumerate(batch.column(2 + k).to_pylist()):
-                    if not text or text.isascii():
-                        continue
-                    own: dict = {}
-                    for s in _symbols(text):
-                        if s[0] in odd:
-                            own[s] = own.get(s, 0) + 1
-                        elif LOST in s[0]:
-                            own[(LOST, 0, 0)] = own.get((LOST, 0, 0), 0) + 1
+            for i, texts in enumerate(zip(*(batch.column(2 + k).to_pylist() for k in range(len(fields))))):
+                for name, own in zip(fields, _tallies(list(texts), odd)):
                     if own:
                         row.append(i)
                         field.append(name)
@@ -415,7 +435,7 @@ def restored_fields(rows: DataFrame, key: str, source: str, fields: list[str], *
     Repeated rows of one key give one row for each field (the latest text in string order, should they differ).
     """
     spark = rows.sparkSession
-    model = spark.sparkContext.broadcast(Model(symbol_counts(rows, fields[-1:])))
+    model = spark.sparkContext.broadcast(Model(symbol_counts(rows, fields)))
     found = garbled_fields(rows, key, source, fields, **how)
     texts = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("t")).select(key, "t.field", "t.text")
     joined = texts.join(found, [key, "field"]).groupBy(key, "field").agg(F.first("swap").alias("swap"), F.first("chance").alias("chance"), F.max("text").alias("text"))
