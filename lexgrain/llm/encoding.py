@@ -295,8 +295,8 @@ def _field_chance(model: Model, share: np.ndarray, seen: list[tuple[str, int, in
         else:
             gain += told
         outside |= ~inside
-    gain = gain + np.where(gain >= np.log(3), marks, 0.0)
-    best = np.where(gain >= np.log(3), np.log(np.maximum(share[1:][model.active_at], 1e-12)) + gain - partly * outside, -np.inf)
+    gain = gain + np.where(gain >= 3.0, marks, 0.0)
+    best = np.where(gain >= 2.0, np.log(np.maximum(share[1:][model.active_at], 1e-12)) + gain - partly * outside, -np.inf)
     if not np.isfinite(best.max()):
         return 0.0, -1
     weight = np.exp(np.minimum(best, 600)).sum()
