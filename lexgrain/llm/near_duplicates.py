@@ -3,7 +3,9 @@
 1. Texts that are equal letter for letter form one class; the class is represented once from there on.
 2. Document frequencies of word runs are counted over all texts in a count table of fixed size
    (2**18 counters, 2 MB whatever the corpus), which is what gets broadcast.
-3. Every text gets K consistent weighted samples of its runs with weight tf * sqrt(ln(1 + N / df)). The draws (r, c, beta) of a
+3. Every text gets K consistent weighted samples of its runs with weight tf * sqrt(ln(1 + N / df)), or with weight 1 for each
+   distinct run where the Jaccard similarity of the distinct runs is asked for: samples agree as often as what is asked for, so
+   that what weighting pushes down (runs of a large family of texts, looping texts) is seen all the same. The draws (r, c, beta) of a
    run come from a pool of 2**14 triples per sample, chosen by hash; ln(weight) is rounded to steps of 0.1. Both
    only make the sampling coarser by a few percent and turn each draw into one table lookup.
 4. The samples, a byte each, are written once. They are grouped in bands; texts with an equal band become candidates.
@@ -101,17 +103,20 @@ def _samples(elements: np.ndarray, levels: np.ndarray, starts: np.ndarray, k: in
 
 
 def samples(texts: DataFrame, n: int, k: int, idf) -> DataFrame:
-    """``id, drawn``: the k samples of every text of ``id, content`` that has a word, one byte each. idf: the broadcast table."""
+    """``id, drawn``: the k samples of every text of ``id, content`` that has a word, one byte each.
+
+    idf: the broadcast table of weights, or None: every distinct run weighs 1.
+    """
 
     def draw(batches):
-        ids, seen, weights = WordIds(), set(), idf.value
+        ids, seen, weights = WordIds(), set(), None if idf is None else idf.value
         held, total = [], 0
 
         def flush():
             starts = np.cumsum([0] + [len(u) for _, u, _ in held[:-1]])
             elements = np.concatenate([u for _, u, _ in held])
             counts = np.concatenate([c for _, _, c in held])
-            w = counts * weights[(elements >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64)]
+            w = np.ones(len(elements)) if weights is None else counts * weights[(elements >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64)]
             level = np.clip(np.rint((np.log(w) - LOWEST) / STEP), 0, LEVELS - 1)
             s = (mixed(_samples(mixed(elements), level, starts, k)) & np.uint64(0xFF)).astype(np.uint8)
             return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in held], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "drawn"])
@@ -252,15 +257,16 @@ def near_duplicate_classes(
     """``a, b, jaccard, weighted``: pairs of classes of equal texts whose ``measure`` reaches ``similarity``.
 
     A class is the xxhash64 of its text. Null texts and texts without a word are in no pair; empty input gives no rows.
-    measure: "weighted" (Jaccard of TF-IDF weights) or "jaccard" (of distinct runs). band_rows and band_count set the
-    chance that a pair is seen: about 1 - (1 - s**rows)**count, 0.997 at a weighted similarity of 0.5 with the defaults.
+    measure: "weighted" (Jaccard of TF-IDF weights) or "jaccard" (of distinct runs); the samples are drawn by the same measure.
+    band_rows and band_count set the chance that a pair is seen: about 1 - (1 - s**rows)**count, 0.997 at a similarity of 0.5
+    of that measure with the defaults, whatever the corpus.
     """
     spark = rows.sparkSession
     texts = rows.where(F.col(content).isNotNull()).select(F.xxhash64(content).alias("id"), F.col(content).alias("content"))
     counters, total = run_frequencies(texts.select("content"), n)
     idf = spark.sparkContext.broadcast(_idf(counters, total))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = written(samples(texts, n, max(SKETCH, band_rows * ((2 * band_count + 2) // 3)), idf), "samples")
+    drawn = written(samples(texts, n, max(SKETCH, band_rows * ((2 * band_count + 2) // 3)), idf if measure == "weighted" else None), "samples")
     pairs = likely_pairs(candidate_pairs(bands(drawn, band_rows, band_count), parts), drawn, 0.9 * similarity)
     one = texts.groupBy("id").agg(F.first("content").alias("content"))
     left = pairs.join(one.select(F.col("id").alias("a"), F.col("content").alias("x")), "a")

@@ -34,6 +34,32 @@ def test_against_brute_force(spark, rows_of):
     assert len(got) >= 0.99 * len(want)
 
 
+def test_family_of_a_third(spark):
+    """Pairs of a large family share runs of little weight and differ in heavy ones: plain 0.52, weighted about 0.34."""
+    rng = random.Random(9)
+    template = " ".join(f"gabarit{i}" for i in range(62))
+    texts = [template + " " + " ".join(f"propre{k}x{i}" for i in range(28)) for k in range(60)]
+    texts += [" ".join(f"mot{rng.randrange(10_000)}" for _ in range(80)) for _ in range(120)]
+    sets = [runs3(t) for t in texts]
+    want = {(f"c{i:03d}", f"c{j:03d}") for i in range(180) for j in range(i + 1, 180) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    assert len(want) == 60 * 59 // 2
+    df = spark.createDataFrame([(f"c{i:03d}", t) for i, t in enumerate(texts)], "id string, content string")
+    got = {(r[0], r[1]) for r in near_duplicate_pairs(df, "id", n=3, similarity=0.5, measure="jaccard").collect()}
+    assert got <= want
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_looping_text(spark):
+    """Equal sets of runs with unlike counts: the Jaccard of the distinct runs is 1."""
+    data = []
+    for k in range(20):
+        phrase = " ".join(f"p{k}m{i}" for i in range(8))
+        data += [(f"a{k:02d}", " ".join([phrase] * 2)), (f"b{k:02d}", " ".join([phrase] * 60))]
+    df = spark.createDataFrame(data, "id string, content string")
+    got = {(r[0], r[1]) for r in near_duplicate_pairs(df, "id", n=3, similarity=0.5, measure="jaccard").collect()}
+    assert got == {(f"a{k:02d}", f"b{k:02d}") for k in range(20)}
+
+
 def test_edges(spark, rows_of):
     long = " ".join(f"w{i}" for i in range(30_000))
     data = [("a", "un deux trois quatre cinq six", 1), ("b", "un deux trois quatre cinq six", 2), ("b", "un deux trois quatre cinq six", 3), ("c", None, 1), (None, "un deux trois quatre cinq six", 1), ("d", "", 1), ("e", " ?! ", 1), ("f", long, 1), ("g", long + " fin", 1), ("h", "un", 1), ("i", "un", 1)]
