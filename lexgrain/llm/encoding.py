@@ -6,8 +6,9 @@ possible ones a source suffers from, and which symbols are simply meant, is unkn
    left and to the right), counted over all texts; capitals borrow from small letters.
 2. Expectation-maximization over all texts: the share of each swap among the occurrences, and how often each symbol stands for
    itself. A symbol that none of the languages writes prefers, as itself, no neighbours. Swaps nobody uses fade to nothing.
-3. The same per source, starting from the common shares: rows of a source are aggregated by symbol and neighbours first, and
-   only fields with a doubtful symbol take part.
+3. The same per source, starting from the common shares, with every other swap possible too: rows of a source are aggregated by
+   symbol and neighbours first. A swap that the corpus as a whole does not show is taken for one of a source by the evidence
+   within that source alone, however large the rest is. Then only fields with a doubtful symbol take part.
 4. A field is garbled if, over all its doubtful symbols, some swap of its source explains them better than they themselves do.
 5. Restoring: symbols better explained by the field's swap are replaced by their letters (translate() of single-byte pages, run by
    run for UTF-8, also twice); the exact check is that the swap, done again, gives the symbol. Lost characters stay.
@@ -117,8 +118,10 @@ def _symbols(text: str):
         yield m.group(), _context(text[a - 1] if a else ""), _context(text[b] if b < len(text) else "")
 
 
-#: The share of all symbols that a letter must have to speak for a swap.
-ATTESTED = 1e-4
+#: How often a letter must be written to speak for a swap, or else its share of all symbols (in small corpora).
+ATTESTED, ATTESTED_SHARE = 20, 1e-4
+#: Where the corpus shows no such swap: its share to begin with in a source, and what must tell it there: ln of the odds, symbols, kinds of symbols.
+RARE, TOLD, SYMBOLS, KINDS = 1e-6, 20.0, 5.0, 2
 
 
 class Model:
@@ -139,6 +142,7 @@ class Model:
         self.joint = (model + 20.0 * one) / (each + 20.0)[:, None, None]
         self.plain = ((total.sum(1) + 1)[:, None] * (total.sum(0) + 1)[None, :]) / ((total.sum() + _WIDTH) ** 2)
         self.often = {c: often.get(c, 0) / every for c in LANGUAGE}
+        self.attested = {c for c in LANGUAGE if often.get(c, 0) >= min(ATTESTED, ATTESTED_SHARE * every)}
         rows = list(counts)
         n = np.array([counts[r] for r in rows], float)
         symbols = sorted({r[0] for r in rows})
@@ -196,11 +200,64 @@ class Model:
                     if x.sum():
                         own += x * (max(own.sum(), 1.0) / x.sum())
 
+    def source_share(self, seen: list[tuple[str, int, int, int]], weight: float, rounds: int = 5) -> np.ndarray | None:
+        """The share of each swap in a source of ``(symbol, left, right, n)``; None if nothing there tells of a swap."""
+        known, common = self.__dict__.setdefault("_rows", {}), self.__dict__.setdefault("_common", self.doubtful())
+        rows, n, plain = [], [], 0
+        for g, left, right, k in seen:
+            if (g, left, right) not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                r = self.ratios(g, left, right)
+                known[g, left, right] = r if g in common or r.max() >= 1 else None
+            r = known[g, left, right]
+            if r is None:
+                plain += k
+            else:
+                rows.append((g, r))
+                n.append(k)
+        if not rows:
+            return None
+        r, n = np.concatenate([np.ones((len(rows), 1)), [x[1] for x in rows]], 1), np.array(n, float)
+        begin = np.where(self.share > 0, self.share, RARE)
+        for again in range(2):
+            share = begin
+            for _ in range(rounds):
+                post = r * share
+                post /= post.sum(1, keepdims=True)
+                share = (begin * weight + n @ post + plain * (np.arange(len(begin)) == 0)) / (weight + n.sum() + plain)
+            if not again:
+                keep = self.share > 0
+                # judged by the symbols that no swap known to the corpus explains as well; swaps unknown to it that explain
+                # a symbol alike share what it tells, so of each counts all that is not the symbol itself
+                best = r[:, 1:].max(1, keepdims=True)
+                met = (r[:, 1:] * keep[1:]).max(1, keepdims=True) >= 0.2 * best
+                near = np.where((r >= 0.2 * best) & ~met, 1 - post[:, :1], 0.0)
+                for j in np.flatnonzero(~keep & (n @ near >= SYMBOLS)):
+                    keep[j] = self._told([x[0] for x in rows], r[:, j], near[:, j], j - 1)
+                begin = np.where(keep, begin, 0.0)
+        return share
+
+    def _told(self, symbols: list[str], r: np.ndarray, post: np.ndarray, j: int) -> bool:
+        """Whether a source's symbols tell of a swap by themselves: letters, of several kinds, in the mix that languages write.
+        A symbol between the same neighbours counts once, as names that come again are no further evidence."""
+        cipher = CIPHERS[NAMES[j]]
+        got: dict[str, float] = {}
+        told = 0.0
+        for g, x, p in zip(symbols, r, post):
+            c = cipher.get(g)
+            if c and p >= 0.5 and c not in MARKS:
+                got[c] = got.get(c, 0.0) + p
+                told += np.log(x)
+        meant = {c: self.often[c] for c in cipher.values() if c not in MARKS}
+        main = max(meant, key=meant.get)
+        return told >= TOLD and len(got) >= KINDS and sum(got.values()) >= SYMBOLS and got.get(main, 0.0) / sum(got.values()) >= 0.2 * meant[main] / sum(meant.values())
+
     def _own(self, g: str, left: int, right: int) -> float:
         return self.joint[_AT[g], left, right] if g in _AT else self.plain[left, right]
 
     def _swapped(self, g: str, left: int, right: int) -> list[float]:
-        return [self.often[c] * self.joint[_AT[c], left, right] if (c := CIPHERS[name].get(g)) and self.often[c] >= ATTESTED else 0.0 for name in NAMES]
+        return [self.often[c] * self.joint[_AT[c], left, right] if (c := CIPHERS[name].get(g)) and c in self.attested else 0.0 for name in NAMES]
 
     def ratios(self, g: str, left: int, right: int) -> np.ndarray:
         """For each swap: how much better it explains the occurrence than the symbol itself does."""
@@ -222,7 +279,12 @@ class Model:
         return hit
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_rows", "_common")}
+
+    def also(self, swaps: list[int]) -> None:
+        """Those swaps, used in some source, are looked for too."""
+        self.active_at = np.union1d(self.active_at, np.array(swaps, int)).astype(int)
+        self.active = [NAMES[i] for i in self.active_at]
 
     def doubtful(self) -> set[str]:
         return set().union(*(CIPHERS[name] for name in self.active)) if self.active else set()
@@ -258,21 +320,36 @@ def _tallies(texts: list[str | None], among: set[str]) -> list[dict]:
     return out
 
 
-def symbol_counts(rows: DataFrame, fields: list[str]) -> dict[tuple[str, int, int], int]:
-    """(symbol, left, right) -> occurrences over all texts of all fields. Symbols are those some swap makes, and the letters: a fixed set."""
+def source_counts(rows: DataFrame, source: str, fields: list[str]) -> DataFrame:
+    """``source, g, l, r, n``: occurrences of symbol and neighbours over all texts of all fields of a source. Symbols are those
+    some swap makes, and the letters: a fixed set."""
 
     def count(batches):
         held: dict = {}
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([a[0] for a in held], pa.string()), pa.array([a[1] for a in held], pa.string()), pa.array([a[2] for a in held], pa.int32()), pa.array([a[3] for a in held], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["source", "g", "l", "r", "n"])
+
         for batch in batches:
-            for texts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                for own in _tallies(list(texts), _COUNTED):
+            for own_source, *texts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                for own in _tallies(texts, _COUNTED):
                     for s, n in own.items():
-                        held[s] = held.get(s, 0) + n
-        at = [a for a in held if a[0] != LOST]
-        yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in at], pa.string()), pa.array([a[1] for a in at], pa.int32()), pa.array([a[2] for a in at], pa.int32()), pa.array([held[a] for a in at], pa.int64())], names=["g", "l", "r", "n"])
+                        if s[0] != LOST:
+                            at = (own_source, *s)
+                            held[at] = held.get(at, 0) + n
+            if len(held) > 300_000:
+                yield flush()
+                held = {}
+        if held:
+            yield flush()
+
+    named = rows.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+    return named.mapInArrow(count, "source string, g string, l int, r int, n long").groupBy("source", "g", "l", "r").agg(F.sum("n").alias("n"))
 
-    total = rows.select(*fields).mapInArrow(count, "g string, l int, r int, n long").groupBy("g", "l", "r").agg(F.sum("n").alias("n"))
-    return {(r.g, r.l, r.r): r.n for r in total.collect()}
+
+def symbol_counts(per_source: DataFrame) -> dict[tuple[str, int, int], int]:
+    """(symbol, left, right) -> occurrences over all sources."""
+    return {(r.g, r.l, r.r): r.n for r in per_source.groupBy("g", "l", "r").agg(F.sum("n").alias("n")).collect()}
 
 
 def _field_chance(model: Model, share: np.ndarray, seen: list[tuple[str, int, int, int]], partly: float = 0.7, most: int = 3) -> tuple[float, int]:
@@ -296,7 +373,8 @@ def _field_chance(model: Model, share: np.ndarray, seen: list[tuple[str, int, in
             gain += told
         outside |= ~inside
     gain = gain + np.where(gain >= 3.0, marks, 0.0)
-    best = np.where(gain >= 2.0, np.log(np.maximum(share[1:][model.active_at], 1e-12)) + gain - partly * outside, -np.inf)
+    used = share[1:][model.active_at]
+    best = np.where((gain >= 2.0) & (used > 0), np.log(np.maximum(used, 1e-12)) + gain - partly * outside, -np.inf)
     if not np.isfinite(best.max()):
         return 0.0, -1
     weight = np.exp(np.minimum(best, 600)).sum()
@@ -311,7 +389,23 @@ def garbled_fields(rows: DataFrame, key: str, source: str, fields: list[str], su
     Other columns are ignored. weight: occurrences that the common shares count for in a source.
     """
     spark = rows.sparkSession
-    model = Model(symbol_counts(rows, fields))
+    per = written(source_counts(rows, source, fields), "sources")
+    model = Model(symbol_counts(per))
+    first = spark.sparkContext.broadcast(model)
+
+    def refine(batches):
+        """The sources of a partition; a source's rows are at most symbols x neighbours, whatever its size."""
+        m = first.value
+        held: dict[str, list] = {}
+        for batch in batches:
+            for s, g, left, right, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                held.setdefault(s, []).append((g, left, right, n))
+        out = [(s, share.tolist()) for s, seen in held.items() if (share := m.source_share(seen, weight)) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.float64()))], names=["source", "share"])
+
+    shares = written(per.repartition("source").mapInArrow(refine, "source string, share array<double>"), "shares")
+    used = shares.select(F.posexplode("share").alias("i", "v")).where("i > 0 and v > 0").select("i").distinct().collect()
+    model.also([r.i - 1 for r in used])
     shared = spark.sparkContext.broadcast((model, model.doubtful()))
     kind = dict(rows.dtypes)[key]
     item = "struct<g:string,l:int,r:int,n:int>"
@@ -332,28 +426,6 @@ def garbled_fields(rows: DataFrame, key: str, source: str, fields: list[str], su
 
     plain = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), *fields)
     found = written(plain.mapInArrow(find, f"key {kind}, source string, field string, seen array<{item}>"), "symbols")
-    per = found.select("source", F.explode("seen").alias("s")).where(F.col("s.g") != LOST).groupBy("source", "s.g", "s.l", "s.r").agg(F.sum("s.n").alias("n"))
-
-    def refine(batches):
-        """The sources of a partition; a source's rows are at most symbols x neighbours, whatever its size."""
-        m, _ = shared.value
-        held: dict[str, list] = {}
-        for batch in batches:
-            for s, g, left, right, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                held.setdefault(s, []).append((g, left, right, n))
-        out = []
-        for s, seen in held.items():
-            r = np.concatenate([np.ones((len(seen), 1)), [m.ratios(*x[:3]) for x in seen]], 1)
-            n, share = np.array([x[3] for x in seen], float), m.share
-            for _ in range(5):
-                post = r * share
-                post /= post.sum(1, keepdims=True)
-                share = (m.share * weight + n @ post) / (weight + n.sum())
-            out.append((s, share.tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.float64()))], names=["source", "share"])
-
-    shares = per.repartition("source").mapInArrow(refine, "source string, share array<double>")
-
     def judge(batches):
         m, _ = shared.value
         for batch in batches:
@@ -435,7 +507,7 @@ def restored_fields(rows: DataFrame, key: str, source: str, fields: list[str], *
     Repeated rows of one key give one row for each field (the latest text in string order, should they differ).
     """
     spark = rows.sparkSession
-    model = spark.sparkContext.broadcast(Model(symbol_counts(rows, fields)))
+    model = spark.sparkContext.broadcast(Model(symbol_counts(source_counts(rows, source, fields))))
     found = garbled_fields(rows, key, source, fields, **how)
     texts = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("t")).select(key, "t.field", "t.text")
     joined = texts.join(found, [key, "field"]).groupBy(key, "field").agg(F.first("swap").alias("swap"), F.first("chance").alias("chance"), F.max("text").alias("text"))

@@ -45,6 +45,15 @@ def test_found_and_restored(spark):
     assert right >= 0.6 * len(bad)  # pages that lack a character lose it for good
 
 
+def test_swap_of_one_source_in_a_large_corpus(spark):
+    """A source garbled as nobody else's, 1.5e-5 of all symbols of the corpus, is found as it would be in a small corpus."""
+    rows = [(f"c{i:05d}", f"f{i % 7}", f"{i}. {SOUND[i % len(SOUND)]} " * 6, None) for i in range(12_000)]
+    alone = [("z0", "alone", garble(SOUND[0], "cp1252", "cp850"), None)]
+    df = spark.createDataFrame(rows + alone, "chunk_id string, source_file string, content string, indexed_content string")
+    got = {r[0] for r in garbled_fields(df, "chunk_id", "source_file", ["content", "indexed_content"]).collect()}
+    assert got == {"z0"}
+
+
 def test_edges(spark):
     rows, _ = corpus()
     rows = rows[:50] + [("n1", None, None, None), (None, "f", "Ã©", "x"), ("n2", "f1", "", ""), ("n3", None, "perdu : r�péter", "plain"), ("c000", "f0", rows[0][2], rows[0][3])]
