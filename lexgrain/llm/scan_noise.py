@@ -4,7 +4,8 @@
    same glyph skeleton (i, l, 1 and r are one stroke, n and u two, m and rn three, e is c, and so on) make a group; a form that is rare,
    stands in scans and shares its skeleton with a far more frequent form is a suspect.
 2. Suspects are looked up where they stand: of the frequent forms, the one best supported by the words before and after wins;
-   short suspects need that support.
+   short suspects need that support. A form too rare for its share in scans to mean anything is a suspect wherever it stands, and
+   needs that support from both sides there. A text counts as a scan if it is said to be one or shows it by divided words or page numbers.
 3. Short lines, with numbers masked, are counted per file; what recurs in a file, in scans, is its running title. The forms of
    titles (rare words masked) that recur in many files also find titles that stand only once.
 4. Lines are numbered, titles and page numbers leave, words divided at line ends are joined with the next line that is left, and
@@ -38,6 +39,9 @@ _PAGE = re.compile(r"^(?:[\W_]*(?:p|pg|page|pagina|página|pág)?\s*[.:]?\s*\d{1
 _BESIDE = re.compile(r"^\s*\d{1,3}\s+(?:[—–|·-]\s*)?(?=[^\W\d])|(?<=[\w)])\s+(?:[—–|·-]\s*)?\d{1,3}\s*$")
 _SEPARATED = re.compile(r" [–—•/·] ")
 BITS = 23
+#: Up to so many occurrences, a form's share in scans means nothing.
+FEW = 2
+_OWN_SIGNS = rf"(?m)\p{{L}}[{HYPHENS}][ \t]*\r?\n\s*\p{{Ll}}|^[ \t]*(?:[-–—·] ?\d{{1,4}} ?[-–—·]|[Pp](?:age|\.) ?\d{{1,4}}(?: ?(?:/|sur|of|de) ?\d{{1,4}})?)[ \t]*\r?$"
 
 
 def skeleton(word: str) -> str:
@@ -98,7 +102,8 @@ def word_forms(texts: DataFrame) -> DataFrame:
 
 
 def suspects(forms: DataFrame, ratio: float, least: int, sound_share: float) -> DataFrame:
-    """``form, better``: rare forms of scans, and each frequent form of the same skeleton."""
+    """``form, better, often, unsure``: rare forms of scans, and each frequent form of the same skeleton. unsure: so rare that it is
+    a suspect although it stands outside what is taken for scans."""
 
     def stroke(batches):
         for batch in batches:
@@ -107,8 +112,9 @@ def suspects(forms: DataFrame, ratio: float, least: int, sound_share: float) ->
     kinds = "form string, n long, small long, sound long, bones string"
     every = written(forms.where(F.length("form") >= 2).mapInArrow(stroke, kinds), "forms")
     often = every.where(f"small >= {least} and form rlike '^\\\\p{{L}}+$'").select("bones", F.col("form").alias("better"), F.col("small").alias("often"))
-    rare = every.where(F.col("sound") <= sound_share * F.col("n")).select("bones", "form", "n")
-    return rare.join(often, "bones").where((F.col("form") != F.col("better")) & (F.col("often") >= ratio * F.col("n"))).select("form", "better", "often")
+    outside = F.col("sound") > sound_share * F.col("n")
+    rare = every.where(~outside | (F.col("n") <= FEW)).select("bones", "form", "n", outside.alias("unsure"))
+    return rare.join(often, "bones").where((F.col("form") != F.col("better")) & (F.col("often") >= ratio * F.col("n"))).select("form", "better", "often", "unsure")
 
 
 def _bitmap(words: DataFrame, name: str) -> np.ndarray:
@@ -183,6 +189,7 @@ def misread_words(texts: DataFrame, kind: str, ratio: float = 10.0, least: int =
     left = pairs.select("before", F.col("after").alias("better"), F.col("n").alias("l"))
     right = pairs.select(F.col("before").alias("better"), "after", F.col("n").alias("r"))
     told = offered.join(left, ["before", "better"], "left").join(right, ["better", "after"], "left").withColumn("context", F.coalesce("l", F.lit(0)) + F.coalesce("r", F.lit(0)))
+    told = told.where(~F.col("unsure") | (F.col("l").isNotNull() & F.col("r").isNotNull()))
     best = told.groupBy("key", "before", "form", "after").agg(F.max(F.struct("context", "often", "better")).alias("b"))
     return best.select("key", "form", F.col("b.better").alias("better"), F.col("b.context").alias("context")).where((F.length("form") > 4) | (F.col("context") > 0))
 
@@ -324,11 +331,11 @@ def divided(line: str, later: str) -> bool:
 def scan_noise(rows: DataFrame, key: str, content: str, file: str, scan: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kinds: ``key, noise_kind``; words: ``key, form, better, context``; titles: ``key, line, beside``).
 
-    scan: whether a text is said to be read from a scan; it may often be wrong, as it only enters the counts. Null texts
+    scan: whether a text is said to be read from a scan; it may be wrong or null, as a text's own signs count as much. Null texts
     and keys are left out; repeated rows of a key count once; rows with a null file share one. Empty tables give no rows.
     """
     kind = dict(rows.dtypes)[key]
-    texts = rows.where(F.col(key).isNotNull() & F.col(content).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.col(content).alias("text"), F.coalesce(scan, F.lit(False)).alias("scan"))
+    texts = rows.where(F.col(key).isNotNull() & F.col(content).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.col(content).alias("text"), (F.coalesce(scan, F.lit(False)) | F.col(content).rlike(_OWN_SIGNS)).alias("scan"))
     words = misread_words(texts, kind)
     titles = written(running_titles(texts, kind), "titles")
 

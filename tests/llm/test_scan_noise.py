@@ -34,6 +34,16 @@ def test_found(spark):
     assert ("systèrne", "système") in {(r["form"], r["better"]) for r in words.collect()}
 
 
+def test_wrong_label(spark):
+    """A misread form seen once, and a title, in scans whose label is wrong or null."""
+    rows = [r for r in corpus() if r[0][0] == "s"]
+    once = ("m0", "alone", rows[0][2].replace("structure", "structurc"), None)
+    scans = [(f"w{i}", "wrong", f"Lycée de Ville\nle modèle de {NAMES[i]} montre la cel-\nlule montre la structure {i}.", "docling") for i in range(4)]
+    df = spark.createDataFrame([*rows, once, *scans], "id string, file string, content string, method string")
+    kinds = {tuple(r) for r in scan_noise(df, "id", "content", "file", F.col("method") == "ocr")[0].collect()}
+    assert kinds == {("m0", "chars")} | {(f"w{i}", k) for i in range(4) for k in ("header", "hyphen")}
+
+
 def test_repaired(spark):
     df = spark.createDataFrame(corpus(), "id string, file string, content string, method string")
     text = {r["id"]: r["content"] for r in repaired(df, "id", "content", "file", F.col("method") == "ocr").collect()}
