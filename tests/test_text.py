@@ -121,3 +121,19 @@ def test_align(spark):
 def test_rewrite(one):
     assert one(conversation.rewrite_guard(F.lit("orig"), F.lit('"une question complète"'))) == "une question complète"
     assert one(conversation.rewrite_guard(F.lit("orig"), F.lit("trop court"))) == "orig"
+
+
+def test_word_numbers():
+    """Numbering stretches equals cutting the folded text into words, also where folding makes several words or none of one."""
+    import numpy as np
+
+    from lexgrain.functions.words import WordIds, runs, words
+
+    texts = ["½ tasse … l’œuvre", "", "élève İstanbul ﬁn Ⅳ ª K ½a a½ x̂½̂y", "∑ Ω 中文 a中b", "㈱ ㎏3 été", "a" * 5000, "un\x00deux​trois"]
+    a, b = WordIds(), WordIds(most=3)
+    for t in [*texts, *texts]:
+        assert np.array_equal(a(words(t)), b.of(t))
+    assert len(a.of(None)) == 0
+    r = runs(a.of("a b a b a c"), 3)
+    assert len(r) == 4 and len(set(r.tolist())) == 4 and len(runs(a.of("a b"), 3)) == 0
+    assert len(set(runs(a.of("a b a b a b"), 3).tolist())) == 2
