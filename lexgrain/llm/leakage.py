@@ -1,14 +1,15 @@
 """Held-out texts inside a corpus, found with a positional inverted index.
 
-1. The terms of the index are runs of ``gram`` words. Document frequencies of the test texts' terms are counted over the whole corpus.
-2. A shared run of ``run`` words covers at least one window of ``run`` words of the test text. Of each window the
-   ``anchors`` rarest terms are its anchors.
-3. The index holds, for every anchor term, the documents and positions where it stands (stored in the shared folder,
-   one row per term and document). A bitmap of fixed size (1 MB) keeps other terms out before the shuffle.
-4. Postings meet the anchors of their term; a posting minus the anchor's place is the offset of the test text in the
-   document. Offsets at which all anchors of a window agree go on to the texts themselves.
-5. There the longest common run through the offset is measured: an exact match when it is long enough, otherwise a
-   proximity match if most of the window's words stand near their places in order.
+1. The terms of the index are runs of ``gram`` words. The corpus is read and cut into words once: the postings of every term
+   that the test texts contain (document and the places where it stands, a row per term and document) are written to the shared
+   folder. A bitmap of fixed size (1 MB) keeps terms of no test text out before anything is written.
+2. Document frequencies are counts over the stored postings. A shared run of ``run`` words covers at least one window of ``run``
+   words of the test text. Of each window the ``anchors`` rarest terms that the corpus has are its anchors.
+3. Postings of the anchors, less the anchor's place, are offsets of the test text in the document. Offsets at which ``agree``
+   anchors of a window meet go on to the texts themselves: a common run meets in all of them, a passage with some words
+   changed in those it has left.
+4. There the longest common run through the offset is measured: an exact match when it is long enough, otherwise a
+   proximity match if most of a window's words stand near their places in order.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.functions.words import WordIds, runs, words
+from lexgrain.functions.words import WordIds, runs
 from lexgrain.session import written
 
 BITS = 23
@@ -49,58 +50,38 @@ def postings(corpus: DataFrame, bits, gram: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                row, term, places = [], [], []
+                terms, rows, places = [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    h = runs(ids(words(text)), gram)
-                    at = np.flatnonzero(_has(bits.value, h)) if len(h) else []
-                    if not len(at):
-                        continue
-                    own = h[at]
-                    order = np.argsort(own, kind="stable")
-                    begin = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
-                    term.append(own[order][begin].view(np.int64))
-                    row.append(np.full(len(begin), i))
-                    places += [p.astype(np.int32).tolist() for p in np.split(at[order], begin[1:])]
-                none = np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(term) if term else none), part.column(0).take(pa.array(np.concatenate(row) if row else none)), pa.array(places, pa.list_(pa.int32())),
-                ], names=["term", "doc", "places"])
+                    h = runs(ids.of(text), gram)
+                    at = np.flatnonzero(_has(bits.value, h)) if len(h) else h
+                    if len(at):
+                        terms.append(h[at])
+                        places.append(at.astype(np.int32))
+                        rows.append(np.full(len(at), i, np.int64))
+                if not terms:
+                    continue
+                t, r, p = np.concatenate(terms), np.concatenate(rows), np.concatenate(places)
+                order = np.lexsort((p, t, r))
+                t, r, p = t[order], r[order], p[order]
+                begin = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (r[1:] != r[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(t)).astype(np.int32)), pa.array(p))
+                yield pa.RecordBatch.from_arrays([pa.array(t[begin].view(np.int64)), part.column(0).take(pa.array(r[begin])), lists], names=["term", "doc", "places"])
 
     return corpus.mapInArrow(index, f"term long, doc {dict(corpus.dtypes)['doc']}, places array<int>")
 
 
-def _frequencies(corpus: DataFrame, bits, gram: int) -> DataFrame:
-    def count(batches):
-        ids, held = WordIds(), {}
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                h = np.unique(runs(ids(words(text)), gram))
-                for t in h[_has(bits.value, h)].tolist() if len(h) else []:
-                    held[t] = held.get(t, 0) + 1
-            if len(held) > 200_000:
-                yield _counts(held)
-                held = {}
-        yield _counts(held)
-
-    return corpus.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-
-
-def _counts(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(list(held), np.uint64).view(np.int64)), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
-
-
 def _item_terms(items: DataFrame, gram: int) -> DataFrame:
     def cut(batches):
         ids = WordIds()
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
-                h = runs(ids(words(text)), gram).view(np.int64)
+                h = runs(ids.of(text), gram).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), i))), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h, pa.int64())], names=["item", "place", "term"])
 
     return items.mapInArrow(cut, f"item {dict(items.dtypes)['item']}, place int, term long")
 
 
-def _anchors(terms: DataFrame, run: int, anchors: int) -> DataFrame:
+def _anchors(terms: DataFrame, run: int, anchors: int, agree: int) -> DataFrame:
     """``item, term, place, need, windows``: the anchors, and the windows (by start) that each of them serves."""
 
     def choose(table: pa.Table) -> pa.Table:
@@ -109,30 +90,47 @@ def _anchors(terms: DataFrame, run: int, anchors: int) -> DataFrame:
         n, wanted = len(df), {}
         width = min(run, n)
         for start in range(n - width + 1):
-            rare = np.argsort(df[start : start + width], kind="stable")[:anchors] + start
-            for p in rare.tolist():
+            own = np.flatnonzero(df[start : start + width]) + start
+            for p in own[np.argsort(df[own], kind="stable")[:anchors]].tolist():
                 wanted.setdefault(p, []).append(start)
         places = sorted(wanted)
         return pa.table({
             "item": pa.array([table.column("item")[0].as_py()] * len(places), table.schema.field("item").type), "term": pa.array(term[places], pa.int64()), "place": pa.array(places, pa.int32()),
-            "need": pa.array([min(anchors, width)] * len(places), pa.int32()), "windows": pa.array([wanted[p] for p in places], pa.list_(pa.int32())),
+            "need": pa.array([min(agree, width)] * len(places), pa.int32()), "windows": pa.array([wanted[p] for p in places], pa.list_(pa.int32())),
         })
 
     return terms.groupBy("item").applyInArrow(choose, f"item {dict(terms.dtypes)['item']}, term long, place int, need int, windows array<int>")
 
 
-def longest_run(a: list[str], b: list[str], offset: int) -> tuple[int, int]:
+def longest_run(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     """The longest common run of words with b's places shifted by ``offset`` against a, and its first place in a."""
     lo, hi = max(0, offset), min(len(a), offset + len(b))
-    best, at, now = 0, -1, 0
-    for i in range(lo, hi):
-        now = now + 1 if a[i] == b[i - offset] else 0
-        if now > best:
-            best, at = now, i - now + 1
-    return best, at
+    if hi <= lo:
+        return 0, -1
+    ends = np.flatnonzero(np.concatenate([[True], a[lo:hi] != b[lo - offset : hi - offset], [True]]))
+    sizes = np.diff(ends) - 1
+    k = int(sizes.argmax())
+    return (int(sizes[k]), lo + int(ends[k])) if sizes[k] else (0, -1)
 
 
-def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 18, anchors: int = 2, gram: int = 3, near: float = 0.8, slack: int = 4) -> DataFrame:
+def near_window(a: np.ndarray, b: np.ndarray, offset: int, width: int, near: float, slack: int) -> int:
+    """The first place of a window of b of ``width`` words of which the share ``near`` stands within ``slack`` words of its place in a; -1 for none."""
+    place = np.arange(len(b)) + offset
+    hit = np.zeros(len(b), bool)
+    for d in range(-slack, slack + 1):
+        at = place + d
+        inside = (at >= 0) & (at < len(a))
+        hit[inside] |= a[at[inside]] == b[inside]
+    total = np.concatenate([[0], np.cumsum(hit)])
+    good = np.flatnonzero(total[width:] - total[:-width] >= near * width)
+    return int(good[0]) if len(good) else -1
+
+
+#: Up to so many documents, their keys are sent to every task instead of the texts being shuffled.
+FEW_DOCUMENTS = 200_000
+
+
+def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 18, anchors: int = 4, agree: int = 2, gram: int = 3, near: float = 0.8, slack: int = 4) -> DataFrame:
     """``doc, item, match, run_words, doc_place, item_place``, one row for each document and test text that meet.
 
     match is "exact" (a common run of at least ``run`` words, or the whole test text if it is shorter) or "proximity" (at least
@@ -143,38 +141,45 @@ def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, i
     items = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("text")).dropDuplicates(["item"])
     spark = corpus.sparkSession
     terms = written(_item_terms(items, gram), "test-terms")
-    frequent = _frequencies(corpus, spark.sparkContext.broadcast(_bitmap(terms)), gram)
+    index = written(postings(corpus, spark.sparkContext.broadcast(_bitmap(terms)), gram), "postings")
+    frequent = index.groupBy("term").agg(F.count("*").alias("df"))
     known = terms.join(frequent, "term", "left").select("item", "place", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    chosen = written(_anchors(known, run - gram + 1, anchors), "anchors")
-    index = written(postings(corpus, spark.sparkContext.broadcast(_bitmap(chosen)), gram), "postings")
+    chosen = written(_anchors(known, run - gram + 1, anchors, agree), "anchors")
     met = index.join(chosen, "term").select("doc", "item", "need", "windows", F.explode("places").alias("p"), "place").withColumn("offset", F.col("p") - F.col("place"))
     agreed = met.select("doc", "item", "offset", "need", "place", F.explode("windows").alias("window")).distinct()
     full = agreed.groupBy("doc", "item", "offset", "window").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
-    spots = full.groupBy("doc", "item").agg(F.collect_set(F.struct("offset", "window")).alias("spots"))
+    # at most as many offsets as the document has words
+    spots = written(full.groupBy("doc", "item").agg(F.collect_set("offset").alias("offsets")), "spots")
+    docs = spots.select("doc").distinct()
+    docs = F.broadcast(docs) if docs.limit(FEW_DOCUMENTS + 1).count() <= FEW_DOCUMENTS else docs
+    texts = corpus.join(docs, "doc", "left_semi").withColumnRenamed("text", "t")
 
     def judge(batches):
+        ids = WordIds()
         for batch in batches:
             out = []
-            tests: dict[str, list[str]] = {}
-            for i, (spots, t, u) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                a = words(t)
-                b = tests[u] = tests.get(u) or words(u)
-                best = max((*longest_run(a, b, o), -o) for o in {s["offset"] for s in spots})
-                if best[0] >= min(run, len(b)):
+            tests: dict[str, np.ndarray] = {}
+            for i, (offsets, t, u) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+                a = ids.of(t)
+                if u not in tests:
+                    tests[u] = ids.of(u)
+                b = tests[u]
+                best = max((*longest_run(a, b, o), -o) for o in offsets)
+                width = min(run, len(b))
+                if best[0] >= width:
                     out.append((i, "exact", best[0], best[1], best[1] + best[2]))
                     continue
-                width = min(run, len(b))
-                for s in spots:
-                    hit = sum(b[w] in a[max(0, w + s["offset"] - slack) : max(0, w + s["offset"] + slack + 1)] for w in range(s["window"], s["window"] + width))
-                    if hit >= near * width:
-                        out.append((i, "proximity", best[0], s["window"] + s["offset"], s["window"]))
+                for o in sorted(offsets):
+                    w = near_window(a, b, o, width, near, slack)
+                    if w >= 0:
+                        out.append((i, "proximity", best[0], w + o, w))
                         break
             row = pa.array([o[0] for o in out], pa.int64())
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array([o[k + 1] for o in out], kinds[k]) for k in range(4)]], names=["doc", "item", "match", "run_words", "doc_place", "item_place"])
 
     types = dict(spots.dtypes)
-    pairs = spots.join(items.withColumnRenamed("text", "u"), "item").join(corpus.withColumnRenamed("text", "t"), "doc").select("doc", "item", "spots", "t", "u")
+    pairs = spots.join(items.withColumnRenamed("text", "u"), "item").join(texts, "doc").select("doc", "item", "offsets", "t", "u")
     judged = pairs.mapInArrow(judge, f"doc {types['doc']}, item {types['item']}, match string, run_words int, doc_place int, item_place int")
     rest = [F.col(c) for c in ("match", "run_words", "doc_place", "item_place")]
     one = judged.groupBy("doc", "item").agg(F.max_by(F.struct(*rest), F.struct("run_words", "doc_place")).alias("r"))

@@ -39,3 +39,26 @@ def test_edges(spark):
     assert set(got) == {(1, 7), (4, 7)}
     assert leaks(docs.limit(0), "d", "text", items, "i", "text").count() == 0
     assert leaks(docs, "d", "text", items.limit(0), "i", "text").count() == 0
+
+
+def test_proximity_recall(spark):
+    """Passages of 24 words with one word in twelve changed, nothing more: nearly all are told by proximity."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(24))) for i in range(60)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for k in (6, 17):
+            w[k] = "autre"
+        docs.append((i, " ".join(f"x{rng.randrange(5000)}" for _ in range(40)) + " " + " ".join(w)))
+    got = leaks(spark.createDataFrame(docs, "d long, text string"), "d", "text", spark.createDataFrame(items, "i long, text string"), "i", "text")
+    hit = {(r["d"], r["i"]) for r in got.where("match = 'proximity'").collect()}
+    assert hit <= {(i, i) for i, _ in items} and len(hit) >= 0.95 * len(items)
+
+
+def test_looping_text_and_hot_terms(spark):
+    """One item made of the corpus's commonest words, in a text that loops it hundreds of times."""
+    t = " ".join(f"c{k}" for k in range(20))
+    docs = [(0, (t + " ") * 300)] + [(i, f"debut {i} " + t) for i in range(1, 400)] + [(1000 + i, f"rien de commun {i}") for i in range(50)]
+    got = leaks(spark.createDataFrame(docs, "d long, text string"), "d", "text", spark.createDataFrame([(1, t)], "i long, text string"), "i", "text")
+    assert {(r["d"], r["match"], r["run_words"]) for r in got.collect()} == {(i, "exact", 20) for i in range(400)}
