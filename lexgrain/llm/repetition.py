@@ -2,7 +2,10 @@
 
 Each text gets six statistics by rule (shares of repeated word runs, sentences, paragraphs and words). A forest of random
 splits is grown on a bounded sample; a text isolated after few splits is an anomaly. The threshold on the anomaly score is
-set from labelled rows: it is the score that lets every labelled repetitive text of the sample through, less a margin.
+set from labelled rows: it is the least score of all rows labelled repetitive, so that every one of them passes.
+
+``p10_found`` is defined by an exact share, so its labels come from that share and the share decides its rows; the forest can
+then only confirm them. Where labels are given from elsewhere, the forest decides.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.functions.words import WordIds, folded, runs, words
+from lexgrain.functions.words import WordIds, runs
 from lexgrain.session import written
 
 STATISTICS = ["repeated_share", "repeated_pairs", "repeated_tens", "repeated_sentences", "repeated_paragraphs", "repeated_words"]
@@ -25,19 +28,24 @@ def _again(x: list) -> float:
     return 1 - len(set(x)) / len(x) if x else 0.0
 
 
+def _repeated(r: np.ndarray) -> float:
+    """The share of numbers equal to an earlier one."""
+    if len(r) < 2:
+        return 0.0
+    s = np.sort(r)
+    return float(np.count_nonzero(s[1:] == s[:-1])) / len(r)
+
+
 def statistics(text: str | None, ids: WordIds, n: int) -> tuple[int, list[float]]:
     """The number of words and the statistics; the first is the share of runs of n words equal to an earlier one."""
     if not text:
         return 0, [0.0] * len(STATISTICS)
-    w = ids(words(text))
-    shares = []
-    for size in (n, 2, 10):
-        r = runs(w, size)
-        shares.append(1 - len(np.unique(r)) / len(r) if len(r) else 0.0)
-    flat = folded(text)
-    sentences = [s for s in (x.strip() for x in _SENTENCE.split(flat)) if len(s) > 12]
-    paragraphs = [s for s in (x.strip() for x in flat.split("\n")) if len(s) > 12]
-    return len(w), [*shares, _again(sentences), _again(paragraphs), 1 - len(np.unique(w)) / len(w) if len(w) else 0.0]
+    w = ids.of(text)
+    shares = [_repeated(runs(w, size)) for size in (n, 2, 10)]
+    flat = text.lower()
+    sentences = [x for x in map(str.strip, _SENTENCE.split(flat)) if len(x) > 12]
+    paragraphs = [x for x in map(str.strip, flat.split("\n")) if len(x) > 12]
+    return len(w), [*shares, _again(sentences), _again(paragraphs), _repeated(w)]
 
 
 def measured(rows: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
@@ -100,40 +108,37 @@ def expected_path(n: int) -> float:
     return 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
-def repetition(rows: DataFrame, key: str, text: str, labelled: DataFrame | None = None, label: str = "repetitive", share: float = 0.3, n: int = 5, fit_rows: int = 20_000, margin: float = 0.05) -> DataFrame:
+def repetition(rows: DataFrame, key: str, text: str, labelled: DataFrame | None = None, label: str = "repetitive", share: float = 0.3, n: int = 5, fit_rows: int = 20_000) -> DataFrame:
     """``key, words, <statistics>, score, anomalous`` of every row with a key.
 
-    labelled: ``key`` and a boolean ``label``; without it the rows of the sample are labelled by the definition (at least n
-    words and a repeated share of at least ``share``). The forest is fitted on at most ``fit_rows`` rows, those of the smallest
-    key hash; the threshold is the least score of a labelled repetitive row, less ``margin``; without any such row it is 0.5.
+    labelled: ``key`` and a boolean ``label``; without it all rows are labelled by the definition (at least n words and a
+    repeated share of at least ``share``). The forest is fitted on at most ``fit_rows`` rows, those of a range of the key's hashes
+    (all rows of a smaller table); the threshold is the least score of all rows labelled repetitive; without any such row it is 0.5.
     Repeated rows of a key count once if they are equal. Null or empty texts score as texts without repetition; a text of
     fewer than n words has share 0. An empty table gives no rows. Every row is scored.
     """
     spark = rows.sparkSession
     stats = written(measured(rows, key, text, n), "statistics")
-    sample = stats.orderBy(F.xxhash64("key"), "key").limit(fit_rows)
-    if labelled is not None:
-        sample = sample.join(labelled.select(F.col(key).alias("key"), F.col(label).cast("boolean").alias("label")), "key", "left")
-    else:
-        sample = sample.withColumn("label", (F.col("words") >= n) & (F.col("repeated_share") >= share))
-    got = sample.toPandas()
-    x = got[STATISTICS].to_numpy(float)
-    if len(x):
-        forest = IsolationForest(x)
-        good = (got["label"] == True).to_numpy()  # noqa: E712
-        threshold = float(forest.score(x[good]).min() - margin) if good.any() else 0.5
-    else:
-        forest, threshold = None, 0.5
-    shared = spark.sparkContext.broadcast(forest)
+    total = stats.count()
+    part = 1.0 if total <= fit_rows else 0.95 * fit_rows / total  # of the hashes' range; the limit only guards the tail
+    sample = stats.where(F.xxhash64("key") <= min(2**63 - 1, int(-(2**63) + part * (2**64 - 1)))).select(*STATISTICS).limit(fit_rows)
+    x = sample.toPandas().to_numpy(float)
+    shared = spark.sparkContext.broadcast(IsolationForest(x) if len(x) else None)
 
     def judge(batches):
         for batch in batches:
             x = np.stack([batch.column(2 + j).to_numpy() for j in range(len(STATISTICS))], 1)
             score = shared.value.score(x) if shared.value is not None else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(score >= threshold)], names=[*batch.schema.names, "score", "anomalous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in stats.dtypes)
-    return stats.mapInArrow(judge, kinds + ", score double, anomalous boolean").dropDuplicates(["key"]).withColumnRenamed("key", key)
+    scored = written(stats.mapInArrow(judge, kinds + ", score double").dropDuplicates(["key"]), "scores")
+    if labelled is None:
+        good = scored.where((F.col("words") >= n) & (F.col("repeated_share") >= share - 1e-12))
+    else:
+        good = scored.join(labelled.where(F.col(label).cast("boolean")).select(F.col(key).alias("key")), "key", "left_semi")
+    least = good.agg(F.min("score")).first()[0]
+    return scored.withColumn("anomalous", F.col("score") >= (0.5 if least is None else least)).withColumnRenamed("key", key)
 
 
 def _p10(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +151,8 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Anomalous documents of at least five words whose share is at least 0.30."""
+    """Anomalous documents of at least five words whose share is at least 0.30. The share is the definition and decides: the
+    threshold of the forest is set so that all of them are anomalous."""
     return _p10(spark, folder).where("anomalous AND words >= 5 AND repeated_share >= 0.3 - 1e-12").select("doc_id")
 
 
