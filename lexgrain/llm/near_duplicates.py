@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.session import written
-from lexgrain.functions.words import WordIds, mixed, runs, words
+from lexgrain.functions.words import WordIds, mixed, runs
 
 COUNTERS_LOG = 18
 POOL_LOG = 14
@@ -30,13 +30,13 @@ STEP = 0.1
 LEVELS = 110  # ln(weight) from -1 to 10
 LOWEST = -1.0
 BLOCK = 128
-PIECE = 200_000
+PIECE = 30_000  # runs whose samples are drawn at a time: the arrays stay in the processor's cache
 
 
 def _shingles(texts, n: int, ids: WordIds):
     """Distinct word runs of each text with their counts. A text shorter than n words counts as one run."""
     for text in texts:
-        w = ids(words(text))
+        w = ids.of(text)
         if len(w) == 0:
             yield np.empty(0, np.uint64), np.empty(0, np.int64)
         elif len(w) < n:
@@ -45,23 +45,33 @@ def _shingles(texts, n: int, ids: WordIds):
             yield np.unique(runs(w, n), return_counts=True)
 
 
+def _slots(u: np.ndarray) -> np.ndarray:
+    return (u >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64)
+
+
+def _counters(found: DataFrame) -> tuple[np.ndarray, int]:
+    """The counters as an array and the number of texts (in slot -1), from rows of ``at, n``: at most 2**18 + 1 numbers."""
+    got = found.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counters = np.zeros(1 << COUNTERS_LOG, np.int64)
+    known = got[got["at"] >= 0]
+    counters[known["at"].to_numpy()] = known["n"].to_numpy()
+    return counters, int(got.loc[got["at"] == -1, "n"].sum())
+
+
 def run_frequencies(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Counters of document frequencies, by the upper bits of the run's number, and the number of texts."""
 
     def count(batches):
         ids, counters, total = WordIds(), np.zeros(1 << COUNTERS_LOG, np.int64), 0
         for batch in batches:
-            for u, _ in _shingles(batch.column(0).to_pylist(), n, ids):
-                np.add.at(counters, (u >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64), 1)
-                total += 1
+            own = [u for u, _ in _shingles(batch.column(0).to_pylist(), n, ids)]
+            total += len(own)
+            if own:
+                counters += np.bincount(_slots(np.concatenate(own)), minlength=len(counters))
         at = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counters[at], total))], names=["at", "n"])
 
-    found = texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counters = np.zeros(1 << COUNTERS_LOG, np.int64)
-    known = found[found["at"] >= 0]
-    counters[known["at"].to_numpy()] = known["n"].to_numpy()
-    return counters, int(found.loc[found["at"] == -1, "n"].sum())
+    return _counters(texts.mapInArrow(count, "at long, n long"))
 
 
 def _idf(counters: np.ndarray, total: int) -> np.ndarray:
@@ -69,10 +79,11 @@ def _idf(counters: np.ndarray, total: int) -> np.ndarray:
 
 
 _TABLE: dict[int, np.ndarray] = {}
+LOW_BITS = 11
 
 
 def _table() -> np.ndarray:
-    """For each weight level and pool entry: the rank value in the upper half, a number of the quantum t in the lower."""
+    """For each weight level and pool entry: the rank of the value in the upper bits, a number of the quantum t in the lower 11."""
     if not _TABLE:
         rng = np.random.default_rng(20240611)
         size = 1 << POOL_LOG
@@ -80,90 +91,105 @@ def _table() -> np.ndarray:
         level = (LOWEST + STEP * np.arange(LEVELS))[:, None]
         t = np.floor(level / r + beta)
         a = np.log(c) - r * (t - beta) - r
-        rank = np.argsort(np.argsort(a, axis=None)).reshape(a.shape).astype(np.uint64)
-        ties = mixed((t.astype(np.int64).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)
-        _TABLE[0] = ((rank << np.uint64(32)) | ties).ravel()
+        rank = np.argsort(np.argsort(a, axis=None)).reshape(a.shape).astype(np.uint32)
+        ties = (mixed((t.astype(np.int64).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
+        _TABLE[0] = ((rank << np.uint32(LOW_BITS)) | ties).ravel()
     return _TABLE[0]
 
 
 def _samples(elements: np.ndarray, levels: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """The k samples of each text (rows), as 32-bit numbers of (run, quantum)."""
-    table, odd = _table(), np.random.default_rng(7).integers(1, 2**63, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base, low, shift = levels.astype(np.uint64) << np.uint64(POOL_LOG), elements & np.uint64(0xFFFFFFFF), np.uint64(64 - POOL_LOG)
-    out = np.empty((k, len(starts)), np.uint64)
-    at = np.empty(len(elements), np.uint64)
+    """The k samples of each text (rows), a byte of (run, quantum) each."""
+    table, odd = _table(), np.random.default_rng(7).integers(0, 2**31, size=k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    base = levels.astype(np.int64) << POOL_LOG
+    high, low, shift = (elements >> np.uint64(32)).astype(np.uint32), (elements & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32), np.uint32(32 - POOL_LOG)
+    out = np.empty((k, len(starts)), np.uint32)
+    h, key, at = np.empty(len(elements), np.uint32), np.empty(len(elements), np.uint32), np.empty(len(elements), np.int64)
     for i in range(k):
-        np.multiply(elements, odd[i], out=at)
-        np.right_shift(at, shift, out=at)
-        np.add(at, base, out=at)
-        key = table[at.view(np.int64)]
+        np.multiply(high, odd[i], out=h)
+        np.right_shift(h, shift, out=h)
+        np.add(h, base, out=at)
+        np.take(table, at, out=key, mode="clip")
         np.bitwise_xor(key, low, out=key)
-        out[i] = np.minimum.reduceat(key, starts)
-    return out.T & np.uint64(0xFFFFFFFF)
+        np.minimum.reduceat(key, starts, out=out[i])
+    return (out.T & np.uint32(0xFF)).astype(np.uint8)
+
+
+_DRAWN = "id long, drawn binary, at array<int>, n array<int>"
 
 
 def samples(texts: DataFrame, n: int, k: int, idf) -> DataFrame:
-    """``id, drawn``: the k samples of every text of ``id, content`` that has a word, one byte each.
+    """``id, drawn, at, n``: the k samples of every text of ``id, content`` that has a word, one byte each.
 
-    idf: the broadcast table of weights, or None: every distinct run weighs 1.
+    idf: the broadcast table of weights, or None: every distinct run weighs 1, and the same pass counts the document
+    frequencies (rows with a null id, counters in ``at`` and ``n``, the number of texts in slot -1).
     """
 
     def draw(batches):
         ids, seen, weights = WordIds(), set(), None if idf is None else idf.value
+        counters, texts_met = np.zeros(1 << COUNTERS_LOG, np.int64), 0
         held, total = [], 0
 
+        def row(keys, drawn, at, counts):
+            kind = pa.list_(pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(drawn, pa.binary()), pa.array(at, kind), pa.array(counts, kind)], names=["id", "drawn", "at", "n"])
+
         def flush():
             starts = np.cumsum([0] + [len(u) for _, u, _ in held[:-1]])
             elements = np.concatenate([u for _, u, _ in held])
-            counts = np.concatenate([c for _, _, c in held])
-            w = np.ones(len(elements)) if weights is None else counts * weights[(elements >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64)]
+            w = np.ones(len(elements)) if weights is None else np.concatenate([c for _, _, c in held]) * weights[_slots(elements)]
             level = np.clip(np.rint((np.log(w) - LOWEST) / STEP), 0, LEVELS - 1)
-            s = (mixed(_samples(mixed(elements), level, starts, k)) & np.uint64(0xFF)).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in held], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "drawn"])
+            s = _samples(mixed(elements), level, starts, k)
+            none = [None] * len(held)
+            return row([i for i, _, _ in held], [x.tobytes() for x in s], none, none)
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            new = []
-            for i, key in enumerate(keys):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            for i, (u, c) in zip(new, _shingles(batch.column(1).take(pa.array(new, pa.int64())).to_pylist(), n, ids)):
+            keys, counted = batch.column(0).to_pylist(), []
+            for key, (u, c) in zip(keys, _shingles(batch.column(1).to_pylist(), n, ids)):
+                texts_met += 1
+                counted.append(u)
+                if key in seen:
+                    continue
+                seen.add(key)
                 if len(u):
-                    held.append((keys[i], u, c))
+                    held.append((key, u, c))
                     total += len(u)
                     if total >= PIECE:
                         yield flush()
                         held, total = [], 0
+            if weights is None and counted:
+                counters += np.bincount(_slots(np.concatenate(counted)), minlength=len(counters))
         if held:
             yield flush()
+        if weights is None and texts_met:
+            at = np.flatnonzero(counters)
+            for j in range(0, len(at), 20_000):
+                yield row([None], [None], [at[j : j + 20_000].astype(np.int32)], [counters[at[j : j + 20_000]].astype(np.int32)])
+            yield row([None], [None], [[-1]], [[texts_met]])
 
-    return texts.select("id", "content").mapInArrow(draw, "id long, drawn binary")
-
+    return texts.select("id", "content").mapInArrow(draw, _DRAWN)
 
-def bands(drawn: DataFrame, rows: int, count: int) -> DataFrame:
-    """``band, id``: every text under its bands, a third of them from samples used before, in other company."""
 
-    def cut(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                again = s[:, np.random.default_rng(11).permutation(s.shape[1])]
-                s = np.concatenate([s, again], 1)[:, : rows * count].reshape(part.num_rows, count, rows).astype(np.uint64)
-                key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), s.shape[:2]).copy()
-                for j in range(rows):
-                    key = (key << np.uint64(8)) | s[:, :, j]
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(key).ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), count))], names=["band", "id"])
-
-    return drawn.select("id", "drawn").mapInArrow(cut, "band long, id long")
+def _keys(batch: pa.RecordBatch, rows: int, count: int):
+    """(ids, band numbers of each): every text under its bands, a third of them from samples used before, in other company."""
+    for k in range(0, batch.num_rows, 1000):
+        part = batch.slice(k, 1000)
+        s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+        again = s[:, np.random.default_rng(11).permutation(s.shape[1])]
+        s = np.concatenate([s, again], 1)[:, : rows * count].reshape(part.num_rows, count, rows).astype(np.uint64)
+        key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), s.shape[:2]).copy()
+        for j in range(rows):
+            key = (key << np.uint64(8)) | s[:, :, j]
+        yield part.column(0).to_numpy(), mixed(key)
 
 
 SKETCH = 128
 
 
 def likely_pairs(pairs: DataFrame, drawn: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose first 128 samples agree as often as a similarity five standard deviations below ``similarity`` would."""
+    """The pairs whose first 128 samples agree as often as a similarity five standard deviations below ``similarity`` would.
+
+    Called with 0.9 times the similarity asked for: a pair at exactly 0.5 is lost with a chance under 1e-9, above it less.
+    """
     least = SKETCH * similarity - 5 * np.sqrt(SKETCH * similarity * (1 - similarity))
 
     def agree(batches):
@@ -178,46 +204,97 @@ def likely_pairs(pairs: DataFrame, drawn: DataFrame, similarity: float) -> DataF
     return both.mapInArrow(agree, "a long, b long")
 
 
-def candidate_pairs(banded: DataFrame, parts: int) -> DataFrame:
-    """Distinct ``a, b`` (a < b) that share a band. Bands are sorted inside partitions; a band of many texts goes on as pairs of blocks."""
+def crowded(drawn: DataFrame, rows: int, count: int) -> tuple[np.ndarray, int]:
+    """How many rows stand in each of 2**18 slots of band numbers, and their total: a bounded picture of which bands are hot."""
+
+    def add(batches):
+        counters = np.zeros(1 << COUNTERS_LOG, np.int64)
+        for batch in batches:
+            for s, key in _keys(batch, rows, count):
+                counters += np.bincount(_slots(key.ravel()), minlength=len(counters))
+        at = np.flatnonzero(counters)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counters[at], counters.sum()))], names=["at", "n"])
+
+    return _counters(drawn.select("id", "drawn").mapInArrow(add, "at long, n long"))
+
+
+def candidate_pairs(drawn: DataFrame, rows: int, count: int, part: int = 4_000_000, cell: int = 20_000) -> DataFrame:
+    """Distinct ``a, b`` (a < b) that share a band.
+
+    Bands that may be hot (their slot holds ``cell`` rows more than the average slot) are cut before the shuffle: each text
+    takes one of the blocks of about ``cell`` rows, and each pair of blocks is a cell of its own, so no task receives more of
+    a band than two blocks. Partitions are as many as the rows ask for, about ``part`` rows each.
+    """
+    spark = drawn.sparkSession
+    load, total = crowded(drawn, rows, count)
+    blocks = np.maximum(1, -(-(load - total // len(load)) // cell)).astype(np.int64)
+    blocks[load - total // len(load) < cell] = 1
+    shared = spark.sparkContext.broadcast(blocks)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-total // part)))
+
+    def place(batches):
+        blocks = shared.value
+        for batch in batches:
+            for own, key in _keys(batch, rows, count):
+                who, band = np.repeat(own, count), key.ravel()
+                many = blocks[_slots(band)]
+                cold = many == 1
+                yield _placed(band[cold], who[cold], np.zeros(int(cold.sum()), np.int8))
+                hot = np.flatnonzero(~cold)
+                for i in hot.tolist():
+                    m = int(many[i])
+                    mine = int(mixed(who[i : i + 1].view(np.uint64))[0] % np.uint64(m))
+                    other = np.arange(m)
+                    low, high = np.minimum(other, mine).astype(np.uint64), np.maximum(other, mine).astype(np.uint64)
+                    names = mixed(band[i] + mixed(low * np.uint64(1 << 20) + high + np.uint64(1)))
+                    yield _placed(names, np.full(m, who[i]), np.where(other == mine, 0, np.where(other > mine, 1, 2)).astype(np.int8))
 
     def group(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        band = np.concatenate([b.column(0).to_numpy() for b in got])
-        own = np.concatenate([b.column(1).to_numpy() for b in got])
+        band, own, side = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
         del got
         order = np.lexsort((own, band))
-        band, own = band[order], own[order]
+        band, own, side = band[order], own[order], side[order]
         keep = np.append(True, (band[1:] != band[:-1]) | (own[1:] != own[:-1]))
-        band, own = band[keep], own[keep]
+        band, own, side = band[keep], own[keep], side[keep]
         begin = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
         sizes = np.diff(np.append(begin, len(band)))
-        two = begin[sizes == 2]
+        two = begin[(sizes == 2) & (side[begin] == 0)]
         a, b = own[two], own[two + 1]
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         for k in range(0, len(pair), 20_000):
             yield _blocks([x[:1] for x in pair[k : k + 20_000]], [x[1:] for x in pair[k : k + 20_000]])
         left, right, held = [], [], 0
-        for s, m in zip(begin[sizes > 2], sizes[sizes > 2]):
-            for i in range(s, s + m, BLOCK):
-                x = own[i : min(i + BLOCK, s + m)]
-                for j in range(i, s + m, BLOCK):
-                    left.append(x)
-                    right.append(own[j : min(j + BLOCK, s + m)])
-                    held += len(x) + len(right[-1])
-                    if held > 100_000:
-                        yield _blocks(left, right)
-                        left, right, held = [], [], 0
+        for s, m in zip(begin[sizes > 1], sizes[sizes > 1]):
+            if side[s] == 0:
+                if m == 2:
+                    continue
+                met = [(own[i : min(i + BLOCK, s + m)], own[j : min(j + BLOCK, s + m)]) for i in range(s, s + m, BLOCK) for j in range(i, s + m, BLOCK)]
+            else:
+                x, y = own[s : s + m][side[s : s + m] == 1], own[s : s + m][side[s : s + m] == 2]
+                met = [(x[i : i + BLOCK], y[j : j + BLOCK]) for i in range(0, len(x), BLOCK) for j in range(0, len(y), BLOCK)]
+            for x, y in met:
+                left.append(x)
+                right.append(y)
+                held += len(x) + len(y)
+                if held > 100_000:
+                    yield _blocks(left, right)
+                    left, right, held = [], [], 0
         if left:
             yield _blocks(left, right)
 
-    blocks = banded.repartition(parts, "band").mapInArrow(group, "left array<long>, right array<long>")
-    pairs = blocks.select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y")).where("x <> y")
+    banded = drawn.select("id", "drawn").mapInArrow(place, "band long, id long, side byte")
+    blocked = banded.repartition(parts, "band").mapInArrow(group, "left array<long>, right array<long>")
+    pairs = blocked.select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y")).where("x <> y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _placed(band: np.ndarray, who: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(who), pa.array(side)], names=["band", "id", "side"])
+
+
 def _blocks(left: list, right: list) -> pa.RecordBatch:
     kind = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in left], kind), pa.array([x.tolist() for x in right], kind)], names=["left", "right"])
@@ -261,44 +338,56 @@ def near_duplicate_classes(
     band_rows and band_count set the chance that a pair is seen: about 1 - (1 - s**rows)**count, 0.997 at a similarity of 0.5
     of that measure with the defaults, whatever the corpus.
     """
+    return _classes(rows, content, n, similarity, measure, band_rows, band_count)[0]
+
+
+def _classes(rows: DataFrame, content: str, n: int, similarity: float, measure: str, band_rows: int, band_count: int) -> tuple[DataFrame, DataFrame]:
+    """(the pairs of classes, the samples of every class that has a word)."""
     spark = rows.sparkSession
     texts = rows.where(F.col(content).isNotNull()).select(F.xxhash64(content).alias("id"), F.col(content).alias("content"))
-    counters, total = run_frequencies(texts.select("content"), n)
-    idf = spark.sparkContext.broadcast(_idf(counters, total))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = written(samples(texts, n, max(SKETCH, band_rows * ((2 * band_count + 2) // 3)), idf if measure == "weighted" else None), "samples")
-    pairs = likely_pairs(candidate_pairs(bands(drawn, band_rows, band_count), parts), drawn, 0.9 * similarity)
+    k = max(SKETCH, band_rows * ((2 * band_count + 2) // 3))
+    if measure == "weighted":
+        counters, total = run_frequencies(texts.select("content"), n)
+        idf = spark.sparkContext.broadcast(_idf(counters, total))
+        drawn = written(samples(texts, n, k, idf), "samples")
+    else:
+        drawn = written(samples(texts, n, k, None), "samples")
+        counted = drawn.where("id is null").select(F.explode(F.arrays_zip("at", "n")).alias("c")).select("c.at", "c.n")
+        idf = spark.sparkContext.broadcast(_idf(*_counters(counted)))
+    drawn = drawn.where("id is not null").select("id", "drawn")
+    pairs = likely_pairs(candidate_pairs(drawn, band_rows, band_count), drawn, 0.9 * similarity)
     one = texts.groupBy("id").agg(F.first("content").alias("content"))
     left = pairs.join(one.select(F.col("id").alias("a"), F.col("content").alias("x")), "a")
     both = left.join(one.select(F.col("id").alias("b"), F.col("content").alias("y")), "b").select("a", "b", "x", "y")
-    return _verify(both, n, idf).where(F.col(measure) >= similarity)
-
+    return _verify(both, n, idf).where(F.col(measure) >= similarity), drawn
 
-EXPANDED = 16
 
-
-def near_duplicate_pairs(rows: DataFrame, key: str, content: str = "content", **how) -> DataFrame:
+def near_duplicate_pairs(
+    rows: DataFrame, key: str, content: str = "content", n: int = 5, similarity: float = 0.8, measure: str = "weighted", band_rows: int = 4, band_count: int = 100, expanded: int | None = 16
+) -> DataFrame:
     """``{key}_a, {key}_b, jaccard, weighted`` with a < b, for keys whose texts are equal or similar.
 
-    Repeated rows of one key count once; a null key is in no pair. Classes of up to 16 equal texts come out as all their
-    pairs. A larger class of equal texts is represented by its smallest key: every other member is paired with it, and
+    Repeated rows of one key count once; a null key is in no pair. Classes of up to ``expanded`` equal texts come out as all
+    their pairs. A larger class of equal texts is represented by its smallest key: every other member is paired with it, and
     links to other texts are stated for it, so no link between different texts is lost and the output stays linear.
+    expanded=None states every pair of keys, whatever the size of a class.
     """
     a, b = f"{key}_a", f"{key}_b"
-    members = rows.where(F.col(content).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(content).alias("id"), F.col(key).alias("k"), F.trim(F.regexp_replace(content, r"[^\p{L}\p{N}]+", " ")).alias("t")).where("t <> ''").select("id", "k").distinct()
+    members = rows.where(F.col(content).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(content).alias("id"), F.col(key).alias("k")).distinct()
     sizes = members.groupBy("id").agg(F.count("*").alias("n"), F.min("k").alias("first"))
-    links = near_duplicate_classes(rows, content, **how)
+    links, drawn = _classes(rows, content, n, similarity, measure, band_rows, band_count)
     wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    many = sizes.where("n > 1")
+    many = sizes.where("n > 1").join(drawn.select("id"), "id", "left_semi")  # a text without a word is in no pair
     shown = members.join(many.select("id", "n", "first").unionByName(sizes.where("n = 1").join(wanted, "id", "left_semi").select("id", "n", "first")), "id")
-    small = shown.where(F.col("n") <= EXPANDED)
-    speak = small.select("id", "k").unionByName(sizes.where(F.col("n") > EXPANDED).select("id", F.col("first").alias("k")))
+    is_small = F.lit(True) if expanded is None else F.col("n") <= expanded
+    small = shown.where(is_small)
+    speak = small.select("id", "k").unionByName(sizes.where(~is_small).select("id", F.col("first").alias("k")))
     across = (
         links.join(speak.select(F.col("id").alias("a"), F.col("k").alias("x")), "a").join(speak.select(F.col("id").alias("b"), F.col("k").alias("y")), "b").select("x", "y", "jaccard", "weighted")
     )
-    lists = small.where("n > 1").groupBy("id").agg(F.collect_list("k").alias("ks"))
-    inside = lists.select(F.explode("ks").alias("x"), "ks").select("x", F.explode("ks").alias("y")).where("x < y")
-    stars = shown.where(F.col("n") > EXPANDED).where("k <> first").select(F.col("first").alias("x"), F.col("k").alias("y"))
+    equals = small.where("n > 1").select("id", "k")
+    inside = equals.withColumnRenamed("k", "x").join(equals.withColumnRenamed("k", "y"), "id").where("x < y").select("x", "y")
+    stars = shown.where(~is_small).where("k <> first").select(F.col("first").alias("x"), F.col("k").alias("y"))
     equal = inside.unionByName(stars).select("x", "y", F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("weighted"))
     out = across.unionByName(equal)
     return out.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b), "jaccard", "weighted").where(F.col(a) < F.col(b)).groupBy(a, b).agg(F.max("jaccard").alias("jaccard"), F.max("weighted").alias("weighted"))
