@@ -6,7 +6,7 @@
 2. Document frequencies are counts over the stored postings. A shared run of ``run`` words covers at least one window of ``run``
    words of the test text. Of each window the ``anchors`` rarest terms that the corpus has are its anchors.
 3. Postings of the anchors, less the anchor's place, are offsets of the test text in the document. Offsets at which ``agree``
-   anchors of a window meet go on to the texts themselves: a common run meets in all of them, a passage with some words
+   anchors meet go on to the texts themselves: a common run meets in all anchors of its window, a passage with some words
    changed in those it has left.
 4. There the longest common run through the offset is measured: an exact match when it is long enough, otherwise a
    proximity match if most of a window's words stand near their places in order.
@@ -81,25 +81,20 @@ def _item_terms(items: DataFrame, gram: int) -> DataFrame:
     return items.mapInArrow(cut, f"item {dict(items.dtypes)['item']}, place int, term long")
 
 
-def _anchors(terms: DataFrame, run: int, anchors: int, agree: int) -> DataFrame:
-    """``item, term, place, need, windows``: the anchors, and the windows (by start) that each of them serves."""
+def _anchors(terms: DataFrame, run: int, anchors: int) -> DataFrame:
+    """``item, term, place, n``: of each window of ``run`` terms the ``anchors`` rarest that the corpus has; n: how many the item has."""
 
     def choose(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("place").to_numpy())
         df, term = table.column("df").to_numpy()[order], table.column("term").to_numpy()[order]
-        n, wanted = len(df), {}
-        width = min(run, n)
-        for start in range(n - width + 1):
+        width, wanted = min(run, len(df)), set()
+        for start in range(len(df) - width + 1):
             own = np.flatnonzero(df[start : start + width]) + start
-            for p in own[np.argsort(df[own], kind="stable")[:anchors]].tolist():
-                wanted.setdefault(p, []).append(start)
+            wanted.update(own[np.argsort(df[own], kind="stable")[:anchors]].tolist())
         places = sorted(wanted)
-        return pa.table({
-            "item": pa.array([table.column("item")[0].as_py()] * len(places), table.schema.field("item").type), "term": pa.array(term[places], pa.int64()), "place": pa.array(places, pa.int32()),
-            "need": pa.array([min(agree, width)] * len(places), pa.int32()), "windows": pa.array([wanted[p] for p in places], pa.list_(pa.int32())),
-        })
+        return pa.table({"item": pa.array([table.column("item")[0].as_py()] * len(places), table.schema.field("item").type), "term": pa.array(term[places], pa.int64()), "place": pa.array(places, pa.int32()), "n": pa.array([len(places)] * len(places), pa.int32())})
 
-    return terms.groupBy("item").applyInArrow(choose, f"item {dict(terms.dtypes)['item']}, term long, place int, need int, windows array<int>")
+    return terms.groupBy("item").applyInArrow(choose, f"item {dict(terms.dtypes)['item']}, term long, place int, n int")
 
 
 def longest_run(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -115,12 +110,8 @@ def longest_run(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 
 def near_window(a: np.ndarray, b: np.ndarray, offset: int, width: int, near: float, slack: int) -> int:
     """The first place of a window of b of ``width`` words of which the share ``near`` stands within ``slack`` words of its place in a; -1 for none."""
-    place = np.arange(len(b)) + offset
-    hit = np.zeros(len(b), bool)
-    for d in range(-slack, slack + 1):
-        at = place + d
-        inside = (at >= 0) & (at < len(a))
-        hit[inside] |= a[at[inside]] == b[inside]
+    at = np.arange(offset, offset + len(b))[:, None] + np.arange(-slack, slack + 1)
+    hit = ((a[np.clip(at, 0, len(a) - 1)] == b[:, None]) & (at >= 0) & (at < len(a))).any(1)
     total = np.concatenate([[0], np.cumsum(hit)])
     good = np.flatnonzero(total[width:] - total[:-width] >= near * width)
     return int(good[0]) if len(good) else -1
@@ -130,7 +121,7 @@ def near_window(a: np.ndarray, b: np.ndarray, offset: int, width: int, near: flo
 FEW_DOCUMENTS = 200_000
 
 
-def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 18, anchors: int = 4, agree: int = 2, gram: int = 3, near: float = 0.8, slack: int = 4) -> DataFrame:
+def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 18, anchors: int = 4, agree: int = 2, gram: int = 4, near: float = 0.8, slack: int = 4) -> DataFrame:
     """``doc, item, match, run_words, doc_place, item_place``, one row for each document and test text that meet.
 
     match is "exact" (a common run of at least ``run`` words, or the whole test text if it is shorter) or "proximity" (at least
@@ -144,23 +135,24 @@ def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, i
     index = written(postings(corpus, spark.sparkContext.broadcast(_bitmap(terms)), gram), "postings")
     frequent = index.groupBy("term").agg(F.count("*").alias("df"))
     known = terms.join(frequent, "term", "left").select("item", "place", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    chosen = written(_anchors(known, run - gram + 1, anchors, agree), "anchors")
-    met = index.join(chosen, "term").select("doc", "item", "need", "windows", F.explode("places").alias("p"), "place").withColumn("offset", F.col("p") - F.col("place"))
-    agreed = met.select("doc", "item", "offset", "need", "place", F.explode("windows").alias("window")).distinct()
-    full = agreed.groupBy("doc", "item", "offset", "window").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
+    chosen = written(_anchors(known, run - gram + 1, anchors), "anchors")
+    met = index.join(chosen, "term").select("doc", "item", "place", "n", F.explode("places").alias("p"))
+    agreed = met.groupBy("doc", "item", (F.col("p") - F.col("place")).alias("offset")).agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= F.least(F.col("n"), F.lit(agree)))
     # at most as many offsets as the document has words
-    spots = written(full.groupBy("doc", "item").agg(F.collect_set("offset").alias("offsets")), "spots")
+    spots = written(agreed.groupBy("doc", "item").agg(F.collect_set("offset").alias("offsets")), "spots")
     docs = spots.select("doc").distinct()
     docs = F.broadcast(docs) if docs.limit(FEW_DOCUMENTS + 1).count() <= FEW_DOCUMENTS else docs
     texts = corpus.join(docs, "doc", "left_semi").withColumnRenamed("text", "t")
 
     def judge(batches):
         ids = WordIds()
+        last, a = None, None
         for batch in batches:
             out = []
             tests: dict[str, np.ndarray] = {}
             for i, (offsets, t, u) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                a = ids.of(t)
+                if t != last:
+                    last, a = t, ids.of(t)
                 if u not in tests:
                     tests[u] = ids.of(u)
                 b = tests[u]

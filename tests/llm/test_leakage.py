@@ -32,11 +32,12 @@ def test_against_brute_force(spark):
 def test_edges(spark):
     t = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
     docs = spark.createDataFrame([(1, "Début. " + t.upper() + " fin", 0), (2, None, 0), (3, "", 0), (None, t, 0), (4, " ".join(t.split()[:9] + ["x"] + t.split()[10:]), 0), (5, " ".join(t.split()[7:]), 0)], "d long, text string, item int")
-    items = spark.createDataFrame([(7, t), (7, t), (8, None), (9, ""), (None, t), (10, "un deux")], "i long, text string")
+    items = spark.createDataFrame([(7, t), (7, t), (8, None), (9, ""), (None, t), (10, "un deux"), (11, "theta iota kappa lambda")], "i long, text string")
     got = {(r[0], r[1]): (r["match"], r["run_words"], r["doc_place"], r["item_place"]) for r in leaks(docs, "d", "text", items, "i", "text").collect()}
     assert got[(1, 7)] == ("exact", 19, 1, 0)
     assert got[(4, 7)][0] == "proximity"
-    assert set(got) == {(1, 7), (4, 7)}
+    assert {i for i, j in got if j == 11} == {1, 5}  # an item of few words, whole
+    assert {k for k in got if k[1] != 11} == {(1, 7), (4, 7)}
     assert leaks(docs.limit(0), "d", "text", items, "i", "text").count() == 0
     assert leaks(docs, "d", "text", items.limit(0), "i", "text").count() == 0
 
