@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexgrain.functions.text import stripped
+
 
 def last_turns(turns: DataFrame, thread: str, order: list[str], keep: int = 6) -> DataFrame:
     by = Window.partitionBy(thread).orderBy(*[F.desc(c) for c in order])
@@ -27,15 +29,27 @@ def rewrite_guard(original: Column, rewritten: Column) -> Column:
     return F.when((F.length(plain) >= 12) & (F.size(F.split(plain, r"\s+")) >= 3), plain).otherwise(original)
 
 
+# The marks of an exercise and of its parts.
+EXERCISE, POINTS, COMPETENCE, STATEMENT, CORRECTION = "EXERCICE", "POINTS", "COMPETENCE", "ENONCE", "CORRIGE"
+
+
+def _part(block: Column, mark: str, value: str) -> Column:
+    """What follows a mark and its colon, case of the mark aside; empty without the mark."""
+    return stripped(F.regexp_extract(block, rf"(?is){mark}\s*:\s*{value}", 1))
+
+
 def parse_exercises(text: Column) -> Column:
     """array<struct<points, competence, statement, correction>> of delimited blocks; those without a statement are dropped."""
-    blocks = F.split(text, r"#*[ \t]*EXERCICE[ \t]*\n")
-    one = lambda b, p: F.trim(F.regexp_extract(b, p, 1))
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    parsed = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b: F.struct(
-        F.coalesce(F.nullif(one(b, r"(?i)POINTS\s*:\s*(\d+)"), F.lit("")).cast("int"), F.lit(0)).alias("points"), one(b, r"(?i)COMPETENCE\s*:\s*(.+)").alias("competence"),
-        strip(F.regexp_extract(b, r"(?is)ENONCE\s*:\s*(.*?)\n\s*CORRIGE\s*:", 1)).alias("statement"), strip(F.regexp_extract(b, r"(?is)CORRIGE\s*:\s*(.*)", 1)).alias("correction"),
-    ))
+    blocks = F.split(text, rf"#*\s*{EXERCISE}\s*\n")
+    parsed = F.transform(
+        F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))),
+        lambda b: F.struct(
+            F.coalesce(F.nullif(_part(b, POINTS, "([0-9]+)"), F.lit("")).try_cast("int"), F.lit(0)).alias("points"),
+            _part(b, COMPETENCE, r"([^\n]+)").alias("competence"),
+            _part(b, STATEMENT, rf"(.*?)\n\s*{CORRECTION}\s*:").alias("statement"),
+            _part(b, CORRECTION, "(.*)").alias("correction"),
+        ),
+    )
     return F.filter(parsed, lambda e: e["statement"] != "")
 
 
@@ -43,11 +57,28 @@ def total_points(exercises: Column) -> Column:
     return F.aggregate(exercises, F.lit(0), lambda s, e: s + e["points"])
 
 
-def exam_markdown(title: Column, exercises: Column) -> Column:
-    """The exam as Markdown: a section for each exercise and the table of points with its total."""
-    label = lambda e, i: F.concat(F.lit("Exercice "), (i + 1).cast("string"))
+# The labels of an exam.
+INFOS = {"class": "Classe", "duration": "Durée", "weight": "Coefficient"}
+SCALE, TOTAL, NO_SOLUTION = "Barème", "Total", "_Corrigé non disponible._"
+
+
+def exam_markdown(title: Column, exercises: Column, school: Column | None = None, rules: Column | None = None, infos: dict[str, Column] | None = None, solved: bool = False) -> Column:
+    """The exam as Markdown: a heading with those of its infos (class, duration, weight) that are known, a section for each exercise,
+    and the table of points with its total. solved: the corrections instead of the statements, without the table."""
+    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    label = lambda i: F.concat(F.lit("Exercice "), (i + 1).cast("string"))
     tail = lambda e: F.when(e["competence"] != "", F.concat(F.lit(" — "), e["competence"])).otherwise("")
-    parts = F.transform(exercises, lambda e, i: F.concat(F.lit("## "), label(e, i), F.lit(" ("), e["points"].cast("string"), F.lit(" points)"), tail(e), F.lit("\n\n"), e["statement"]))
-    rows = F.transform(exercises, lambda e, i: F.concat(F.lit("| "), label(e, i), tail(e), F.lit(" | "), e["points"].cast("string"), F.lit(" |")))
-    table = F.concat(F.lit("## Barème\n\n| Exercice | Points |\n|:---|:---:|\n"), F.array_join(rows, "\n"), F.lit("\n| **Total** | **"), total_points(exercises).cast("string"), F.lit("** |"))
-    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.array_join(parts, "\n\n"), F.lit("---"), table)
+    heading = [F.concat(F.lit("**"), known(school), F.lit("**"))] if school is not None else []
+    heading.append(F.concat(F.lit("# "), title))
+    if infos:
+        told = F.concat_ws("  —  ", *[F.concat(F.lit(f"**{INFOS[k]} :** "), known(c)) for k, c in infos.items()])
+        heading.append(F.nullif(told, F.lit("")))
+    if rules is not None:
+        heading.append(F.concat(F.lit("*Consignes : "), known(rules), F.lit("*")))
+    body = (lambda e: F.coalesce(F.nullif(e["correction"], F.lit("")), F.lit(NO_SOLUTION))) if solved else (lambda e: e["statement"])
+    sections = F.transform(exercises, lambda e, i: F.concat(F.lit("## "), label(i), F.lit(" ("), e["points"].cast("string"), F.lit(" points)"), tail(e), F.lit("\n\n"), body(e)))
+    parts = [*heading, F.lit("---") if infos or rules is not None or school is not None else F.lit(None).cast("string"), F.array_join(sections, "\n\n")]
+    if not solved:
+        rows = F.transform(exercises, lambda e, i: F.concat(F.lit("| "), label(i), tail(e), F.lit(" | "), e["points"].cast("string"), F.lit(" |\n")))
+        parts += [F.lit("---"), F.concat(F.lit(f"## {SCALE}\n\n| Exercice | Points |\n|:---|:---:|\n"), F.array_join(rows, ""), F.lit(f"| **{TOTAL}** | **"), total_points(exercises).cast("string"), F.lit("** |"))]
+    return F.concat_ws("\n\n", *parts)

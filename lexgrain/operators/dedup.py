@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from math import log
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.operators.rerank import reliability_rank
+from lexgrain.session import written
 
 
-def exact(rows: DataFrame, hash_: str, size: str, order: Column) -> DataFrame:
-    """The best row of each hash by (reliability, size), the earliest on ties, with ``first_seen``, the place of the hash's first row.
+def exact(rows: DataFrame, hash_: str, size: str, order: Column, *scope: str) -> DataFrame:
+    """The best row of each hash (within each ``scope``) by (reliability, size), the earliest on ties, with ``first_seen``, the place of the
+    hash's first row.
 
-    Rows without a hash stay out. order: a column that orders the rows. Aggregates combine before the shuffle.
+    Rows without a hash stay out, as do those with a null in the scope. order: a column that orders the rows. Aggregates combine before the shuffle.
     """
     some = rows.where(F.col(hash_).isNotNull() & (F.col(hash_) != "")).withColumn("_o", order)
     value = F.struct(reliability_rank(F.col("reliability")).alias("r"), F.coalesce(F.col(size), F.lit(0)).alias("s"))
-    best = some.groupBy(hash_).agg(F.max(value).alias("_best"), F.min("_o").alias("first_seen"))
-    met = some.join(best, hash_).where(value == F.col("_best"))
-    return met.groupBy(hash_).agg(F.min_by(F.struct(*rows.columns), "_o").alias("_row"), F.first("first_seen").alias("first_seen")).select("_row.*", "first_seen")
+    keys = [hash_, *scope]
+    best = some.groupBy(*keys).agg(F.max(value).alias("_best"), F.min("_o").alias("first_seen"))
+    met = some.join(best, keys).where(value == F.col("_best"))
+    return met.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), "_o").alias("_row"), F.first("first_seen").alias("first_seen")).select("_row.*", "first_seen")
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -34,40 +40,86 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions over both lengths)."""
-    return 200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
+def indel_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """100 * (1 - insertions and deletions over both lengths). Equal ends are put aside first; 0 where it cannot reach ``least``."""
+    if not a and not b:
+        return 100.0
+    total, same = len(a) + len(b), 0
+    if a == b:
+        return 100.0
+    n = min(len(a), len(b))
+    while same < n and a[same] == b[same]:
+        same += 1
+    tail = 0
+    while tail < n - same and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[same : len(a) - tail], b[same : len(b) - tail]
+    if 200.0 * (same + tail + min(len(a), len(b))) / total < least:
+        return 0.0
+    return 200.0 * (same + tail + lcs_length(a, b)) / total
 
 
-def near(rows: DataFrame, group: list[str], key: str, text: str, threshold: float = 92.0) -> DataFrame:
-    """``key_kept, key_dropped, ratio``: pairs of one group whose shorter/longer length and indel ratio reach the threshold.
+GRAMS = 256
+
+
+def _gram_counts(text: str) -> np.ndarray:
+    """Counts of pairs of neighbouring characters, in 256 slots."""
+    x = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.bincount(((x[:-1] * np.uint32(31) + x[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(24), minlength=GRAMS).astype(np.uint32)
 
-    Of a pair the weaker by (reliability, length) is dropped, the earlier (shorter, then smaller key) on ties. Candidates share a
-    length bucket or its neighbour, and at least 3 of the character counts' histogram bounds: twice the common characters over
-    both lengths bounds the ratio from above, so no pair is lost. rows: key, text, reliability and the group.
+
+def linked(rows: DataFrame, group: list[str], key: str, text: str, threshold: float = 92.0) -> DataFrame:
+    """``k1, n1, r1, k2, n2, r2, ratio``: pairs of one group whose shorter/longer length and indel ratio reach the threshold, the first the
+    earlier by (length, key), with lengths and ranks of reliability.
+
+    Candidates share a length bucket or its neighbour. They meet as keys, lengths and counts of character pairs only: one
+    insertion or deletion changes at most three of those counts, so pairs that differ in too many are out without a look at
+    their texts, and no pair is lost. Texts are fetched for what is left. rows: key, text, reliability and the group; rows with
+    null or empty texts are in no pair, nulls of the group are one value.
     """
     share = threshold / 100
-    n = F.length(text)
-    letters = "abcdefghijklmnopqrstuvwxyz éèàê0123456789"
-    counts = F.transform(F.array(*[F.lit(c) for c in letters]), lambda c: F.length(text) - F.length(F.replace(F.lower(text), c, F.lit(""))))
-    base = rows.where(F.col(text).isNotNull() & (n > 0)).select(*[F.coalesce(F.col(g).cast("string"), F.lit("?")).alias(f"g{i}") for i, g in enumerate(group)], F.col(key).alias("k"), F.col(text).alias("t"), n.alias("n"), reliability_rank(F.col("reliability")).alias("r"), counts.alias("c"))
-    base = base.withColumn("b", F.floor(F.log(F.col("n").cast("double")) / F.lit(-__import__("math").log(share))).cast("int"))
+    kind = dict(rows.dtypes)[key]
     gs = [f"g{i}" for i in range(len(group))]
-    left = base.select(*gs, *[F.col(c).alias(f"{c}1") for c in ("k", "t", "n", "r", "c")], F.explode(F.array("b", F.col("b") + 1)).alias("b"))
-    right = base.select(*gs, *[F.col(c).alias(f"{c}2") for c in ("k", "t", "n", "r", "c")], "b")
+    some = rows.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(key).isNotNull())
+    base = some.select(*[F.coalesce(F.col(g).cast("string"), F.lit("?")).alias(x) for g, x in zip(group, gs)], F.col(key).alias("k"), F.length(text).alias("n"), reliability_rank(F.col("reliability")).alias("r"), F.col(text).alias("t"))
+
+    def sign(batches):
+        for batch in batches:
+            made = [_gram_counts(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "s"])
+
+    narrow = base.mapInArrow(sign, ", ".join(f"{g} string" for g in gs) + f", k {kind}, n int, r int, s binary")
+    narrow = narrow.withColumn("b", F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(share))).cast("int"))
+    left = narrow.select(*gs, *[F.col(c).alias(f"{c}1") for c in "knrs"], F.explode(F.array("b", F.col("b") + 1)).alias("b"))
+    right = narrow.select(*gs, *[F.col(c).alias(f"{c}2") for c in "knrs"], "b")
     met = left.join(right, [*gs, "b"]).where(((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("k1") < F.col("k2")))) & (F.col("n1") >= share * F.col("n2")))
-    apart = F.aggregate(F.zip_with("c1", "c2", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    close = met.where(apart <= (1 - share) * (F.col("n1") + F.col("n2")))
+
+    def prune(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4000):
+                part = batch.slice(begin, 4000)
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(part.num_rows, GRAMS).astype(np.int32) for i in (3, 7))
+                most = 3 * (1 - share) * (part.column(1).to_numpy() + part.column(5).to_numpy()) + 1e-6
+                keep = pa.array(np.flatnonzero(np.abs(x - y).sum(1) <= most))
+                yield pa.RecordBatch.from_arrays([part.column(i).take(keep) for i in (0, 1, 2, 4, 5, 6)], names=["k1", "n1", "r1", "k2", "n2", "r2"])
+
+    facts = f"k1 {kind}, n1 int, r1 int, k2 {kind}, n2 int, r2 int"
+    close = met.select("k1", "n1", "r1", "s1", "k2", "n2", "r2", "s2").mapInArrow(prune, facts).distinct()
+    texts = base.select("k", "t")
+    both = close.join(texts.select(F.col("k").alias("k1"), F.col("t").alias("t1")), "k1").join(texts.select(F.col("k").alias("k2"), F.col("t").alias("t2")), "k2")
 
     def score(batches):
         for batch in batches:
-            t, u = batch.column(1).to_pylist(), batch.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(5), pa.array([indel_ratio(*x) for x in zip(t, u)], pa.float64())], names=["k1", "r1", "k2", "r2", "ratio"])
+            t, u = batch.column(6).to_pylist(), batch.column(7).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([indel_ratio(*x, least=threshold) for x in zip(t, u)], pa.float64())], names=["k1", "n1", "r1", "k2", "n2", "r2", "ratio"])
 
-    kind = dict(rows.dtypes)[key]
-    scored = close.select("k1", "t1", "r1", "k2", "t2", "r2").mapInArrow(score, f"k1 {kind}, r1 int, k2 {kind}, r2 int, ratio double").where(F.col("ratio") >= threshold)
+    return both.select("k1", "n1", "r1", "k2", "n2", "r2", "t1", "t2").mapInArrow(score, facts + ", ratio double").where(F.col("ratio") >= threshold)
+
+
+def near(rows: DataFrame, group: list[str], key: str, text: str, threshold: float = 92.0) -> DataFrame:
+    """``key_kept, key_dropped, ratio``: the pairs of ``linked``; of each the weaker by (reliability, length) is dropped, the earlier on ties."""
     weaker = F.col("r1") > F.col("r2")
-    return scored.select(F.when(weaker, F.col("k1")).otherwise(F.col("k2")).alias("key_kept"), F.when(weaker, F.col("k2")).otherwise(F.col("k1")).alias("key_dropped"), "ratio").distinct()
+    return linked(rows, group, key, text, threshold).select(F.when(weaker, F.col("k1")).otherwise(F.col("k2")).alias("key_kept"), F.when(weaker, F.col("k2")).otherwise(F.col("k1")).alias("key_dropped"), "ratio").distinct()
 
 
 def survivors(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
@@ -75,39 +127,25 @@ def survivors(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return rows.join(pairs.select(F.col("key_dropped").alias(key)).distinct(), key, "left_anti")
 
 
-def drop_in_order(nodes: list[tuple], linked: set[tuple]) -> set:
-    """The keys dropped when (key, length, rank) are taken in order of length: each kept row meets the later kept ones it is
-    linked to, and the weaker by (rank, length) of the two goes, the earlier on ties; a row goes on meeting others after it is dropped."""
-    order = sorted(nodes, key=lambda x: (x[1], x[0]))
-    gone: set = set()
-    for i, (k, n, r) in enumerate(order):
-        if k in gone:
-            continue
-        for k2, n2, r2 in order[i + 1 :]:
-            if k2 not in gone and (k, k2) in linked:
-                gone.add(k if (r, n) <= (r2, n2) else k2)
-    return gone
+RANKS = (3, 2, 1, 0)
 
 
 def near_sequential(rows: DataFrame, group: list[str], key: str, text: str, threshold: float = 92.0) -> DataFrame:
     """``key`` of the rows that the sequential rule drops, which depends on the order where reliabilities differ.
 
-    Only linked rows can influence each other, so the rule runs on each connected component of the pairs.
+    Rows are taken in order of (length, key). A row not dropped yet meets the later linked ones that are not: the one of higher
+    reliability stays, and of equal ones the later; a row goes on meeting others after it is dropped. As a later row is never
+    shorter, only one of lower reliability can be dropped by an earlier one. So whether a row falls before its turn depends on rows
+    of higher reliability alone: four ranks, decided from the highest down by joins on the table of links, whatever the size of a group.
     """
-    from lexgrain.operators.components import components
-    from lexgrain.session import written
-
-    pairs = written(near(rows, group, key, text, threshold), "near")
-    part = components(pairs, "key_kept", "key_dropped")
-    facts = rows.select(F.col(key).alias("node"), F.length(text).alias("n"), reliability_rank(F.col("reliability")).alias("r"))
-    nodes = part.join(facts, "node").select("component", "node", "n", "r", F.lit(None).cast(dict(rows.dtypes)[key]).alias("other"))
-    edges = pairs.join(part, F.col("key_kept") == F.col("node")).select("component", "node", F.lit(-1).alias("n"), F.lit(-1).alias("r"), F.col("key_dropped").alias("other"))
-
-    def run(table: pa.Table) -> pa.Table:
-        d = table.to_pydict()
-        every = list(zip(d["node"], d["n"], d["r"], d["other"]))
-        linked = {p for k, n, _, o in every if n < 0 for p in ((k, o), (o, k))}
-        gone = drop_in_order([(k, n, r) for k, n, r, _ in every if n >= 0], linked)
-        return pa.table({"key": pa.array(sorted(gone), table.schema.field("node").type)})
-
-    return nodes.unionByName(edges).groupBy("component").applyInArrow(run, f"key {dict(rows.dtypes)[key]}").withColumnRenamed("key", key)
+    pairs = written(linked(rows, group, key, text, threshold).withColumn("o1", F.struct("n1", "k1")).withColumn("o2", F.struct("n2", "k2")).select("k1", "r1", "o1", "k2", "r2", "o2"), "links")
+    down = pairs.where("r1 > r2")
+    fallen = pairs.select("k1").limit(0)  # those dropped before their turn, by rank
+    for rank in RANKS[1:]:
+        killers = down.where(F.col("r2") == rank).join(fallen, "k1", "left_anti")
+        fallen = written(fallen.unionByName(killers.select(F.col("k2").alias("k1")).distinct()), "fallen")
+    # when each row is dropped by an earlier one
+    ends = down.join(fallen, "k1", "left_anti").groupBy("k2").agg(F.min("o1").alias("end"))
+    up = pairs.where("r1 <= r2").join(fallen, "k1", "left_anti").join(ends, "k2", "left")
+    own = up.where(F.col("end").isNull() | (F.col("end") > F.col("o1"))).select("k1")
+    return fallen.unionByName(own).distinct().withColumnRenamed("k1", key)

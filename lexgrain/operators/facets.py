@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrain.functions.text import folded
+from lexgrain.functions.text import folded, unaccented
 
-#: The only columns that a filter may name.
+# The only columns that a filter may name.
 FILTERABLE = ("subject", "level", "track", "cycle", "language", "document_type")
 FACETS = ("subject", "level", "track", "document_type")
 # What people call a subject.
@@ -22,13 +22,13 @@ SYNONYMS = {
 
 def facet_filter(filters: dict[str, str | None]) -> Column:
     """All stated filters must agree, accents and case aside; unknown names and empty values are ignored."""
-    parts = [folded(F.col(c)) == folded(F.lit(v)) for c, v in filters.items() if c in FILTERABLE and v]
+    parts = [unaccented(F.col(c)) == unaccented(F.lit(v)) for c, v in filters.items() if c in FILTERABLE and v]
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
 def same(stored: Column, stated: Column) -> Column:
     """No filter stated, or equal to the stored value, accents and case aside."""
-    return stated.isNull() | F.coalesce(folded(stored) == folded(stated), F.lit(False))
+    return stated.isNull() | F.coalesce(unaccented(stored) == unaccented(stated), F.lit(False))
 
 
 def facet_values(documents: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Full-text search by postings: any query term matches, rank is a tenth of the matching occurrences."""
+"""Full-text search: any query term matches, rank is a tenth of the matching occurrences.
+
+Only the terms that are asked for ever leave the scan. A set of questions up to a checked size is looked up where the text is
+read, so a row carries its hits instead of its text; beyond that size the terms of all texts meet those of the questions in a join.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions.text import all_terms, terms
+from lexgrain.session import small
+
+#: Up to so many different terms are looked up in the scan.
+MOST_TERMS = 20_000
+
+
+def asked_terms(queries: DataFrame, question: str, most: int = MOST_TERMS) -> list[str] | None:
+    """The different terms of all questions; None if they are more than ``most``."""
+    got = queries.select(F.explode(terms(question)).alias("t")).distinct().limit(most + 1).collect()
+    return sorted(r[0] for r in got) if len(got) <= most else None
+
+
+def hits(text: Column | str, asked: list[str] | None) -> Column:
+    """The occurrences of asked terms in a text, in order, with repeats; of all terms where there is no list."""
+    own = all_terms(text)
+    return own if asked is None else F.filter(own, lambda t: t.isin(*asked)) if asked else F.array().cast("array<string>")
 
 
 def postings(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """``key, keep..., term, tf``."""
+    """``key, keep..., term, tf``: a full index, for storing."""
     return rows.select(key, *keep, F.explode(all_terms(text)).alias("term")).groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
 
 
-def scores(index: DataFrame, key: str, queries: DataFrame, query_key: str, question: str, where: Column | None = None, *keep: str) -> DataFrame:
-    """``query_key, key, lexical_score`` of every pair that shares a term; the query side is exploded once."""
-    asked = queries.select(query_key, *keep, F.explode(terms(question)).alias("term"))
-    met = index.join(asked, "term")
+def scores(rows: DataFrame, key: str, found: str, queries: DataFrame, query_key: str, question: str, where: Column | None = None, *keep: str) -> DataFrame:
+    """``query_key, key, lexical_score`` of every pair that shares a term. found: the rows' column of ``hits``, one row for each key.
+
+    Rows partitioned by their key stay where they are: the pairs are counted there, and only each query's best are exchanged.
+    """
+    asked = small(queries.select(query_key, *keep, F.explode(terms(question)).alias("term")))
+    each = rows.withColumn("term", F.explode(found)).drop(found)
+    met = each.join(asked, "term")
     if where is not None:
         met = met.where(where)
-    return met.groupBy(query_key, key).agg((F.sum("tf") * F.lit(0.1)).alias("lexical_score"))
+    return met.groupBy(query_key, key).agg((F.count("*") * F.lit(0.1)).alias("lexical_score"))
 
 
 def top(scored: DataFrame, query_key: str, key: str, k: int | Column) -> DataFrame:

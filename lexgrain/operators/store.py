@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What an existing row takes from a new delivery; all other columns stay as they are.
+# What an existing row takes from a new delivery; all other columns stay as they are.
 DOCUMENT_UPDATES = ["subject", "level", "track", "cycle", "language", "document_type", "document_profile", "page_count", "gaps", "diagnostics", "updated_at"]
 CHUNK_UPDATES = ["content", "indexed_content", "content_hash", "hierarchy", "metadata", "reliability", "embedding"]
 

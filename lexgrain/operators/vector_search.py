@@ -16,36 +16,57 @@ def top_k(rows: DataFrame, key: str, vector: str, query: list[float], k: int) ->
     return rows.where(F.col(vector).isNotNull()).select(key, cosine(F.col(vector), q).alias("score")).where("score is not null and not isnan(score)").orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_batch(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, dims: int, block: int = 512) -> DataFrame:
-    """``query_key, key, score, position`` for many queries against all rows.
+def top_k_batch(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, dims: int, block: int = 4096) -> DataFrame:
+    """``query_key, key, score, position`` for many queries against all rows, exactly.
 
-    Queries travel in blocks of ``block`` vectors, each of which meets every partition of rows once as a matrix product; only k
-    rows per query and partition leave it.
+    Queries are taken in blocks of about ``block`` vectors, the only thing that is sent to the tasks; each block is one scan of the
+    rows as matrix products, and only the k best of each query leave a task. For more queries than a few blocks, an index is
+    the better way. Vectors of other lengths, null or without direction stay out.
     """
+    spark = rows.sparkSession
+    kinds = dict(rows.dtypes)[key], dict(queries.dtypes)[query_key]
     qs = queries.where(F.size(query_vector) == dims).select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
-    grouped = qs.withColumn("b", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("q"), F.lit(16))).orderBy("q")) - 1) / block)).withColumn("s", F.pmod(F.xxhash64("q"), F.lit(16)))
-    blocks = grouped.groupBy("s", "b").agg(F.collect_list(F.struct("q", "v")).alias("queries")).select("queries")
     data = rows.where(F.size(vector) == dims).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    packed = data.withColumn("p", F.spark_partition_id()).withColumn("r", F.pmod(F.xxhash64("key"), F.lit(1 << 20)))
-    cells = packed.groupBy("p", F.floor(F.col("r") / (1 << 12)).alias("c")).agg(F.collect_list(F.struct("key", "v")).alias("rows")).select("rows")
-    kinds = dict(rows.dtypes)[key], dict(queries.dtypes)[query_key]
+    blocks = max(1, -(-qs.count() // block))
+
+    def unit(x):
+        with np.errstate(all="ignore"):
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def against(own) -> DataFrame:
+        names, y = own.column("q"), own.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        shared = spark.sparkContext.broadcast((names.combine_chunks(), unit(y)))
+
+        def scan(batches):
+            names, y = shared.value
+            best, keys = np.full((len(y), 0), -9.0), []
+            at = np.zeros((len(y), 0), np.int64)
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 512):
+                    part = batch.slice(begin, 512)
+                    x = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+                    s = np.nan_to_num(y @ x.T, nan=-9.0)
+                    first = sum(map(len, keys))
+                    keys.append(part.column(0))
+                    best, at = np.concatenate([best, s], 1), np.concatenate([at, np.broadcast_to(np.arange(first, first + s.shape[1]), s.shape)], 1)
+                    if best.shape[1] > k:
+                        # ties at the edge are kept, so that the smallest keys among them can win
+                        edge = np.partition(np.round(best, 9), -k, axis=1)[:, -k][:, None]
+                        top = np.argsort(np.where(np.round(best, 9) >= edge, 0, 1), axis=1, kind="stable")[:, : max(k, int((np.round(best, 9) >= edge).sum(1).max()))]
+                        best, at = np.take_along_axis(best, top, 1), np.take_along_axis(at, top, 1)
+            if keys and best.shape[1]:
+                who, place = np.nonzero(best > -8)
+                flat = pa.concat_arrays(keys)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), flat.take(pa.array(at[who, place])), pa.array(best[who, place])], names=["q", "key", "score"])
+
+        return data.mapInArrow(scan, f"q {kinds[1]}, key {kinds[0]}, score double")
 
-    def multiply(batches):
-        for batch in batches:
-            for rs, qs in zip(batch.column(0), batch.column(1)):
-                r, q = rs.values, qs.values
-                x = r.field("v").flatten().to_numpy().reshape(-1, dims)
-                y = q.field("v").flatten().to_numpy().reshape(-1, dims)
-                with np.errstate(all="ignore"):
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    y = y / np.linalg.norm(y, axis=1, keepdims=True)
-                s = np.nan_to_num(y @ x.T, nan=-9)
-                m = min(k, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                who, at = np.repeat(np.arange(len(s)), m), top.ravel()
-                good = s[who, at] > -8
-                yield pa.RecordBatch.from_arrays([q.field("q").take(pa.array(who[good])), r.field("key").take(pa.array(at[good])), pa.array(s[who, at][good])], names=["q", "key", "score"])
-
-    met = cells.crossJoin(blocks).mapInArrow(multiply, f"q {kinds[1]}, key {kinds[0]}, score double")
+    met = None
+    for b in range(blocks):
+        own = qs.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()
+        if own.num_rows:
+            met = against(own) if met is None else met.unionByName(against(own))
+    if met is None:
+        met = data.select(F.lit(None).cast(kinds[1]).alias("q"), "key", F.lit(0.0).alias("score")).limit(0)
     ranked = met.withColumn("position", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "key"))).where(F.col("position") <= k)
     return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "position")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.session import small
 from lexgrain.sources.tables import latest, table
 
 CHUNKS = "ch AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST) = 1)"
@@ -12,10 +13,17 @@ DOCUMENTS = "doc AS (SELECT * FROM source_documents WHERE document_id IS NOT NUL
 CANDIDATES = "cand AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY logged_at DESC NULLS LAST) = 1)"
 
 
-def chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """The latest delivery of every chunk, the named columns only."""
+WIDE = {"content", "indexed_content", "embedding"}
+
+
+def chunks(spark: SparkSession, folder: str, *columns: str, of: DataFrame | None = None, **made) -> DataFrame:
+    """The latest delivery of every chunk, the named columns only. of: only the chunks of these ids. made: columns worked out where the
+    rows are read, so that what they are made from is not carried along."""
     keep = list(dict.fromkeys(["chunk_id", *columns, "created_at"]))
-    return latest(table(spark, folder, "chunks").select(*keep), ["chunk_id"], "created_at")
+    rows = table(spark, folder, "chunks")
+    if of is not None:
+        rows = rows.join(small(of.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return latest(rows.select(*keep, *[c.alias(k) for k, c in made.items()]), ["chunk_id"], "created_at", wide=bool(WIDE & set(columns)))
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexgrain.functions import text as T
 from lexgrain.functions.vectors import cosine
-from lexgrain.operators import context, facets, lexical_search, rerank, vector_search
+from lexgrain.operators import context, facets, lexical_search, models, rerank, vector_search
 from lexgrain.plans import base
+from lexgrain.session import small
 from lexgrain.sources.tables import table
 
 Q = {}
@@ -60,18 +61,21 @@ def request_filters(spark: SparkSession, d: str) -> DataFrame:
     return base.requests(spark, d).select("query_id", "subject", "level", "track")
 
 
-def _index(spark: SparkSession, d: str, *keep: str) -> DataFrame:
-    return lexical_search.postings(base.chunks(spark, d, "indexed_content", *keep), "chunk_id", "indexed_content", *keep)
+def _hits(spark: SparkSession, d: str, text: str = "indexed_content", of: DataFrame | None = None, *keep: str, **made) -> DataFrame:
+    """``chunk_id, hits``: the terms asked for in any question where they stand in a chunk's text; the text itself stays in the scan."""
+    asked = lexical_search.asked_terms(table(spark, d, "search_requests"), "question")
+    return base.chunks(spark, d, *keep, of=of, hits=lexical_search.hits(text, asked), **made).drop("created_at")
 
 
 @query(f"""WITH {base.CHUNKS}, {_REQ}, {_POST} SELECT query_id, chunk_id, round(sum(tf) * 0.1, 4) AS score FROM post JOIN asked USING (term) GROUP BY query_id, chunk_id
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id) <= 30""")
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical_search.scores(_index(spark, d), "chunk_id", base.requests(spark, d), "query_id", "question")
+    s = lexical_search.scores(_hits(spark, d), "chunk_id", "hits", base.requests(spark, d), "query_id", "question")
     return lexical_search.top(s, "query_id", "chunk_id", 30).select("query_id", "chunk_id", F.round("lexical_score", 4).alias("score"))
 
 
-_SAME = " AND ".join(f"({q} IS NULL OR {T.folded_sql(c)} = {T.folded_sql(q)})" for c, q in (("subject", "qs"), ("level", "ql"), ("track", "qt")))
+_UNACCENT = lambda x: f"replace(replace(lower(strip_accents({x})), 'œ', 'oe'), 'ß', 'ss')"
+_SAME = " AND ".join(f"({q} IS NULL OR {_UNACCENT(c)} = {_UNACCENT(q)})" for c, q in (("subject", "qs"), ("level", "ql"), ("track", "qt")))
 
 
 @query(f"""WITH {base.CHUNKS}, {_REQ}, {_POST} SELECT query_id, chunk_id, round(sum(tf) * 0.1, 4) AS score FROM post JOIN asked USING (term) WHERE {_SAME} GROUP BY query_id, chunk_id
@@ -79,18 +83,18 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id
 def lexical_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     cols = ("subject", "level", "track")
     # both sides are folded once, before they meet
-    rows = base.chunks(spark, d, "indexed_content", *cols).withColumns({c: T.folded(c) for c in cols})
-    req = base.requests(spark, d).select("query_id", "question", *[T.folded(c).alias(f"q_{c}") for c in cols])
+    rows = _hits(spark, d, "indexed_content", None, **{f"c_{c}": T.unaccented(c) for c in cols})
+    req = base.requests(spark, d).select("query_id", "question", *[T.unaccented(c).alias(f"q_{c}") for c in cols])
     agree = F.lit(True)
     for c in cols:
-        agree = agree & (F.col(f"q_{c}").isNull() | F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False)))
-    s = lexical_search.scores(lexical_search.postings(rows, "chunk_id", "indexed_content", *cols), "chunk_id", req, "query_id", "question", agree, *[f"q_{c}" for c in cols])
+        agree = agree & (F.col(f"q_{c}").isNull() | F.coalesce(F.col(f"c_{c}") == F.col(f"q_{c}"), F.lit(False)))
+    s = lexical_search.scores(rows, "chunk_id", "hits", req, "query_id", "question", agree, *[f"q_{c}" for c in cols])
     return lexical_search.top(s, "query_id", "chunk_id", 30).select("query_id", "chunk_id", F.round("lexical_score", 4).alias("score"))
 
 
 @query(f"WITH {base.CHUNKS}, {_REQ}, {_POST} SELECT query_id, count(DISTINCT chunk_id) AS matches FROM post JOIN asked USING (term) GROUP BY query_id")
 def fts_match(spark: SparkSession, d: str) -> DataFrame:
-    return lexical_search.scores(_index(spark, d), "chunk_id", base.requests(spark, d), "query_id", "question").groupBy("query_id").agg(F.count("*").alias("matches"))
+    return lexical_search.scores(_hits(spark, d), "chunk_id", "hits", base.requests(spark, d), "query_id", "question").groupBy("query_id").agg(F.count("*").alias("matches"))
 
 
 _CAND = """cand AS (SELECT * REPLACE (CASE WHEN isnan(vector_score) THEN NULL ELSE vector_score END AS vector_score, CASE WHEN isnan(lexical_score) THEN NULL ELSE lexical_score END AS lexical_score,
@@ -122,7 +126,7 @@ def hybrid_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Candidates without a vector score get the cosine of their chunk with the query vector (vector 0 stands in for the model's)."""
     h = _hybrid(spark, d).select("query_id", "chunk_id", "vector_score")
     q = F.array(*[F.lit(float(x)) for x in _first_vector(spark, d)])
-    own = base.chunks(spark, d, "embedding").where("embedding is not null").select("chunk_id", cosine(F.col("embedding"), q).alias("own"))
+    own = base.chunks(spark, d, "embedding", of=h.where("vector_score is null")).where("embedding is not null").select("chunk_id", cosine(F.col("embedding"), q).alias("own"))
     own = own.where("own is not null and not isnan(own)")
     return h.join(own, "chunk_id", "left").select("query_id", "chunk_id", F.round(F.coalesce("vector_score", "own", F.lit(0.0)), 5).alias("vector_score"))
 
@@ -133,7 +137,7 @@ _SUBJECTS = f"subjects AS (SELECT DISTINCT lower(subject) AS value FROM doc WHER
 @query(f"""WITH {base.DOCUMENTS}, {_REQ}, {_SUBJECTS}, named AS (SELECT query_id, list(value) AS named FROM req JOIN subjects ON contains({T.folded_sql('question')}, value) GROUP BY query_id), {_CAND}
 SELECT c.query_id, c.chunk_id, CASE WHEN named IS NULL OR coalesce(list_contains(named, lower(c.subject)), false) THEN 1.0 ELSE 0.25 END AS gate FROM cand c JOIN req USING (query_id) LEFT JOIN named USING (query_id)""")
 def subject_gate(spark: SparkSession, d: str) -> DataFrame:
-    return _gated(spark, d).select("query_id", "chunk_id", "gate")
+    return _gated(spark, d, base.candidates(spark, d).join(base.requests(spark, d).select("query_id"), "query_id", "left_semi")).select("query_id", "chunk_id", "gate")
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -141,13 +145,19 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with their question and content."""
-    req = base.requests(spark, d).select("query_id", "question")
-    return base.candidates(spark, d).join(req, "query_id").join(base.chunks(spark, d, "content").select("chunk_id", "content"), "chunk_id", "left")
+    """Candidates with the distinct terms of their question, worked out once for each question."""
+    req = base.requests(spark, d).select("query_id", T.terms("question").alias("query_terms"))
+    return base.candidates(spark, d).join(req, "query_id")
 
 
-def _gated(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.gate("question", _subjects(spark, d), _asked(spark, d), "query_id")
+def _read(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """The rows with ``content_terms``, the distinct asked terms of their chunk, worked out once for each chunk that the rows name."""
+    hits = _hits(spark, d, "content", rows).select("chunk_id", F.array_distinct("hits").alias("content_terms"))
+    return rows.join(hits, "chunk_id", "left")
+
+
+def _gated(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    return rerank.gate(table(spark, d, "search_requests").select("query_id", "question"), "query_id", "question", _subjects(spark, d), rows)
 
 
 _TERMS = lambda x: f"list_distinct({T.all_terms_sql(x)})"
@@ -157,7 +167,8 @@ _ASKED = f"""{_REQ}, {_CAND}, asked AS (SELECT c.*, question, {_TERMS('question'
 
 @query(f"WITH {base.CHUNKS}, {_ASKED} SELECT query_id, chunk_id, round({_OVERLAP('qt_', 'content')}, 6) AS share FROM asked")
 def term_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d).select("query_id", "chunk_id", F.round(rerank.overlap(T.terms("question"), F.coalesce("content", F.lit(""))), 6).alias("share"))
+    own = F.coalesce("content_terms", F.array().cast("array<string>"))
+    return _read(spark, d, _asked(spark, d)).select("query_id", "chunk_id", F.round(rerank.overlap(F.col("query_terms"), own), 6).alias("share"))
 
 
 @query(f"""WITH {_CAND} SELECT query_id, chunk_id, round(CASE WHEN max(rerank_score) OVER w = min(rerank_score) OVER w THEN 1.0 ELSE (rerank_score - min(rerank_score) OVER w) / (max(rerank_score) OVER w - min(rerank_score) OVER w) END, 6) AS signal FROM cand WINDOW w AS (PARTITION BY query_id)""")
@@ -168,8 +179,7 @@ def minmax_signals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {base.CHUNKS}, {_ASKED}, s AS (SELECT query_id, chunk_id, 0.55 * coalesce(vector_score, 0) + 0.20 * ({_OVERLAP('qt_', 'path')}) + 0.15 * ({_OVERLAP('qt_', "coalesce(content, '')")}) + 0.10 * CASE reliability WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE 1.0 END AS score FROM asked)
 SELECT query_id, chunk_id, round(score + 1e-9, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 8""")
 def rerank_heuristic(spark: SparkSession, d: str) -> DataFrame:
-    rows = _asked(spark, d).withColumn("content", F.coalesce("content", F.lit("")))
-    return rerank.heuristic(rows, "query_id", "question", 8).select("query_id", "chunk_id", F.round(F.col("heuristic_score") + 1e-9, 6).alias("score"))
+    return rerank.heuristic(_read(spark, d, _asked(spark, d)), "query_id", 8).select("query_id", "chunk_id", F.round(F.col("heuristic_score") + 1e-9, 6).alias("score"))
 
 
 _NORM = lambda x: f"CASE WHEN max({x}) OVER w = min({x}) OVER w THEN 1.0 ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END"
@@ -179,8 +189,11 @@ fused AS (SELECT s.*, (0.55 * ({_NORM('r')}) + 0.20 * ({_NORM('v')}) + 0.15 * ({
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS position FROM fused QUALIFY position <= 8)"""
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.fusion(_gated(spark, d), "query_id", "question", 8)
+def _fused(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
+    """The eight best of each request; texts: with the content of those, read at the end."""
+    short = rerank.shortlist(_asked(spark, d), "query_id")
+    best = rerank.fusion(_gated(spark, d, _read(spark, d, short)), "query_id", 8)
+    return best.join(base.chunks(spark, d, "content", of=best).select("chunk_id", "content"), "chunk_id", "left") if texts else best
 
 
 @query(f"WITH {_FUSED} SELECT query_id, chunk_id, position, round(score + 1e-9, 6) AS score FROM best")
@@ -191,7 +204,7 @@ def rerank_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_FUSED} SELECT query_id, position, source_file, subject, page_number AS page, array_to_string(coalesce(hierarchy_path, []), ' > ') AS section, round(coalesce(vector_score, 0) + 1e-9, 4) AS vector_score, round(coalesce(lexical_score, 0) + 1e-9, 4) AS lexical_score, round(score + 1e-9, 4) AS score, content FROM best")
 def search_api(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select(
+    return _fused(spark, d, texts=True).select(
         "query_id", "position", "source_file", "subject", F.col("page_number").alias("page"), F.array_join(F.coalesce("hierarchy_path", F.array().cast("array<string>")), " > ").alias("section"),
         F.round(F.coalesce("vector_score", F.lit(0.0)) + 1e-9, 4).alias("vector_score"), F.round(F.coalesce("lexical_score", F.lit(0.0)) + 1e-9, 4).alias("lexical_score"), F.round(F.col("fused_score") + 1e-9, 4).alias("score"), "content",
     )
@@ -203,14 +216,14 @@ _BLOCK = "'[' || position || '] (' || source_file || ', p.' || CASE WHEN page_nu
 @query(f"""WITH {_FUSED}, b AS (SELECT query_id, position, {_BLOCK} AS block FROM best), r AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY position) AS total FROM b)
 SELECT query_id, position, block FROM r WHERE total <= 8000 OR position = 1""")
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fused(spark, d).withColumn("block", context.block(F.col("position"), F.col("source_file"), F.col("page_number"), F.col("hierarchy_path"), F.col("content")))
+    rows = _fused(spark, d, texts=True).withColumn("block", context.block(F.col("position"), F.col("source_file"), F.col("page_number"), F.col("hierarchy_path"), F.col("content")))
     return context.within_budget(rows, "query_id", "position", "block", 8000).select("query_id", "position", "block")
 
 
 @query(f"""WITH {_FUSED}, b AS (SELECT *, sum(length({_BLOCK})) OVER (PARTITION BY query_id ORDER BY position) AS total FROM best)
 SELECT query_id, string_agg(position || ':' || source_file || ':' || coalesce(CAST(page_number AS VARCHAR), ''), ';' ORDER BY position) AS cited FROM b WHERE total <= 8000 OR position = 1 GROUP BY query_id""")
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fused(spark, d).withColumn("block", context.block(F.col("position"), F.col("source_file"), F.col("page_number"), F.col("hierarchy_path"), F.col("content")))
+    rows = _fused(spark, d, texts=True).withColumn("block", context.block(F.col("position"), F.col("source_file"), F.col("page_number"), F.col("hierarchy_path"), F.col("content")))
     kept = context.within_budget(rows, "query_id", "position", "block", 8000)
     each = F.concat_ws(":", F.col("position").cast("string"), "source_file", F.coalesce(F.col("page_number").cast("string"), F.lit("")))
     return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", each.alias("e")))), lambda x: x["e"]), ";").alias("cited"))
@@ -256,7 +269,7 @@ def detect_filters(spark: SparkSession, d: str) -> DataFrame:
     return facets.mentioned(table(spark, d, "search_requests"), "query_id", "question", values)
 
 
-_FIT = {c: f"({q} IS NULL OR coalesce({T.folded_sql('c.' + c)} = {T.folded_sql(q)}, false))" for c, q in (("subject", "qs"), ("level", "ql"), ("track", "qt"))}
+_FIT = {c: f"({q} IS NULL OR coalesce({_UNACCENT('c.' + c)} = {_UNACCENT(q)}, false))" for c, q in (("subject", "qs"), ("level", "ql"), ("track", "qt"))}
 
 
 @query(f"""WITH {_REQ}, {_CAND}, a AS (SELECT c.query_id, chunk_id, CASE WHEN {_FIT['subject']} AND {_FIT['level']} AND {_FIT['track']} THEN 1 WHEN {_FIT['subject']} AND {_FIT['level']} THEN 2 WHEN {_FIT['subject']} THEN 3 ELSE 4 END AS attempt FROM cand c JOIN req USING (query_id))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
@@ -25,32 +28,58 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a session on one machine may do without: it gets a
+    folder of its own, removed at the end."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexgrain-"))
-            known = spark.sparkContext.getCheckpointDir()
-        folder = known
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="lexgrain-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table written once in the shared folder: later reads survive the loss of an executor."""
+    """The frame as a table written once in the shared folder: later reads survive the loss of an executor.
+
+    The table is needed as long as a frame built on it; ``forget`` removes all that were written, as does the end of the program.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Removes the tables that this application wrote so far; frames built on them can no longer be read. Returns their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+#: Rows that may be sent to every task.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The frame, marked for broadcast if it is counted to have at most ``most`` rows; a join falls back on a shuffle beyond that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors' Python workers this package, once per application."""
-    import atexit
-    import shutil
     import zipfile
     from pathlib import Path
 
