@@ -35,6 +35,47 @@ def rescue_pages(scanned: DataFrame, with_text: DataFrame, keys: list[str]) -> D
     return scanned.select(*keys).distinct().join(with_text.select(*keys).distinct(), keys, "left_anti")
 
 
+def cached_pages(pages: DataFrame, cache: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(pages whose text the cache has, with ``text, reliability, score``; pages still to be recognised). A hit is always of medium
+    reliability and 0.85, whatever the first recognition scored. cache: ``key, text``, one row for each key."""
+    known = cache.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("text"))
+    hits = pages.join(known, key).withColumns({"reliability": F.lit("medium"), "score": F.lit(0.85)})
+    return hits, pages.join(known.select(key), key, "left_anti")
+
+
+def cache_key(name: Column, size: Column, changed: Column, page: Column, mode: Column) -> Column:
+    """20 hex digits of file name, size, time of change, page and mode of recognition."""
+    return F.left(F.sha2(F.concat_ws(":", name, *[c.cast("string") for c in (size, changed, page, mode)]), 256), F.lit(20))
+
+
+def with_provenance(chunks: DataFrame, scanned: DataFrame, keys: list[str], label: Column) -> DataFrame:
+    """Adds ``reliability`` and ``extraction_method``: chunks on scanned pages (``keys``) are of medium reliability and read by OCR, others
+    high and, by their type (label), a table's or a text's. A chunk without a page is on none."""
+    flags = scanned.select(*keys).distinct().withColumn("_scanned", F.lit(True))
+    on = F.coalesce("_scanned", F.lit(False))
+    return chunks.join(flags, keys, "left").withColumn("reliability", F.when(on, "medium").otherwise("high")).withColumn("extraction_method", F.when(on, "ocr_tesseract").when(label == "table_block", "docling_table").otherwise("docling")).drop("_scanned")
+
+
+# Fixed value: the type of a heading's level.
+LEVELS = "array<struct<title:string,depth:int,number:string>>"
+
+
+def level_labels(levels: Column) -> Column:
+    """Labels of a path of headings from the outermost in: number and title; of equal depth in the order given."""
+    placed = F.transform(levels, lambda x, i: F.struct(x["depth"].alias("d"), i.alias("i"), F.trim(F.concat_ws(" ", F.nullif(x["number"], F.lit("")), x["title"])).alias("label")))
+    return F.transform(F.array_sort(placed), lambda x: x["label"])
+
+
+def descend(levels: Column, new: Column) -> Column:
+    """The path below which the heading ``new`` stands: levels of its depth or deeper give way to it."""
+    return F.concat(F.filter(levels, lambda x: x["depth"] < new["depth"]), F.array(new))
+
+
+def heading_path(headings: Column) -> Column:
+    """The path after a sequence of headings, folded from the first to the last."""
+    return F.aggregate(headings, F.array().cast(LEVELS), lambda path, h: descend(path, h))
+
+
 def token_chunks(rows: DataFrame, key: str, text: str, most_tokens: int = 512, least_chars: int = 80) -> DataFrame:
     """``key, chunk_order, tokens, content``: paragraphs merged up to ``most_tokens`` white-space tokens, longer ones cut; short chunks left out."""
 

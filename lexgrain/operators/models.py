@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lexgrain.functions.vectors import normalized
 
 
 def apply_model(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], list]], kind: str, batch: int = 16) -> DataFrame:
@@ -38,3 +41,28 @@ def apply_model(rows: DataFrame, key: str, text: str, load: Callable[[], Callabl
     spark_schema = _parse_datatype_string(f"key {dict(rows.dtypes)[key]}, output {kind}, error string")
     schema = to_arrow_schema(spark_schema)
     return rows.select(key, text).mapInArrow(run, spark_schema).withColumnRenamed("key", key)
+
+
+def embed(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], list]], dims: int, instruction: str = "", batch: int = 16) -> DataFrame:
+    """``key, vector, error``: unit vectors of the texts. instruction: what stands before a question; documents are embedded without one.
+    A vector of another length than ``dims`` is an error of its row, as is a failure of the model; an empty table gives no rows."""
+    asked = rows.select(key, F.when(F.col(text).isNotNull(), F.concat(F.lit(instruction), F.col(text))).alias("_text"))
+    got = apply_model(asked, key, "_text", load, "array<double>", batch)
+    fits = F.size("output") == dims
+    wrong = F.concat(F.lit("the vector has "), F.size("output").cast("string"), F.lit(f" numbers, not {dims}"))
+    return got.select(key, F.when(fits, normalized(F.col("output"))).alias("vector"), F.coalesce("error", F.when(F.col("output").isNotNull() & ~fits, wrong)).alias("error"))
+
+
+def yes_share(yes: Column, no: Column) -> Column:
+    """The probability of yes from two logits."""
+    return 1 / (1 + F.exp(no - yes))
+
+
+def cross_scores(pairs: DataFrame, key: list[str], question: str, subject: str, path: str, content: str, load: Callable[[], Callable[[list[str]], list]], batch: int = 8) -> DataFrame:
+    """``key, score, error``: the cross-encoder's probability that the text answers the question. The model gets the question and, after a
+    line end, subject and path over the content, and returns the logits of yes and no."""
+    head = F.concat_ws(" ", F.nullif(F.col(subject), F.lit("")), F.nullif(F.array_join(F.coalesce(path, F.array().cast("array<string>")), " > "), F.lit("")))
+    text = F.concat_ws("\n", F.col(question), F.nullif(head, F.lit("")), F.coalesce(content, F.lit("")))
+    asked = pairs.select(F.struct(*key).alias("_key"), text.alias("_text"))
+    got = apply_model(asked, "_key", "_text", load, "array<double>", batch)
+    return got.select("_key.*", yes_share(F.col("output")[0], F.col("output")[1]).alias("score"), "error")

@@ -54,11 +54,56 @@ def corpus_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("documents")).crossJoin(c)
 
 
-def profile(types: Column) -> Column:
-    """Of an array of chunk types: tabular from 40 % tables, structured from 40 % lists and headings, else narrative."""
-    n = F.size(types)
-    share = lambda *some: F.size(F.filter(types, lambda t: t.isin(*some))) / n
-    return F.when((n > 0) & (share("table_block", "table_row") >= 0.4), "tabular").when((n > 0) & (share("list", "heading") >= 0.4), "structured").otherwise("narrative")
+def profile(kind: Column) -> Column:
+    """Over a group's rows: tabular from 40 % tables, structured from 40 % lists and headings, else narrative (as for no rows)."""
+    share = lambda *some: F.coalesce(F.avg(F.when(kind.isin(*some), 1.0).otherwise(0.0)), F.lit(0.0))
+    return F.when(share("table_block", "table_row") >= 0.4, "tabular").when(share("list", "heading") >= 0.4, "structured").otherwise("narrative")
+
+
+def with_vectors(rows: DataFrame, key: str, vectors: DataFrame, vector_key: str, vector: str, dims: int) -> DataFrame:
+    """The rows with their vector, joined by key and never by place; ``usable`` tells vectors of the right length."""
+    own = vectors.where(F.col(vector_key).isNotNull()).select(F.col(vector_key).alias("_vk"), F.col(vector).alias("vector"))
+    return rows.join(own, F.col(key) == F.col("_vk"), "left").drop("_vk").withColumn("usable", F.coalesce(F.size("vector") == dims, F.lit(False)))
+
+
+def pairing_errors(rows: DataFrame, key: str, vectors: DataFrame, vector_key: str) -> DataFrame:
+    """``problem, n``: rows without a vector and vectors without a row; none of either means that the two fit."""
+    a, b = rows.select(F.col(key).alias("k")).distinct(), vectors.select(F.col(vector_key).alias("k")).distinct()
+    missing = a.join(b, "k", "left_anti").agg(F.count("*").alias("n")).select(F.lit("no vector").alias("problem"), "n")
+    return missing.unionByName(b.join(a, "k", "left_anti").agg(F.count("*").alias("n")).select(F.lit("no row").alias("problem"), "n"))
+
+
+def preview(planned: DataFrame, order: list[str], rows: int = 3) -> DataFrame:
+    """The first rows that a plan would write; nothing is written."""
+    return planned.orderBy(*order).limit(rows)
+
+
+def stamped(rows: DataFrame, column: str = "updated_at") -> DataFrame:
+    """The rows touched now."""
+    return rows.withColumn(column, F.current_timestamp())
+
+
+def new_id(digits: int = 16) -> Column:
+    """A random id of so many hex digits, as for threads (16) and generated documents (8)."""
+    return F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(digits))
+
+
+def json_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Nested columns as JSON text, nulls inside included and nothing escaped; a null column is an empty array or object."""
+    kinds = dict(rows.dtypes)
+    made = {c: F.coalesce(F.to_json(F.col(c), {"ignoreNullFields": "false"}), F.lit("[]" if kinds[c].startswith("array") else "{}")) for c in columns}
+    return rows.withColumns(made)
+
+
+def tolerant_json(text: Column) -> Column:
+    """A JSON object as a map of texts; an empty one for text that is none."""
+    kind = "map<string,string>"
+    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, kind)), F.from_json(F.lit("{}"), kind))
+
+
+def column_check(found: dict[str, list[str]], expected: dict[str, list[str]]) -> list[tuple[str, str, bool]]:
+    """(table, column, present) of all columns that the store needs."""
+    return [(t, c, c in found.get(t, [])) for t, columns in expected.items() for c in columns]
 
 
 def accepted_values(rows: DataFrame, rules: dict[str, list[str]]) -> DataFrame:

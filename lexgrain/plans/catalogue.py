@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexgrain.plans import retrieval_queries, store_queries, text_queries
+from lexgrain.plans import pipeline_queries, retrieval_queries, store_queries, text_queries
 
-MODULES = [text_queries, store_queries, retrieval_queries]
+MODULES = [text_queries, store_queries, retrieval_queries, pipeline_queries]
 
 
 def queries() -> dict:

@@ -82,11 +82,6 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return a.agg(F.lit("documents").alias("kept"), F.count("*").alias("n")).unionByName(b.agg(F.lit("chunks").alias("kept"), F.count("*").alias("n")))
 
 
-@query(f"WITH {base.CHUNKS}, {base.DOCUMENTS} SELECT chunk_id FROM ch WHERE document_id IS NULL OR document_id NOT IN (SELECT document_id FROM doc)")
-def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return store.orphans(base.documents(spark, d), base.chunks(spark, d, "document_id")).select("chunk_id")
-
-
 @query(f"""WITH {base.CHUNKS}, ranked AS (SELECT chunk_id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY CASE reliability WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, coalesce(char_count, 0) DESC, chunk_id) AS n,
 min(chunk_id) OVER (PARTITION BY content_hash) AS first_seen FROM ch WHERE content_hash IS NOT NULL AND content_hash <> '') SELECT chunk_id, content_hash, first_seen FROM ranked WHERE n = 1""")
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -94,20 +89,35 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("chunk_id", "content_hash", "first_seen")
 
 
+def _deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that exact deduplication keeps in each file."""
+    c = base.chunks(spark, d, "source_file", "subject", "content", "content_hash", "reliability", "char_count")
+    return dedup.exact(c, "content_hash", "char_count", F.col("chunk_id"), "source_file")
+
+
 @query()
 def near_dup_indel(spark: SparkSession, d: str) -> DataFrame:
-    """Near duplicates within one file and subject, of the chunks that exact deduplication keeps."""
-    c = base.chunks(spark, d, "source_file", "document_id", "subject", "content", "content_hash", "reliability", "char_count")
-    kept = dedup.exact(c, "content_hash", "char_count", F.col("chunk_id"))
-    return dedup.near(kept, ["source_file", "subject"], "chunk_id", "content").select("key_kept", "key_dropped", F.round("ratio", 4).alias("ratio"))
+    """Near duplicates within one subject, across files."""
+    return dedup.near(_deduplicated(spark, d), ["subject"], "chunk_id", "content").select("key_kept", "key_dropped", F.round("ratio", 4).alias("ratio"))
+
+
+@query()
+def near_dup_per_file(spark: SparkSession, d: str) -> DataFrame:
+    """The same within one file and subject, as at ingestion."""
+    return dedup.near(_deduplicated(spark, d), ["source_file", "subject"], "chunk_id", "content").select("key_kept", "key_dropped", F.round("ratio", 4).alias("ratio"))
 
 
 @query()
 def near_dup_mixed_reliability(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks that the sequential rule drops within one file and subject."""
-    c = base.chunks(spark, d, "source_file", "subject", "content", "content_hash", "reliability", "char_count")
-    kept = dedup.exact(c, "content_hash", "char_count", F.col("chunk_id"))
-    return dedup.near_sequential(kept, ["source_file", "subject"], "chunk_id", "content")
+    """The chunks that the sequential rule drops within one subject."""
+    return dedup.near_sequential(_deduplicated(spark, d), ["subject"], "chunk_id", "content")
+
+
+@query()
+def near_dup_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that no pair within one file and subject drops."""
+    kept = _deduplicated(spark, d)
+    return dedup.survivors(kept, "chunk_id", dedup.near(kept, ["source_file", "subject"], "chunk_id", "content")).select("chunk_id")
 
 
 @query(f"""WITH {base.CHUNKS}, ranked AS (SELECT chunk_id, row_number() OVER (PARTITION BY content_hash ORDER BY CASE reliability WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, coalesce(char_count, 0) DESC, chunk_id) AS n,
@@ -152,29 +162,6 @@ def first_page(spark: SparkSession, d: str) -> DataFrame:
     return base.chunks(spark, d, "document_id", "page_number").groupBy("document_id").agg(F.min("page_number").alias("first_page"))
 
 
-@query(f"""WITH {base.CHUNKS}, pages AS (SELECT DISTINCT document_id, page_number, bool_or(extraction_method = 'ocr_tesseract') AS scanned, bool_or(length(trim(content)) >= 60) AS with_text FROM ch WHERE page_number IS NOT NULL GROUP BY ALL)
-SELECT document_id, page_number FROM pages WHERE scanned AND NOT with_text""")
-def ocr_pages_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    c = base.chunks(spark, d, "document_id", "page_number", "extraction_method", "content").where("page_number is not null and document_id is not null")
-    return layout.rescue_pages(c.where("extraction_method = 'ocr_tesseract'"), c.where(F.length(F.trim("content")) >= 60), ["document_id", "page_number"])
-
-
-_PAGES = [(1, 59, 0, 0.5), (2, 60, 500, 1.0), (3, 0, 119, 0.49), (4, 0, 120, 0.0)]
-
-
-@query("SELECT page, chars < 60 AND (image_share >= 0.5 OR paths >= 120) AS scanned FROM (VALUES (1, 59, 0, 0.5), (2, 60, 500, 1.0), (3, 0, 119, 0.49), (4, 0, 120, 0.0)) t(page, chars, paths, image_share)")
-def scanned_predicate(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.createDataFrame(_PAGES, "page int, chars int, paths int, image_share double")
-    return p.select("page", layout.is_scanned(F.col("chars"), F.col("paths"), F.col("image_share")).alias("scanned"))
-
-
-@query("SELECT * FROM (VALUES (1, 0.6, 'medium'), (2, 0.0, 'low'), (3, 0.55, 'low')) t(page, score, level)")
-def ocr_confidence(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.createDataFrame([(1, [90, 30, -1, 80], ["a", "b", "c", " "]), (2, [-1], ["x"]), (3, [55], ["y"])], "page int, conf array<int>, words array<string>")
-    c = layout.ocr_confidence(F.col("conf"), F.col("words"))
-    return p.select("page", F.round(c["score"], 4).alias("score"), c["level"].alias("level"))
-
-
 @query()
 def chunker(spark: SparkSession, d: str) -> DataFrame:
     return layout.token_chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_order", "tokens", F.length("content").alias("chars"))
@@ -186,21 +173,6 @@ def model_seam(spark: SparkSession, d: str) -> DataFrame:
     return models.apply_model(table(spark, d, "documents"), "doc_id", "text", lambda: lambda some: [len(t) for t in some], "bigint")
 
 
-_EXAM = "intro\n### EXERCICE\nPOINTS: 6\nCOMPETENCE: X\nENONCE: E1\nCORRIGE: C1\n### EXERCICE\nPOINTS: z\nENONCE: E2\nCORRIGE:\n### EXERCICE\nPOINTS: 3\n"
-
-
-@query("SELECT * FROM (VALUES (6, 'X', 'E1', 'C1'), (0, '', 'E2', '')) t(points, competence, statement, correction)")
-def parse_exercises(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(_EXAM,)], "text string").select(F.inline(conversation.parse_exercises(F.col("text"))))
-
-
-@query(r"""SELECT '# Exam' || repeat(chr(10), 2) || '## Exercice 1 (6 points) — X' || repeat(chr(10), 2) || 'E1' || repeat(chr(10), 2) || '## Exercice 2 (0 points)' || repeat(chr(10), 2) || 'E2' || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) ||
-'## Barème' || repeat(chr(10), 2) || '| Exercice | Points |' || chr(10) || '|:---|:---:|' || chr(10) || '| Exercice 1 — X | 6 |' || chr(10) || '| Exercice 2 | 0 |' || chr(10) || '| **Total** | **6** |' AS markdown, 6 AS total""")
-def exam_markdown(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.createDataFrame([(_EXAM,)], "text string").select(conversation.parse_exercises(F.col("text")).alias("e"))
-    return e.select(conversation.exam_markdown(F.lit("Exam"), F.col("e")).alias("markdown"), conversation.total_points(F.col("e")).alias("total"))
-
-
 _TURNS = "turns AS (SELECT CAST(user_id AS VARCHAR) AS thread, ts, event_id, event_type, value FROM events WHERE user_id IS NOT NULL)"
 
 
@@ -238,15 +210,26 @@ def rewrite_guard(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", conversation.rewrite_guard(F.col("question"), F.left("question", (10 + F.col("query_id") % 7).cast("int"))).alias("asked"))
 
 
-@query(f"WITH {base.CHUNKS} SELECT subject, count(*) AS n FROM ch GROUP BY subject")
+@query(f"""WITH {base.CHUNKS} SELECT chunk_id, CASE WHEN ascii(right(chunk_id, 1)) % 2 = 0 THEN 'third ' || coalesce(content_hash, '') WHEN reliability = 'high' THEN 'second' ELSE sha256(content) END AS content_sha,
+CASE WHEN content_hash IS NOT NULL THEN subject WHEN reliability = 'high' THEN 'again' ELSE 'late' END AS subject FROM ch
+WHERE content_hash IS NOT NULL OR reliability = 'high' OR ascii(right(chunk_id, 1)) % 2 = 0""")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk table ingested as a stream of files, batch by batch, then counted."""
+    """Three deliveries of chunks, each added to the folder of a stream and ingested from where it stopped: the first of rows with a hash,
+    then of changed rows, some of them new; contents follow the last delivery, subjects stay as first delivered."""
     from lexgrain.streaming import ingest
 
     root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    stream = ingest.table_stream(spark, d, "chunks").select("chunk_id", "subject", "content", "content_hash", "reliability", "created_at")
-    ingest.ingest(stream, f"{root}/table", "chunk_id", [c for c in store.CHUNK_UPDATES if c in stream.columns], "created_at", f"{root}/state")
-    return store_files.read(spark, f"{root}/table").groupBy("subject").agg(F.count("*").alias("n"))
+    rows = base.chunks(spark, d, "subject", "content_hash", "reliability", content_sha=F.sha2("content", 256)).select("chunk_id", "subject", "content_hash", "reliability", "content_sha")
+    odd = F.ascii(F.right("chunk_id", F.lit(1))) % 2 == 0
+    deliveries = [
+        rows.where("content_hash is not null"), rows.where("reliability = 'high'").withColumns({"content_sha": F.lit("second"), "subject": F.lit("again")}),
+        rows.where(odd).withColumns({"content_sha": F.concat(F.lit("third "), F.coalesce("content_hash", F.lit(""))), "subject": F.lit("late")}),
+    ]
+    for k, delivery in enumerate(deliveries):
+        delivery.withColumn("delivered", F.lit(k)).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+        ingest.ingest(stream, f"{root}/table", "chunk_id", ["content_sha", "content_hash", "reliability", "delivered"], "delivered", f"{root}/state", buckets=16)
+    return store_files.read(spark, f"{root}/table").select("chunk_id", "content_sha", "subject")
 
 
 @query()

@@ -167,3 +167,60 @@ def test_scan_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "c.pdf").write_bytes(b"1")
     assert [r["length"] for r in store_files.scan_files(spark, str(tmp_path)).collect()] == [5]
+
+
+def test_scan_files_of_a_missing_folder(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        store_files.scan_files(spark, str(tmp_path / "none")).collect()
+
+
+def test_batches_of_queries(spark):
+    """Many queries in several blocks against plain sorting, with ties, and vectors that are not usable."""
+    import numpy as np
+
+    from lexgrain.operators.vector_search import top_k_batch
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = [(f"k{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("none", None), ("short", [1.0]), ("zero", [0.0] * 4)]
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)] + [(99, None)], "q int, v array<double>")
+    got = {(r["q"], r["position"]): r["k"] for r in top_k_batch(df, "k", "v", q, "q", "v", 3, 4, block=16).collect()}
+    n = np.linalg.norm(x, axis=1)
+    for i in range(40):
+        if n[i] == 0:
+            continue
+        s = [(-round(float(x[i] @ x[j] / (n[i] * n[j])), 9), f"k{j:03d}") for j in range(300) if n[j] > 0]
+        assert [got[i, p] for p in (1, 2, 3)] == [k for _, k in sorted(s)[:3]]
+    assert top_k_batch(df, "k", "v", q.limit(0), "q", "v", 3, 4).count() == 0
+
+
+def test_contracts_of_models(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "abcde")], "k int, t string")
+    got = {r["k"]: r for r in models.embed(df, "k", "t", lambda: lambda some: [[3.0, 4.0] if len(t) < 8 else [1.0] for t in some], 2, "Q: ").collect()}
+    assert list(got[1]["vector"]) == [0.6, 0.8] and got[2]["vector"] is None and got[2]["error"] is None and "not 2" in got[3]["error"]
+
+
+def test_thread_state_is_dropped_when_idle(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from lexgrain.streaming import ingest
+
+    start = datetime(2024, 1, 1)
+    for k, (thread, minutes) in enumerate([("a", 0), ("b", 200), ("b", 400), ("a", 401)]):
+        spark.createDataFrame([(thread, start + timedelta(minutes=minutes), str(k))], "thread string, ts timestamp, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("thread string, ts timestamp, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = ingest.run_to_table(ingest.thread_memory(stream.withWatermark("ts", "1 minute"), "thread", "ts", "v", idle="30 minutes"), "update").collect()
+    last = {r["thread"]: (r["turns"], r["newest"]) for r in sorted(rows, key=lambda r: r["batch"])}
+    assert last["a"] == (1, "3")  # its first turn was forgotten
+
+
+def test_wide_rows_keep_the_latest(spark):
+    from lexgrain.sources.tables import latest
+
+    data = [("a", 1, "old"), ("a", 2, "new"), ("b", None, "x"), ("b", 1, "y"), ("c", 5, None), (None, 1, "z")]
+    df = spark.createDataFrame(data, "k string, at int, content string")
+    want = {("a", "new"), ("b", "y"), ("c", None)}
+    for wide in (False, True):
+        assert {(r["k"], r["content"]) for r in latest(df, ["k"], "at", wide).collect()} == want
+        assert latest(df.limit(0), ["k"], "at", wide).count() == 0

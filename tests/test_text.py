@@ -87,11 +87,12 @@ def test_confidence(one):
     assert one(none["score"]) == 0 and one(none["level"]) == "low"
 
 
-def test_profile_and_types(one):
+def test_profile_and_types(one, spark):
     types = lambda *some: F.array(*map(F.lit, some)) if some else F.array().cast("array<string>")
-    assert one(store.profile(types("table_block", "table_block", "x", "x", "x"))) == "tabular"
-    assert one(store.profile(types("list", "heading", "x", "x", "x"))) == "structured"
-    assert one(store.profile(types())) == "narrative"
+    profile = lambda *some: spark.createDataFrame([(x,) for x in some], "t string").agg(store.profile(F.col("t"))).first()[0]
+    assert profile("table_block", "table_block", "x", "x", "x") == "tabular"
+    assert profile("list", "heading", "x", "x", None) == "structured"
+    assert profile() == "narrative"
     assert one(layout.chunk_type(types("list_item", "list_item"))) == "list"
     assert one(layout.chunk_type(types("list_item", "table"))) == "table_block"
     assert one(layout.chunk_type(types())) == "paragraph"
@@ -123,6 +124,24 @@ def test_rewrite(one):
     assert one(conversation.rewrite_guard(F.lit("orig"), F.lit("trop court"))) == "orig"
 
 
+def test_unaccented(one):
+    assert one(T.unaccented(F.lit("Œuvre à Straße — ÆØ"))) == "oeuvre a strasse — aeo"
+    assert one(T.unaccented(F.lit(None).cast("string"))) is None
+
+
+def test_tracks_and_cycles(one):
+    assert one(identity.track(F.lit("x_S2.pdf"), F.lit('la « S1 » et la « L2 », puis "L2"'))) == "L2"
+    assert one(identity.track(F.lit("x_S2.pdf"), F.lit("SERIES  s1 et s2, puis"))) == "S1 ET S2"
+    assert one(identity.track(F.lit("x_S2.pdf"), F.lit("series S1 , S2 , S3 , L2"))) == "S2"  # announced at too great length
+    assert one(identity.track(F.lit("x.pdf"), F.lit(""))) is None
+    assert one(identity.level(F.lit("a_Tle_b.pdf"), F.lit("rien"))) == "terminale" and one(identity.level(F.lit("a.pdf"), F.lit("les SECONDES"))) == "seconde"
+    assert one(identity.cycle(F.lit("premiere"), F.lit(""))) == "secondaire" and one(identity.cycle(F.lit(None).cast("string"), F.lit("le Moyen"))) == "moyen"
+    s = one(identity.subject(F.lit("Programme_2020.pdf"), F.lit("PROGRAMME DE LATIN POUR LA CLASSE. programme d'enseignement du")))
+    assert (s["name"], s["source"]) == ("latin", "content")
+    s = one(identity.subject(F.lit("Programme_2020.pdf"), F.lit("rien")))
+    assert (s["name"], s["source"]) == (None, "unknown")
+
+
 def test_word_numbers():
     """Numbering stretches equals cutting the folded text into words, also where folding makes several words or none of one."""
     import numpy as np
