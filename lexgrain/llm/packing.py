@@ -3,17 +3,23 @@
 Everything is planned on the histogram of sizes (``capacity`` numbers, whatever the corpus). All combinations of up to three
 sizes that fill the upper window of a container are enumerated, non-negative least squares finds how often each should be
 used to consume the histogram, the counts are rounded down, and the sizes left are packed greedily, largest first, each
-container filled with the largest sizes that still fit. A plan is a list of (combination, times). Texts are numbered within
-their size by distributed counting and take the places of the plan in order; no text is ever gathered on the driver.
+container filled with the largest sizes that still fit. A plan is a list of (combination, times). Texts are read once, for their
+sizes, which are written; from there on only keys and sizes move. They are numbered within their size by distributed ranking
+(ranges of the order, so a size that every third piece has is spread over many tasks) and take the places of the plan in order,
+by binary search in its ranges; no text is ever gathered on the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.operators.ranking import positions
+from lexgrain.session import written
+
 #: Runs of letters and numbers, and every other character that is not white space.
 TOKENS = r"(?U)[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
@@ -59,7 +65,7 @@ def _combinations(sizes: np.ndarray, capacity: int, window: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def _least_squares(combos: np.ndarray, wanted: np.ndarray, rounds: int = 300) -> np.ndarray:
+def _least_squares(combos: np.ndarray, wanted: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Non-negative x with sum of x * combination near the histogram: accelerated projected gradient."""
     n = len(wanted)
     if not len(combos):
@@ -83,7 +89,7 @@ def _least_squares(combos: np.ndarray, wanted: np.ndarray, rounds: int = 300) ->
     return x
 
 
-def plan(histogram: np.ndarray, capacity: int, window: int = 8) -> list[tuple[list[int], int]]:
+def plan(histogram: np.ndarray, capacity: int, window: int = 2) -> list[tuple[list[int], int]]:
     """(sizes of one container, number of such containers); uses up histogram[1..capacity] exactly."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
@@ -120,7 +126,7 @@ def plan(histogram: np.ndarray, capacity: int, window: int = 8) -> list[tuple[li
         out.append(([s for s, n in uses.items() for _ in range(n)], times))
 
 
-def pack(rows: DataFrame, key: str, size: Column, capacity: int = 1024, window: int = 8) -> DataFrame:
+def pack(rows: DataFrame, key: str, size: Column, capacity: int = 1024, window: int = 2) -> DataFrame:
     """``key, piece, pieces, size, container`` of every row: piece 1 of 1 for what fits, else pieces of at most ``capacity``.
 
     Rows larger than the capacity are divided into full pieces and one rest; every full piece has a container of its own. A null
@@ -128,36 +134,42 @@ def pack(rows: DataFrame, key: str, size: Column, capacity: int = 1024, window:
     largest size. Containers are numbered from 0; an empty table gives no rows. Which of the equally large rows stand
     together depends on the order of their keys' hashes only.
     """
-    sized = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.coalesce(F.max(size), F.lit(0)).cast("long").alias("n"))
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)[key]
+    # the size is worked out where the text is read; the largest of a repeated key is combined before the shuffle
+    sized = written(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(size, F.lit(0)).cast("long").alias("n")).groupBy("k").agg(F.max("n").alias("n")), "sizes")
     parts = F.when(F.col("n") > capacity, F.ceil(F.col("n") / capacity)).otherwise(1).cast("int")
     pieces = sized.withColumn("pieces", parts).withColumn("piece", F.explode(F.sequence(F.lit(1), "pieces")))
-    pieces = pieces.withColumn("s", F.least(F.lit(capacity).cast("long"), F.col("n") - (F.col("piece") - 1) * capacity))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(64)).cast("int"))
-    counts = pieces.groupBy("s", "salt").agg(F.count("*").alias("c")).toPandas()
+    pieces = pieces.select("k", "piece", "pieces", F.least(F.lit(capacity).cast("long"), F.col("n") - (F.col("piece") - 1) * capacity).alias("s"))
+    counts = pieces.groupBy("s").agg(F.count("*").alias("c")).toPandas()
     histogram = np.zeros(capacity + 1, np.int64)
     np.add.at(histogram, counts["s"].to_numpy(np.int64), counts["c"].to_numpy(np.int64))
-    places, container = [], 1 if histogram[0] else 0
-    if histogram[0] and not histogram[1:].any():
-        container = 0
     taken = np.zeros(capacity + 1, np.int64)
+    lows: dict[int, list[int]] = {}
+    bases: dict[int, list[int]] = {}
     base = 0
     for sizes, times in plan(histogram, capacity, window):
         for slot in sizes:
-            places.append((slot, int(taken[slot]), int(taken[slot]) + times, base))
+            lows.setdefault(slot, []).append(int(taken[slot]))
+            bases.setdefault(slot, []).append(base)
             taken[slot] += times
         base += times
-    spark = rows.sparkSession
-    kind = "s long, low long, high long, base long"
-    places = spark.createDataFrame(places, kind) if places else spark.createDataFrame([], kind)
-    before = Window.partitionBy("s").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = spark.createDataFrame(counts[["s", "salt", "c"]], "s long, salt int, c long").withColumn("shift", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    numbered = pieces.withColumn("i", F.row_number().over(Window.partitionBy("s", "salt").orderBy(F.xxhash64("k", "piece", F.lit(1)), "k", "piece")))
-    numbered = numbered.join(F.broadcast(shift.select("s", "salt", "shift")), ["s", "salt"]).withColumn("rank", F.col("i") + F.col("shift") - 1)
-    by_size = places.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("low", "high", "base"))).alias("ranges"))
-    at = numbered.join(F.broadcast(by_size), "s", "left")
-    hit = F.element_at(F.filter("ranges", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"])), 1)
-    spot = F.when(F.col("s") == 0, F.lit(0)).otherwise(hit["base"] + F.col("rank") - hit["low"])
-    return at.select(F.col("k").alias(key), "piece", "pieces", F.col("s").alias("size"), spot.cast("long").alias("container"))
+    # at most capacity x (containers of different kinds) ranges, whatever the number of texts
+    shared = spark.sparkContext.broadcast({slot: (np.array(low), np.array(bases[slot])) for slot, low in lows.items()})
+
+    def place(batches):
+        for batch in batches:
+            own, rank = batch.column(3).to_numpy(), batch.column(4).to_numpy() - 1
+            spot = np.zeros(len(own), np.int64)
+            for slot in np.unique(own[own > 0]).tolist():
+                low, first = shared.value[slot]
+                at = np.flatnonzero(own == slot)
+                i = np.searchsorted(low, rank[at], side="right") - 1
+                spot[at] = first[i] + rank[at] - low[i]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(spot)], names=["k", "piece", "pieces", "size", "container"])
+
+    numbered = positions(pieces, ["s"], [F.xxhash64("k", "piece"), F.col("k"), F.col("piece")], "rank")
+    return numbered.select("k", "piece", "pieces", "s", "rank").mapInArrow(place, f"k {kind}, piece int, pieces int, size long, container long").withColumnRenamed("k", key)
 
 
 def _p8(spark: SparkSession, folder: str) -> DataFrame:

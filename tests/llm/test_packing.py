@@ -42,3 +42,12 @@ def test_token_rule(spark):
             runs = regex.findall(r"[\p{L}\p{N}]+", r["t"])
             rest = regex.sub(r"[\p{L}\p{N}]+", "", r["t"])
             assert r["n"] == len(runs) + len(re.sub(r"\s", "", rest))
+
+
+def test_a_size_of_a_third(spark):
+    """A third of all rows have one size: every piece still has one place, and no container overflows."""
+    data = [(i, 400 if i % 3 == 0 else (i * 53) % 600 + 1) for i in range(6000)]
+    got = pack(spark.createDataFrame(data, "id long, n long"), "id", F.col("n"), capacity=1000).toPandas()
+    assert len(got) == 6000 and got.id.is_unique
+    assert got.groupby("container")["size"].sum().max() <= 1000
+    assert got["size"].sum() / (1000 * got.container.nunique()) > 0.98
