@@ -1,9 +1,14 @@
 """The k most similar vectors of every vector, by balanced posting lists.
 
-Centroids come from a bounded sample (at most ``fit_rows`` rows, those of the smallest hashes of their vectors) by balanced bisection; every usable row
-is indexed. A row is stored in each list whose centroid is at most ``store_ratio`` times as far as its nearest one
-(boundary rows so stand in several lists) and searched in each list within ``probe_ratio``. Lists are found by a beam
-search over the neighbour graph of the centroids. The centroids are what is broadcast: at most ``most_lists`` vectors.
+Centroids come from bounded samples by balanced bisection; every usable row is indexed. There is a list for every ``list_size`` rows.
+Up to ``most_lists`` of them come from one sample (at most ``fit_rows`` rows, those of the smallest hashes of their vectors); of more,
+that sample gives ``most_lists`` cells, and each cell is bisected in a task of its own on a sample of 16 rows for each list.
+So the centroids, which are what is broadcast, are at most ``most_lists`` squared (67 MB for 512 and 64 numbers).
+
+A row is stored in each list whose centroid is at most ``store_ratio`` times as far as its nearest one (boundary rows so stand in
+several lists) and searched in each list within ``probe_ratio``. Lists are found by a beam search over the neighbour graph of the
+centroids. A list that is expected to hold more than ``block`` rows is cut in blocks, and every pair of blocks is met in a task of
+its own: no row of it is left out, and no task holds more than two blocks.
 
 Equal vectors form one class that is searched once; a class of any size adds at most k + 1 of its keys to any answer.
 """
@@ -69,15 +74,38 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
 
 
 class CentroidGraph:
-    """Each centroid linked to its nearest ones; batches of vectors walk it with a beam."""
+    """Each centroid linked to its nearest ones; batches of vectors walk it with a beam.
+
+    Links of many centroids are looked for among those of neighbouring cells (``cells``: coarser centroids), so that no matrix of
+    all against all is made.
+    """
 
-    def __init__(self, centroids: np.ndarray, degree: int = 12, entries: int = 24, seed: int = 3) -> None:
+    def __init__(self, centroids: np.ndarray, degree: int = 12, entries: int = 24, seed: int = 3, cells: np.ndarray | None = None) -> None:
         self.c, n = centroids, len(centroids)
-        s = centroids @ centroids.T
-        np.fill_diagonal(s, -2)
-        near = np.argsort(-s, axis=1)[:, : min(degree, max(1, n - 1))]
+        degree = min(degree, max(1, n - 1))
+        near = np.zeros((n, degree), np.int64)
+        if cells is None:
+            s = centroids @ centroids.T
+            np.fill_diagonal(s, -2)
+            near = np.argsort(-s, axis=1)[:, :degree]
+        else:
+            home = np.concatenate([np.argmax(centroids[i : i + 4096] @ cells.T, axis=1) for i in range(0, n, 4096)])
+            members = [np.flatnonzero(home == j) for j in range(len(cells))]
+            beside = np.argsort(-(cells @ cells.T), axis=1)[:, :8]
+            for j, own in enumerate(members):
+                if not len(own):
+                    continue
+                around = np.concatenate([members[i] for i in beside[j]])
+                if len(around) <= degree:
+                    around = np.arange(min(n, 4 * degree + 1))
+                s = centroids[own] @ centroids[around].T
+                s[own[:, None] == around[None, :]] = -2
+                near[own] = around[np.argsort(-s, axis=1)[:, :degree]]
         far = np.random.default_rng(seed).integers(0, n, (n, 2))
         self.links = np.concatenate([near, far], axis=1)
+        if cells is not None:
+            self.entry = sorted({int(own[np.argmax(centroids[own] @ cells[j])]) for j, own in enumerate(members) if len(own)})
+            return
         self.entry = [0]
         best = centroids @ centroids[0]
         while len(self.entry) < min(entries, n):  # spread over the space
@@ -104,8 +132,51 @@ class CentroidGraph:
         return ids[:, :beam], sims[:, :beam]
 
 
+def _sample(vectors: DataFrame, total: int, rows: int) -> DataFrame:
+    """About ``rows`` of the vectors, those of a range of the hashes; all of them if they are no more."""
+    share = 1.0 if total <= rows else 0.95 * rows / total
+    return vectors.where(F.xxhash64("h") <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1))))
+
+
+def _matrix(rows) -> np.ndarray:
+    return np.stack([np.frombuffer(r[0], np.float32) for r in rows])
+
+
+def centroid_graph(vectors: DataFrame, total: int, dims: int, list_size: int, most_lists: int, fit_rows: int, each: int = 16) -> tuple[CentroidGraph | None, np.ndarray]:
+    """The graph of the lists' centroids, and how many of all rows each list is expected to hold."""
+    sample = _sample(vectors, total, fit_rows).select("vec").limit(fit_rows).collect()  # the limit only guards the tail
+    if not sample:
+        return None, np.zeros(0)
+    x = _matrix(sample)
+    lists = max(total // list_size, max(1, min(64, total // 50)))
+    if lists <= most_lists:
+        graph = CentroidGraph(balanced_centroids(x, lists))
+    else:
+        lists = min(lists, most_lists * most_lists)
+        cells = balanced_centroids(x, most_lists)
+        shared = vectors.sparkSession.sparkContext.broadcast(cells)
+
+        def home(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    v = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float32).reshape(-1, dims)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.argmax(v @ shared.value.T, axis=1).astype(np.int32)), part.column(0)], names=["cell", "vec"])
+
+        most = 4 * each * most_lists
+
+        def fit(table: pa.Table) -> pa.Table:
+            v = np.frombuffer(b"".join(table.column("vec").slice(0, most).to_pylist()), np.float32).reshape(-1, dims)
+            return pa.table({"c": pa.array([c.tobytes() for c in balanced_centroids(v, max(1, min(most_lists, round(len(v) / each))))], pa.binary())})
+
+        found = _sample(vectors, total, each * lists).select("vec").mapInArrow(home, "cell int, vec binary").groupBy("cell").applyInArrow(fit, "c binary").collect()
+        graph = CentroidGraph(_matrix(found), cells=cells)
+    own = np.concatenate([graph.search(x[i : i + 512], beam=4)[0][:, 0] for i in range(0, len(x), 512)])
+    return graph, np.bincount(own, minlength=len(graph.c)) * (total / len(x))
+
+
 def nearest(
-    rows: DataFrame, key: str, vector: str, k: int = 5, dims: int = 64, list_size: int = 1000, most_lists: int = 512, fit_rows: int = 8_000, store_ratio: float = 1.10, probe_ratio: float = 1.20, most_probes: int = 5
+    rows: DataFrame, key: str, vector: str, k: int = 5, dims: int = 64, list_size: int = 1000, most_lists: int = 512, fit_rows: int = 8_000, store_ratio: float = 1.10, probe_ratio: float = 1.20, most_probes: int = 5, block: int = 20_000
 ) -> DataFrame:
     """``key, neighbour, cosine, position`` (1..k, ties by key) for every usable vector.
 
@@ -117,14 +188,12 @@ def nearest(
     first = vectors.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("key"))).where(F.col("n") <= k + 1)
     classes = first.groupBy("h").agg(F.min_by("vec", "n").alias("vec"), F.sort_array(F.collect_list("key")).alias("keys"))
     total = vectors.count()
-    share = 1.0 if total <= fit_rows else 0.95 * fit_rows / total  # so many of the hashes' range; the limit only guards the tail
-    sample = [np.frombuffer(r[0], np.float32) for r in vectors.where(F.xxhash64("h") <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))).select("vec").limit(fit_rows).collect()]
-    lists = int(np.clip(total // list_size, max(1, min(64, total // 50)), most_lists))
-    graph = CentroidGraph(balanced_centroids(np.stack(sample), lists)) if sample else None
-    shared = spark.sparkContext.broadcast(graph)
+    graph, expected = centroid_graph(vectors, total, dims, list_size, most_lists, fit_rows)
+    # rows beside the nearest list's come from the lists around
+    shared = spark.sparkContext.broadcast((graph, np.maximum(1, np.ceil(1.5 * expected / block)).astype(np.int64)))
 
     def place(batches):
-        g = shared.value
+        g, blocks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -133,13 +202,31 @@ def nearest(
                 far = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
                 row, col = np.nonzero(far <= far[:, :1] * probe_ratio)
                 stored = far[row, col] <= far[row, 0] * store_ratio
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(stored)], names=["list", "h", "vec", "stored"])
+                lists = ids[row, col].astype(np.int64)
+                many = blocks[lists]
+                if (many == 1).all():
+                    yield _placed(part, row, lists << 20, np.ones(len(row), bool), stored)
+                    continue
+                # row i of a list in m blocks asks in cells (own, *) and is stored in cells (*, own)
+                mine = (part.column(0).to_numpy()[row].view(np.uint64) >> np.uint64(20)).astype(np.int64) % many
+                out = []
+                for m in np.unique(many).tolist():
+                    some = np.flatnonzero(many == m)
+                    other = np.tile(np.arange(m), len(some))
+                    r = np.repeat(some, m)
+                    asks = (lists[r] << 20) + (mine[r] << 10) + other
+                    out.append((row[r], asks, np.ones(len(r), bool), stored[r] & (other == mine[r])))
+                    apart = stored[r] & (other != mine[r])
+                    out.append((row[r][apart], ((lists[r] << 20) + (other << 10) + mine[r])[apart], np.zeros(int(apart.sum()), bool), np.ones(int(apart.sum()), bool)))
+                yield _placed(part, *(np.concatenate(c) for c in zip(*out)))
 
     def scan(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy()
         x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(-1, dims)
         kept = np.flatnonzero(table.column("stored").to_numpy())
         data, own = x[kept], h[kept]
+        asks = np.flatnonzero(table.column("asks").to_numpy())
+        x, h = x[asks], h[asks]
         who, best, sims = [], [], []
         for at in range(0, len(x), 512):
             s = x[at : at + 512] @ data.T
@@ -158,8 +245,8 @@ def nearest(
         flat = [np.concatenate(v) if v else np.empty(0, d) for v, d in ((who, np.int64), (best, np.int64), (sims, np.float64))]
         return pa.table({"h": flat[0], "other": flat[1], "cosine": flat[2]})
 
-    placed = classes.select("h", "vec").mapInArrow(place, "list int, h long, vec binary, stored boolean")
-    found = placed.groupBy("list").applyInArrow(scan, "h long, other long, cosine double")
+    placed = classes.select("h", "vec").mapInArrow(place, "cell long, h long, vec binary, asks boolean, stored boolean")
+    found = placed.groupBy("cell").applyInArrow(scan, "h long, other long, cosine double")
     merged = found.groupBy("h", "other").agg(F.max("cosine").alias("cosine"))
     top = merged.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("cosine"), "other"))).where(F.col("n") <= k).drop("n")
     across = top.join(classes.select(F.col("h").alias("other"), "keys"), "other").select("h", F.explode("keys").alias("neighbour"), "cosine")
@@ -170,6 +257,11 @@ def nearest(
     return ranked.select("key", "neighbour", "cosine", "position")
 
 
+def _placed(part: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, asks: np.ndarray, stored: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(cell), part.column(0).take(at), part.column(1).take(at), pa.array(asks), pa.array(stored)], names=["cell", "h", "vec", "asks", "stored"])
+
+
 def _p6_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{folder}/chunks.parquet").select("chunk_id", "embedding"), "chunk_id", "embedding")
 

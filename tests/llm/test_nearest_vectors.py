@@ -1,14 +1,17 @@
 import numpy as np
+import pytest
 
 from lexgrain.llm.nearest_vectors import CentroidGraph, balanced_centroids, nearest
 
 
-def test_recall_against_brute_force(spark):
+@pytest.mark.parametrize("how", [{}, {"block": 40}, {"most_lists": 6, "list_size": 60}, {"most_lists": 6, "list_size": 60, "block": 30}])
+def test_recall_against_brute_force(spark, how):
+    """One level of lists, lists in blocks, two levels, and both."""
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
     x = np.concatenate([c + 0.4 * rng.normal(size=(120, 16)) for c in centres])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
-    got = nearest(df, "id", "embedding", k=5, dims=16, list_size=60).toPandas()
+    got = nearest(df, "id", "embedding", k=5, dims=16, **({"list_size": 60} | how)).toPandas()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -9)
@@ -43,3 +46,16 @@ def test_balanced_lists():
     ids, sims = CentroidGraph(c).search(x, beam=4)
     exact = np.argmax(x @ c.T, axis=1)
     assert np.mean(ids[:, 0] == exact) > 0.95
+
+
+def test_one_list_of_many(spark):
+    """All rows in one list, cut in blocks: every row still meets every other."""
+    x = np.random.default_rng(8).normal(size=(3000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    got = nearest(df, "id", "embedding", k=3, dims=8, list_size=10**6, most_lists=1, block=500).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    best = np.argsort(-s, axis=1)[:, :3]
+    own = got.groupby("key").neighbour.apply(set)
+    assert np.mean([own[i] == set(best[i]) for i in range(len(x))]) > 0.999
