@@ -7,7 +7,8 @@
    short suspects need that support. A form too rare for its share in scans to mean anything is a suspect wherever it stands, and
    needs that support from both sides there. A text counts as a scan if it is said to be one or shows it by divided words or page numbers.
 3. Short lines, with numbers masked, are counted per file; what recurs in a file, in scans, is its running title. The forms of
-   titles (rare words masked) that recur in many files also find titles that stand only once.
+   titles (rare words masked) that recur in many files also find titles that stand only once. A title may be misread itself; that
+   is part of the title, so only words outside titles count as misread.
 4. Lines are numbered, titles and page numbers leave, words divided at line ends are joined with the next line that is left, and
    SQL windows find where paragraphs begin; the lines of a paragraph become one.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions.words import folded
-from lexgrain.session import written
+from lexgrain.session import small, written
 
 # Glyphs that scanners confuse, as strokes.
 STROKES = {
@@ -102,8 +103,9 @@ def word_forms(texts: DataFrame) -> DataFrame:
 
 
 def suspects(forms: DataFrame, ratio: float, least: int, sound_share: float) -> DataFrame:
-    """``form, better, often, unsure``: rare forms of scans, and each frequent form of the same skeleton. unsure: so rare that it is
-    a suspect although it stands outside what is taken for scans."""
+    """``form, better, often, unsure, named``: rare forms of scans, and each frequent form of the same skeleton. unsure: so rare that it is
+    a suspect although it stands outside what is taken for scans. named: the frequent form is mostly written with a capital, as names
+    are, which differ by a stroke without being misread: good enough only for mending a text known to be misread."""
 
     def stroke(batches):
         for batch in batches:
@@ -111,10 +113,11 @@ def suspects(forms: DataFrame, ratio: float, least: int, sound_share: float) ->
 
     kinds = "form string, n long, small long, sound long, bones string"
     every = written(forms.where(F.length("form") >= 2).mapInArrow(stroke, kinds), "forms")
-    often = every.where(f"small >= {least} and form rlike '^\\\\p{{L}}+$'").select("bones", F.col("form").alias("better"), F.col("small").alias("often"))
+    letters = F.col("form").rlike(r"^\p{L}+$")
+    often = every.where((F.col("n") >= least) & letters).select("bones", F.col("form").alias("better"), F.when(F.col("small") >= least, F.col("small")).otherwise(F.col("n")).alias("often"), (F.col("small") < least).alias("named"))
     outside = F.col("sound") > sound_share * F.col("n")
     rare = every.where(~outside | (F.col("n") <= FEW)).select("bones", "form", "n", outside.alias("unsure"))
-    return rare.join(often, "bones").where((F.col("form") != F.col("better")) & (F.col("often") >= ratio * F.col("n"))).select("form", "better", "often", "unsure")
+    return rare.join(often, "bones").where((F.col("form") != F.col("better")) & (F.col("often") >= ratio * F.col("n"))).select("form", "better", "often", "unsure", "named")
 
 
 def _bitmap(words: DataFrame, name: str) -> np.ndarray:
@@ -131,7 +134,10 @@ def _bitmap(words: DataFrame, name: str) -> np.ndarray:
 
 
 def misread_words(texts: DataFrame, kind: str, ratio: float = 10.0, least: int = 12, sound_share: float = 0.25) -> DataFrame:
-    """``key, form, better, context``: suspects where they stand, with the form they should have. texts: ``key, text, scan``."""
+    """``key, form, better, context, sure``: suspects where they stand, with the form they should have. texts: ``key, text, scan``.
+
+    sure: certain enough to tell that the text was misread at all. In a text that was, the others are taken for misread too.
+    """
     spark = texts.sparkSession
     table = written(suspects(word_forms(texts.select("text", "scan")), ratio, least, sound_share), "suspects")
     maps = spark.sparkContext.broadcast((_bitmap(table, "form"), _bitmap(table, "better")))
@@ -189,9 +195,12 @@ def misread_words(texts: DataFrame, kind: str, ratio: float = 10.0, least: int =
     left = pairs.select("before", F.col("after").alias("better"), F.col("n").alias("l"))
     right = pairs.select(F.col("before").alias("better"), "after", F.col("n").alias("r"))
     told = offered.join(left, ["before", "better"], "left").join(right, ["better", "after"], "left").withColumn("context", F.coalesce("l", F.lit(0)) + F.coalesce("r", F.lit(0)))
-    told = told.where(~F.col("unsure") | (F.col("l").isNotNull() & F.col("r").isNotNull()))
-    best = told.groupBy("key", "before", "form", "after").agg(F.max(F.struct("context", "often", "better")).alias("b"))
-    return best.select("key", "form", F.col("b.better").alias("better"), F.col("b.context").alias("context")).where((F.length("form") > 4) | (F.col("context") > 0))
+    told = told.withColumn("sure", ~F.col("named") & (~F.col("unsure") | (F.col("l").isNotNull() & F.col("r").isNotNull())))
+    value = F.struct("context", "often", "better")
+    best = told.groupBy("key", "before", "form", "after").agg(F.max(F.when(F.col("sure"), value)).alias("b"), F.max(value).alias("any"))
+    picked = F.coalesce("b", "any")
+    sure = F.col("b").isNotNull() & ((F.length("form") > 4) | (F.col("b.context") > 0))
+    return best.select("key", "form", picked["better"].alias("better"), picked["context"].alias("context"), sure.alias("sure"))
 
 
 def _title_tokens(line: str) -> tuple[list[str], bool]:
@@ -255,25 +264,23 @@ def running_titles(texts: DataFrame, kind: str, common: int = 8, scan_share: flo
     once = each.groupBy("id").agg(F.first("f").alias("f"), F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.avg("scan").alias("scans"))
     titles = written(once, "titles")
     token_files = titles.select("f", F.explode("tokens").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("files")).where(F.col("files") >= common)
-    bits = spark.sparkContext.broadcast(_bitmap(token_files, "t"))
+    # each token is looked up itself; the frequent ones are sent to the tasks only if they are counted to be few
+    spread = titles.select("id", F.posexplode("tokens").alias("i", "t")).join(small(token_files.select("t", F.lit(True).alias("known"))), "t", "left")
+    masked = spread.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "t", F.coalesce("known", F.lit(False)).alias("known")))).alias("tokens"))  # at most 13
 
     def shape(batches):
         for batch in batches:
-            tokens = batch.column(2).to_pylist()
-            flat = [t for own in tokens for t in own]
-            at = _spots(_hash(flat)) if flat else np.empty(0, np.int64)
-            known = (((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) > 0).tolist()
-            row, out, k = [], [], 0
-            for i, own in enumerate(tokens):
-                s = _shapes(own, known[k : k + len(own)])
-                k += len(own)
-                row += [i] * len(s)
-                out += s
+            row, out = [], []
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                made = _shapes([x["t"] for x in own], [x["known"] for x in own])
+                row += [i] * len(made)
+                out += made
             take = pa.array(row, pa.int64())
             numbers = _hash(out).view(np.int64) if out else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), batch.column(4).take(take), pa.array(numbers)], names=["id", "f", "n", "scans", "shape"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), batch.column(4).take(take), pa.array(numbers)], names=["id", "f", "n", "scans", "shape"])
 
-    shapes = written(titles.select("id", "f", "tokens", "n", "scans").mapInArrow(shape, "id long, f long, n long, scans double, shape long"), "shapes")
+    placed = masked.join(titles.select("id", "f", "n", "scans"), "id").select("id", "tokens", "f", "n", "scans")
+    shapes = written(placed.mapInArrow(shape, "id long, f long, n long, scans double, shape long"), "shapes")
     by_file = shapes.groupBy("shape", "f").agg(F.sum("n").alias("n"), F.sum(F.col("scans") * F.col("n")).alias("s"), F.max("n").alias("most"))
     told = by_file.groupBy("shape").agg(F.count("*").alias("files"), (F.sum("s") / F.sum("n")).alias("scans"), F.avg((F.col("most") >= 2).cast("double")).alias("again"))
     good = told.where((F.col("scans") >= scan_share) & (F.col("files") >= 3) & (F.col("again") >= again_share))
@@ -281,33 +288,48 @@ def running_titles(texts: DataFrame, kind: str, common: int = 8, scan_share: flo
     return lines.select("id", "key", "line", "beside").join(found, "id").select("key", "line", "beside").distinct()
 
 
-def line_noise(texts: DataFrame, kind: str, titles: DataFrame) -> DataFrame:
-    """``key, noise_kind``: hyphens and page numbers by line; titles: those already known for the text."""
+def _body(lines: list[str], titles: set[str]) -> list[str]:
+    """The lines that are neither blank nor a page number nor a title."""
+    return [x for x in lines if x.strip() and x not in titles and not is_page_number(x)]
+
+
+def line_noise(texts: DataFrame, kind: str, titles: DataFrame, words: DataFrame) -> DataFrame:
+    """``key, noise_kind``: hyphens, page numbers and characters by line; titles and words: those already known for the text.
+
+    A misread word counts where it stands outside titles, and as a whole: the halves of a word divided across a title are none.
+    """
     known = titles.groupBy("key").agg(F.collect_set("line").alias("titles"), F.max("beside").alias("beside"))
-    maybe = texts.where(F.col("text").contains("\n")).select("key", "text")
-    joined_up = maybe.join(known, "key", "left")
+    forms = words.where("sure").groupBy("key").agg(F.collect_set("form").alias("forms"))
+    facts = texts.select("key", "text").join(known.join(forms, "key", "full_outer"), "key", "left").select("key", "text", "titles", "beside", "forms")
 
     def find(batches):
         for batch in batches:
             row, what = [], []
-            for i, (text, own, beside) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                own = set(own or ())
-                lines = text.split("\n")
-                page = [is_page_number(x) for x in lines]
+            for i, (text, own, beside, forms) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)))):
                 kinds = set()
-                if own:
+                body = text
+                if "\n" in text:
+                    own = set(own or ())
+                    lines = text.split("\n")
+                    if own:
+                        kinds.add("header")
+                    left = _body(lines, own)
+                    if beside or (len(left) < len(lines) and any(is_page_number(x) for x in lines)):
+                        kinds.add("page_number")
+                    if any(divided(a, b) for a, b in zip(left, left[1:])):
+                        kinds.add("hyphen")
+                    body = "\n".join(left) if forms or own else text
+                elif own:
                     kinds.add("header")
-                if any(page) or beside:
-                    kinds.add("page_number")
-                left = [x for x, p in zip(lines, page) if not p and x not in own and x.strip()]
-                if any(divided(a, b) for a, b in zip(left, left[1:])):
-                    kinds.add("hyphen")
+                    body = ""
+                if _ODD_INSIDE.search(body) or (forms and not {x.lower() for x in _WORD.findall(joined(body))}.isdisjoint(forms)):
+                    kinds.add("chars")
                 for k in kinds:
                     row.append(i)
                     what.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(what, pa.string())], names=["key", "noise_kind"])
 
-    return joined_up.mapInArrow(find, f"key {kind}, noise_kind string")
+    return facts.mapInArrow(find, f"key {kind}, noise_kind string")
 
 
 _END = re.compile(rf"([^\W_]+)([{HYPHENS}])\s*$")
@@ -329,24 +351,16 @@ def divided(line: str, later: str) -> bool:
 
 
 def scan_noise(rows: DataFrame, key: str, content: str, file: str, scan: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kinds: ``key, noise_kind``; words: ``key, form, better, context``; titles: ``key, line, beside``).
+    """(kinds: ``key, noise_kind``; words: ``key, form, better, context, sure``; titles: ``key, line, beside``).
 
     scan: whether a text is said to be read from a scan; it may be wrong or null, as a text's own signs count as much. Null texts
     and keys are left out; repeated rows of a key count once; rows with a null file share one. Empty tables give no rows.
     """
     kind = dict(rows.dtypes)[key]
     texts = rows.where(F.col(key).isNotNull() & F.col(content).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.col(content).alias("text"), (F.coalesce(scan, F.lit(False)) | F.col(content).rlike(_OWN_SIGNS)).alias("scan"))
-    words = misread_words(texts, kind)
+    words = written(misread_words(texts, kind), "words")
     titles = written(running_titles(texts, kind), "titles")
-
-    def odd(batches):
-        for batch in batches:
-            keep = [i for i, t in enumerate(batch.column(1).to_pylist()) if _ODD_INSIDE.search(t)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], names=["key"])
-
-    inside = texts.select("key", "text").mapInArrow(odd, f"key {kind}")
-    chars = words.select("key").unionByName(inside).select("key", F.lit("chars").alias("noise_kind"))
-    return line_noise(texts, kind, titles).unionByName(chars).distinct(), words, titles
+    return line_noise(texts, kind, titles, words).distinct(), words, titles
 
 
 def repaired(rows: DataFrame, key: str, content: str, file: str, scan: Column) -> DataFrame:
@@ -358,7 +372,10 @@ def repaired(rows: DataFrame, key: str, content: str, file: str, scan: Column) -
     kind = dict(rows.dtypes)[key]
     kinds = written(kinds, "kinds")
     found = kinds.groupBy("key").agg(F.sort_array(F.collect_set("noise_kind")).alias("kinds"))
-    fixes = words.groupBy("key", "form").agg(F.max_by("better", "context").alias("better")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("form", "better"))).alias("fixes"))
+    # in a text with misread words, every suspect is mended, by its skeleton alone where the context is silent
+    misread = kinds.where("noise_kind = 'chars'").select("key")
+    chosen = words.where("length(form) > 2 or context > 0").join(misread, "key", "left_semi")
+    fixes = chosen.groupBy("key", "form").agg(F.max_by("better", F.struct("sure", "context")).alias("better")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("form", "better"))).alias("fixes"))
     own = titles.groupBy("key").agg(F.collect_set("line").alias("titles"))
     text = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(content).alias("text")).join(found, "key")
     lines = text.join(own, "key", "left").select("key", F.coalesce("titles", F.array().cast("array<string>")).alias("titles"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
@@ -383,16 +400,27 @@ def repaired(rows: DataFrame, key: str, content: str, file: str, scan: Column) -
     def mend(batches):
         for batch in batches:
             out = []
-            for text, fix in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for found, text, fix in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 text = _DIVIDED.sub("", text)
                 text = re.sub(r"(?<!\n)\n(?!\n)", " ", text)
-                out.append(_WORD.sub(lambda m, f=dict(fix or ()): _like(m.group(), f.get(m.group().lower())), text))
+                text = _WORD.sub(lambda m, f=dict(fix or ()): _like(m.group(), f.get(m.group().lower())), text)
+                out.append(_ODD_INSIDE.sub(lambda m: with_letters(m.group()), text) if "chars" in found else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["key", "kinds", "content"])
 
     both = found.join(whole, "key", "left").join(fixes, "key", "left").select("key", "kinds", F.coalesce("text", F.lit("")).alias("text"), "fixes")
     return both.mapInArrow(mend, f"key {kind}, kinds array<string>, content string").withColumnRenamed("key", key)
 
 
+# The letter that a sign inside a word most often is; a 6 begins words as b and stands in them as é.
+LETTER_OF = {"0": "o", "1": "l", "5": "s", "@": "a", "+": "t", "(": "c", "ſ": "f", "6": "é"}
+_LETTER_OF = str.maketrans(LETTER_OF)
+
+
+def with_letters(word: str) -> str:
+    """A word that no known form explains, with letters for the signs in it."""
+    return word[:1] + word[1:].translate(_LETTER_OF)
+
+
 def _like(word: str, better: str | None) -> str:
     """The better form in the capitals of the word."""
     if not better:

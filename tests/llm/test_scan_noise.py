@@ -57,3 +57,19 @@ def test_edges(spark):
     assert {tuple(r) for r in kinds.collect()} == {("c", "hyphen")} and kinds.count() == 1
     assert scan_noise(df.limit(0), "id", "content", "file", F.col("method") == "ocr")[0].count() == 0
     assert repaired(df.limit(0), "id", "content", "file", F.col("method") == "ocr").count() == 0
+
+
+def test_misread_titles_and_halves(spark):
+    """A misread title is a title; the halves of a word divided across one are no misread words; Exercice is mended though it is only written with a capital."""
+    rows = [(i, f, t + " Exercice.", m) for i, f, t, m in corpus() if i[0] == "s"]
+    for i in range(12):
+        title = "Lycée de Vi11ec0urt" if i % 2 else "Lycée de Villecourt"
+        rows.append((f"t{i:02d}", "one", f"{title}\nle modèle de {NAMES[i]} montre la struc-\n{title}\n– {i} –\nture du système {i}.", "ocr"))
+    rows.append(("x1", "two", "la structurc et le systèrne : Excrcice d0it", "ocr"))
+    df = spark.createDataFrame(rows, "id string, file string, content string, method string")
+    kinds = {tuple(r) for r in scan_noise(df, "id", "content", "file", F.col("method") == "ocr")[0].collect()}
+    assert {k for k in kinds if k[1] == "chars"} == {("x1", "chars")}
+    assert {k for k in kinds if k[1] == "header"} == {(f"t{i:02d}", "header") for i in range(12)}
+    text = {r["id"]: r["content"] for r in repaired(df, "id", "content", "file", F.col("method") == "ocr").collect()}
+    assert text["x1"] == "la structure et le système : Exercice doit"
+    assert text["t03"] == f"le modèle de {NAMES[3]} montre la structure du système 3."
