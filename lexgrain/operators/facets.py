@@ -54,8 +54,12 @@ def align(stated: DataFrame, values: DataFrame) -> DataFrame:
     form = F.when(F.col("facet") == "subject", F.coalesce(F.create_map(*pairs)[form], form)).otherwise(form)
     left = stated.distinct().withColumn("v", form)
     right = values.withColumn("d", folded(F.col("value")))
-    # every match but the empty one shares its first letter
-    met = left.withColumn("i", F.left("v", F.lit(1))).join(right.withColumn("i", F.left("d", F.lit(1))), ["facet", "i"])
+    # forms of four letters and more meet by their first four; shorter ones by the whole of the shorter
+    starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.substr(F.col(c), F.lit(1), i)))
+    four = left.where(F.length("v") >= 4).withColumn("i", F.left("v", F.lit(4))).join(right.where(F.length("d") >= 4).withColumn("i", F.left("d", F.lit(4))), ["facet", "i"])
+    short_stated = left.where(F.length("v").between(1, 3)).withColumn("i", F.col("v")).join(right.withColumn("i", starts("d")), ["facet", "i"])
+    short_stored = left.withColumn("i", starts("v")).join(right.where(F.length("d").between(1, 3)).withColumn("i", F.col("d")), ["facet", "i"])
+    met = four.unionByName(short_stated).unionByName(short_stored)
     v, d = F.col("v"), F.col("d")
     rank = F.when(v == d, 1).when(d.startswith(v) | v.startswith(d), 2).when((F.length(v) >= 4) & (F.length(d) >= 4) & (F.left(v, F.lit(4)) == F.left(d, F.lit(4))), 3)
     best = met.withColumn("rank", rank).where("rank is not null").groupBy("facet", "stated").agg(F.min(F.struct("rank", "value")).alias("b"))

@@ -6,6 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexgrain.functions.text import ocr_postprocess
+from lexgrain.operators.models import apply_model
+
 
 def is_scanned(chars: Column, paths: Column, image_share: Column) -> Column:
     """Hardly any native text and either a large image or many vector paths."""
@@ -25,7 +28,10 @@ def chunk_type(labels: Column) -> Column:
 
 
 def header_text(items: DataFrame, document: str, text: str, page: str, order: list[str], most_pages: int = 6) -> DataFrame:
-    """``document, header``: the non-blank texts of the first pages (or of no page) in reading order, a line each."""
+    """``document, header``: the non-blank texts of the first pages (or of no page) in reading order, a line each.
+
+    A group holds the texts of one document's first pages, never more.
+    """
     some = items.where((F.col(page).isNull() | (F.col(page) <= most_pages)) & (F.trim(text) != ""))
     return some.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), "\n").alias("header"))
 
@@ -35,6 +41,34 @@ def rescue_pages(scanned: DataFrame, with_text: DataFrame, keys: list[str]) -> D
     return scanned.select(*keys).distinct().join(with_text.select(*keys).distinct(), keys, "left_anti")
 
 
+def page_signals(items: DataFrame, page: list[str]) -> DataFrame:
+    """``page, chars, paths, image_share, tables``: characters of text, number of vector paths (many hint at tables) and share of the page
+    under images. items: the page's columns, ``kind`` (text, path or image), ``text``, ``area`` and ``page_area``."""
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+    got = items.groupBy(*page).agg(of("text", F.length("text")).alias("chars"), of("path", F.lit(1)).alias("paths"), F.coalesce(of("image", F.col("area")) / F.nullif(F.max("page_area"), F.lit(0)), F.lit(0.0)).alias("image_share"))
+    return got.withColumn("tables", F.col("paths") >= 120)
+
+
+ITEMS = "array<struct<label:string,text:string,page_no:int>>"
+
+
+def converted(files: DataFrame, key: str, content: str, load, batch: int = 1) -> DataFrame:
+    """``key, position, label, text, page_no, error``: the layout items of every file in reading order, by an external model that returns
+    them as an array (``ITEMS``). A file that fails has one row with its error; the others are not disturbed."""
+    got = apply_model(files, key, content, load, ITEMS, batch)
+    return got.select(key, "error", F.posexplode_outer("output").alias("position", "i")).select(key, "position", "i.label", "i.text", "i.page_no", "error")
+
+
+READ = "struct<words:array<string>,conf:array<int>>"
+
+
+def recognised(pages: DataFrame, key: str, image: str, load, batch: int = 1) -> DataFrame:
+    """``key, text, score, level, error``: pages read by an external model that returns words and their confidences (``READ``); the text is
+    cleaned as read text is, its confidence the mean of its words'."""
+    got = apply_model(pages, key, image, load, READ, batch).withColumn("c", ocr_confidence(F.col("output.conf"), F.col("output.words")))
+    return got.select(key, ocr_postprocess(F.array_join("output.words", " ")).alias("text"), F.col("c.score").alias("score"), F.col("c.level").alias("level"), "error")
+
+
 def cached_pages(pages: DataFrame, cache: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(pages whose text the cache has, with ``text, reliability, score``; pages still to be recognised). A hit is always of medium
     reliability and 0.85, whatever the first recognition scored. cache: ``key, text``, one row for each key."""

@@ -85,6 +85,46 @@ def reliability_gate(spark: SparkSession, d: str) -> DataFrame:
     return layout.with_provenance(c, _pages(spark, d).where("image_share >= 0.5"), ["document_id", "page_number"], F.col("chunk_type")).select("chunk_id", "reliability", "extraction_method")
 
 
+@query("""SELECT source AS file, CAST(doc_id % 5 AS INTEGER) AS page, sum(CASE WHEN doc_id % 3 = 0 THEN length(text) ELSE 0 END) AS chars, count(*) FILTER (doc_id % 3 = 1) AS paths,
+round(coalesce(sum(CASE WHEN doc_id % 3 = 2 THEN n_chars END), 0) / sum(n_chars + 1), 6) AS image_share, count(*) FILTER (doc_id % 3 = 1) >= 120 AS tables FROM (SELECT *, sum(n_chars + 1) OVER () AS w FROM documents) GROUP BY ALL""".replace("sum(n_chars + 1), 6)", "any_value(w), 6)"))
+def page_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the items of pages, a page for each source and rest of five."""
+    t = table(spark, d, "documents")
+    kind = F.element_at(F.array(F.lit("text"), F.lit("path"), F.lit("image")), (F.col("doc_id") % 3 + 1).cast("int"))
+    area = t.agg(F.sum(F.col("n_chars") + 1).alias("page_area"))
+    items = t.crossJoin(F.broadcast(area)).select(F.col("source").alias("file"), (F.col("doc_id") % 5).cast("int").alias("page"), kind.alias("kind"), "text", F.col("n_chars").alias("area"), "page_area")
+    return layout.page_signals(items, ["file", "page"]).select("file", "page", "chars", "paths", F.round("image_share", 6).alias("image_share"), "tables")
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND doc_id % 97 <> 0), e AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM l)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, CASE WHEN starts_with(text, '-') THEN 'list_item' ELSE 'text' END AS label, sha256(text) AS text_hash, CAST((i - 1) // 40 + 1 AS INTEGER) AS page_no, CAST(NULL AS VARCHAR) AS error FROM e
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'ValueError: damaged' FROM documents WHERE text IS NOT NULL AND doc_id % 97 = 0
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL FROM documents WHERE text IS NULL""")
+def convert_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as files through a stand-in layout model that fails on some of them."""
+
+    def load():
+        def model(some):
+            if any(t.startswith("damaged ") for t in some):
+                raise ValueError("damaged")
+            return [[{"label": "list_item" if x.startswith("-") else "text", "text": x, "page_no": i // 40 + 1} for i, x in enumerate(t.split("\n"))] for t in some]
+
+        return model
+
+    files = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 97 == 0, F.concat(F.lit("damaged "), "text")).otherwise(F.col("text")).alias("text"))
+    got = layout.converted(files, "doc_id", "text", load, batch=4)
+    return got.select("doc_id", "position", "label", F.sha2("text", 256).alias("text_hash"), "page_no", "error")
+
+
+@query(f"""WITH {base.CHUNKS}, w AS (SELECT chunk_id, string_split(content, ' ') AS w FROM ch WHERE content IS NOT NULL), c AS (SELECT chunk_id, list_filter(list_transform(w, lambda x: CASE WHEN trim(x) <> '' THEN length(x) * 7 % 100 ELSE -1 END), lambda x: x >= 0) AS c FROM w)
+SELECT chunk_id, round(coalesce(list_avg(c), 0) / 100 + 1e-9, 6) AS score, CASE WHEN len(c) > 0 AND list_avg(c) / 100 >= 0.6 THEN 'medium' ELSE 'low' END AS level, CAST(NULL AS VARCHAR) AS error FROM c""")
+def ocr_page(spark: SparkSession, d: str) -> DataFrame:
+    """Contents as page images through a stand-in that reads their words with confidences made from their lengths."""
+    stand_in = lambda: lambda some: [{"words": t.split(" "), "conf": [len(x) * 7 % 100 for x in t.split(" ")]} for t in some]
+    c = base.chunks(spark, d, "content").where("content is not null").select("chunk_id", "content")
+    return layout.recognised(c, "chunk_id", "content", stand_in, batch=8).select("chunk_id", F.round(F.col("score") + 1e-9, 6).alias("score"), "level", "error")
+
+
 _LABELS = "list_transform(string_split(content, chr(10)), lambda x: CASE WHEN contains(x, ' | ') THEN 'table' WHEN regexp_matches(x, '^\\s*[-*•]\\s') THEN 'list_item' ELSE 'text' END)"
 
 

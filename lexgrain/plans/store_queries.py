@@ -232,7 +232,8 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return store_files.read(spark, f"{root}/table").select("chunk_id", "content_sha", "subject")
 
 
-@query()
+@query("""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS thread, CAST(event_id AS VARCHAR) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS n FROM events WHERE user_id IS NOT NULL QUALIFY n <= 6)
+SELECT thread, count(*) AS turns, arg_max(v, n) AS oldest, arg_min(v, n) AS newest FROM t GROUP BY thread""")
 def stream_thread_state(spark: SparkSession, d: str) -> DataFrame:
     """The turns held of each thread after the last batch."""
     from lexgrain.streaming import ingest

@@ -78,3 +78,15 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
     """``path, length, content`` of the files of a folder in the order of their paths, not of those below it. A missing folder is an error."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
     return found.select("path", "length", "content").orderBy("path")
+
+
+#: The largest sound file that is taken.
+MOST_SOUND = 25 * 1024 * 1024
+
+
+def scan_sound(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``path, length, status, content``: sound files with "empty", "too large" (their content is not read) or "ok", for ``models.apply_model``."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    status = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_SOUND, "too large").otherwise("ok")
+    small_ones = found.where(F.col("length") <= MOST_SOUND).select("path", "length", status.alias("status"), "content")
+    return small_ones.unionByName(found.where(F.col("length") > MOST_SOUND).select("path", "length", status.alias("status"), F.lit(None).cast("binary").alias("content")))
