@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.operators.skew import join_facts
 from lexgrain.session import written
 
 # What French, English, Spanish and Portuguese write beyond ASCII.
@@ -479,19 +480,6 @@ class Judge:
         return gain + np.where(gain >= 3.0, marks, 0.0), self.partly * outside
 
 
-def _salted(rows: DataFrame, facts: DataFrame, source: str, part: int = 50_000) -> DataFrame:
-    """The rows left-joined to the facts of their source. Sources with more rows than ``part`` (and a 256th of all) are met in as many
-    tasks as they have such parts, so at most 256 names are sent to the tasks."""
-    sizes = rows.groupBy(source).agg(F.count("*").alias("n"))
-    least = max(part, (sizes.agg(F.sum("n")).first()[0] or 0) // 256)
-    hot = {r[0]: -(-r[1] // least) for r in sizes.where(F.col("n") > least).collect()}
-    if not hot:
-        return rows.join(facts, source, "left")
-    salts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.col(source)].cast("long"), F.lit(1))
-    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("key"), salts)).join(spread, [source, "_salt"], "left").drop("_salt")
-
-
 def _judged(rows: DataFrame, key: str, source: str, fields: list[str], sure: float, weight: float) -> tuple[DataFrame, object]:
     """(``key, field, chance, swap, learned``, the broadcast model)."""
     spark = rows.sparkSession
@@ -582,7 +570,7 @@ def _judged(rows: DataFrame, key: str, source: str, fields: list[str], sure: flo
                 chance.append(1.0 if lost else float(c))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chance, pa.float64()), pa.array(swap, pa.string()), batch.column(6)], names=["key", "field", "chance", "swap", "learned"])
 
-    judged = _salted(found, shares, "source").select("key", "field", "lost", "told", "seen", "share", "learned").mapInArrow(decide, f"key {kind}, field string, chance double, swap string, learned map<string,string>")
+    judged = join_facts(found, shares, "source", "key").select("key", "field", "lost", "told", "seen", "share", "learned").mapInArrow(decide, f"key {kind}, field string, chance double, swap string, learned map<string,string>")
     best = judged.where(F.col("chance") >= sure).groupBy("key", "field").agg(F.max_by(F.struct("chance", "swap", "learned"), "chance").alias("j"))
     return best.select("key", "field", "j.chance", "j.swap", "j.learned"), shared
 
