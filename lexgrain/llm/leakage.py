@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.functions.text import folded_sql
 from lexgrain.functions.words import WordIds, runs
 from lexgrain.session import written
 
@@ -189,4 +190,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks}
-SQL: dict[str, str] = {}
+_RUNS = lambda table, key: f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 16), lambda i: hash(array_to_string(w[i:i + 17], ' ')))) AS r FROM (SELECT {key}, regexp_extract_all({folded_sql('text')}, '[a-z0-9]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 18"
+SQL = {"p9_found": f"WITH d AS ({_RUNS('documents', 'doc_id')}), e AS ({_RUNS('eval_items', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (r)"}

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.session import written
+from lexgrain.functions.text import folded_sql
 from lexgrain.functions.words import WordIds, mixed, runs
 
 COUNTERS_LOG = 18
@@ -418,4 +419,9 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": f"""WITH c AS (SELECT DISTINCT chunk_id, content FROM chunks WHERE content IS NOT NULL), w AS (SELECT chunk_id, regexp_extract_all({folded_sql('content')}, '[a-z0-9]+') AS w FROM c),
+r AS MATERIALIZED (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(array_to_string(w[i:i + 2], ' ')))) AS r FROM w WHERE len(w) >= 3), n AS (SELECT chunk_id, count(*) AS n FROM r GROUP BY chunk_id),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS common FROM r a JOIN r b ON a.r = b.r AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE common >= 0.5 * (x.n + y.n - common)"""
+}

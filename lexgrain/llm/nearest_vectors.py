@@ -278,4 +278,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_top5": p6_top5}
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": """WITH v AS MATERIALIZED (SELECT DISTINCT chunk_id, CAST(embedding AS DOUBLE[64]) AS e FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id AND array_cosine_similarity(a.e, b.e) >= 0.9"""
+}

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.functions.text import folded_sql
 from lexgrain.functions.words import WordIds, runs
 from lexgrain.session import written
 
@@ -157,4 +158,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}
-SQL: dict[str, str] = {}
+SQL = {
+    "p10_found": f"""WITH w AS (SELECT doc_id, regexp_extract_all({folded_sql('text')}, '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) AS r FROM w WHERE len(w) >= 5)
+SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) - count(DISTINCT r) >= 0.3 * count(*)"""
+}
