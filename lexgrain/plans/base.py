@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.session import small
+from lexgrain.session import small, written
 from lexgrain.sources.tables import latest, table
 
 CHUNKS = "ch AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST) = 1)"
@@ -21,9 +21,9 @@ def chunks(spark: SparkSession, folder: str, *columns: str, of: DataFrame | None
     rows are read, so that what they are made from is not carried along."""
     keep = list(dict.fromkeys(["chunk_id", *columns, "created_at"]))
     rows = table(spark, folder, "chunks")
-    if of is not None:
-        rows = rows.join(small(of.select("chunk_id").distinct()), "chunk_id", "left_semi")
-    return latest(rows.select(*keep, *[c.alias(k) for k, c in made.items()]), ["chunk_id"], "created_at", wide=bool(WIDE & set(columns)))
+    if of is not None:  # written, as finding them may be a plan of its own
+        rows = rows.join(small(written(of.select("chunk_id").distinct(), "ids")), "chunk_id", "left_semi")
+    return latest(rows.select(*keep, *[c.alias(k) for k, c in made.items()]), ["chunk_id"], "created_at", wide=of is None and bool(WIDE & set(columns)))
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

@@ -328,7 +328,7 @@ def _searched(spark: SparkSession, d: str) -> DataFrame:
     asked = requests.select("query_id").join(vectors, F.col("query_id") % 100 == F.col("v")).select("query_id", "query_vector")
     chunks = base.chunks(spark, d, "embedding")
     vec = vector_search.top_k_batch(chunks, "chunk_id", "embedding", asked, "query_id", "query_vector", 30, 64).select("query_id", "chunk_id", F.col("score").alias("vector_score"))
-    lex = lexical_search.top(lexical_search.scores(R._hits(spark, d), "chunk_id", "hits", requests, "query_id", "question"), "query_id", "chunk_id", 30).select("query_id", "chunk_id", "lexical_score")
+    lex = R._best(spark, d).select("query_id", "chunk_id", "lexical_score")
     merged = written(vec.join(lex, ["query_id", "chunk_id"], "full_outer"), "hybrid")
     lacking = merged.where("vector_score is null").select("query_id", "chunk_id")
     own = base.chunks(spark, d, "embedding", of=lacking).select("chunk_id", "embedding")

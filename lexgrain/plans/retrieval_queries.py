@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexgrain.functions import text as T
 from lexgrain.functions.vectors import cosine
-from lexgrain.operators import context, facets, lexical_search, models, rerank, vector_search
+from lexgrain.operators import context, facets, lexical_search, rerank, vector_search
 from lexgrain.plans import base
-from lexgrain.session import small
+from lexgrain.session import written
 from lexgrain.sources.tables import table
 
 Q = {}
@@ -67,11 +67,27 @@ def _hits(spark: SparkSession, d: str, text: str = "indexed_content", of: DataFr
     return base.chunks(spark, d, *keep, of=of, hits=lexical_search.hits(text, asked), **made).drop("created_at")
 
 
+def _best(spark: SparkSession, d: str, k: int | None = 30, **facets: str) -> DataFrame:
+    """The k best chunks of each request by full text (or, without k, how many match); facets: name of the chunk's column -> the request's."""
+    asked = lexical_search.asked_terms(table(spark, d, "search_requests"), "question")
+    folded = {f"c_{c}": T.unaccented(c) for c in facets}
+    req = base.requests(spark, d).select("query_id", "question", *[T.unaccented(c).alias(f"q_{c}") for c in facets])
+    if asked is not None:
+        rows = base.chunks(spark, d, hits=lexical_search.hits("indexed_content", asked), **folded)
+        return lexical_search.best_matches(rows, "chunk_id", "hits", req, "query_id", "question", k, {f"c_{c}": f"q_{c}" for c in facets})
+    # more different terms than a task should hold: the terms of texts and questions meet in a join
+    rows = base.chunks(spark, d, hits=lexical_search.hits("indexed_content", None), **folded).drop("created_at")
+    agree = F.lit(True)
+    for c in facets:
+        agree = agree & (F.col(f"q_{c}").isNull() | F.coalesce(F.col(f"c_{c}") == F.col(f"q_{c}"), F.lit(False)))
+    s = lexical_search.scores(rows, "chunk_id", "hits", req, "query_id", "question", agree, *[f"q_{c}" for c in facets])
+    return lexical_search.top(s, "query_id", "chunk_id", k) if k else s.groupBy("query_id").agg(F.count("*").alias("matches"))
+
+
 @query(f"""WITH {base.CHUNKS}, {_REQ}, {_POST} SELECT query_id, chunk_id, round(sum(tf) * 0.1, 4) AS score FROM post JOIN asked USING (term) GROUP BY query_id, chunk_id
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id) <= 30""")
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical_search.scores(_hits(spark, d), "chunk_id", "hits", base.requests(spark, d), "query_id", "question")
-    return lexical_search.top(s, "query_id", "chunk_id", 30).select("query_id", "chunk_id", F.round("lexical_score", 4).alias("score"))
+    return _best(spark, d).select("query_id", "chunk_id", F.round("lexical_score", 4).alias("score"))
 
 
 _UNACCENT = lambda x: f"replace(replace(lower(strip_accents({x})), 'œ', 'oe'), 'ß', 'ss')"
@@ -81,20 +97,12 @@ _SAME = " AND ".join(f"({q} IS NULL OR {_UNACCENT(c)} = {_UNACCENT(q)})" for c,
 @query(f"""WITH {base.CHUNKS}, {_REQ}, {_POST} SELECT query_id, chunk_id, round(sum(tf) * 0.1, 4) AS score FROM post JOIN asked USING (term) WHERE {_SAME} GROUP BY query_id, chunk_id
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id) <= 30""")
 def lexical_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    cols = ("subject", "level", "track")
-    # both sides are folded once, before they meet
-    rows = _hits(spark, d, "indexed_content", None, **{f"c_{c}": T.unaccented(c) for c in cols})
-    req = base.requests(spark, d).select("query_id", "question", *[T.unaccented(c).alias(f"q_{c}") for c in cols])
-    agree = F.lit(True)
-    for c in cols:
-        agree = agree & (F.col(f"q_{c}").isNull() | F.coalesce(F.col(f"c_{c}") == F.col(f"q_{c}"), F.lit(False)))
-    s = lexical_search.scores(rows, "chunk_id", "hits", req, "query_id", "question", agree, *[f"q_{c}" for c in cols])
-    return lexical_search.top(s, "query_id", "chunk_id", 30).select("query_id", "chunk_id", F.round("lexical_score", 4).alias("score"))
+    return _best(spark, d, subject="subject", level="level", track="track").select("query_id", "chunk_id", F.round("lexical_score", 4).alias("score"))
 
 
 @query(f"WITH {base.CHUNKS}, {_REQ}, {_POST} SELECT query_id, count(DISTINCT chunk_id) AS matches FROM post JOIN asked USING (term) GROUP BY query_id")
 def fts_match(spark: SparkSession, d: str) -> DataFrame:
-    return lexical_search.scores(_hits(spark, d), "chunk_id", "hits", base.requests(spark, d), "query_id", "question").groupBy("query_id").agg(F.count("*").alias("matches"))
+    return _best(spark, d, None)
 
 
 _CAND = """cand AS (SELECT * REPLACE (CASE WHEN isnan(vector_score) THEN NULL ELSE vector_score END AS vector_score, CASE WHEN isnan(lexical_score) THEN NULL ELSE lexical_score END AS lexical_score,
@@ -191,8 +199,9 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 
 def _fused(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
     """The eight best of each request; texts: with the content of those, read at the end."""
-    short = rerank.shortlist(_asked(spark, d), "query_id")
+    short = written(rerank.shortlist(_asked(spark, d), "query_id"), "shortlist")
     best = rerank.fusion(_gated(spark, d, _read(spark, d, short)), "query_id", 8)
+    best = written(best, "best") if texts else best
     return best.join(base.chunks(spark, d, "content", of=best).select("chunk_id", "content"), "chunk_id", "left") if texts else best
 
 

@@ -85,8 +85,9 @@ MOST_SOUND = 25 * 1024 * 1024
 
 
 def scan_sound(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``path, length, status, content``: sound files with "empty", "too large" (their content is not read) or "ok", for ``models.apply_model``."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    status = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_SOUND, "too large").otherwise("ok")
+    """``path, length, status, content``: sound files that are "too large" (their content is not read) or "ok", for ``models.apply_model``.
+    Empty files give no row."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where("length > 0")
+    status = F.when(F.col("length") > MOST_SOUND, "too large").otherwise("ok")
     small_ones = found.where(F.col("length") <= MOST_SOUND).select("path", "length", status.alias("status"), "content")
     return small_ones.unionByName(found.where(F.col("length") > MOST_SOUND).select("path", "length", status.alias("status"), F.lit(None).cast("binary").alias("content")))

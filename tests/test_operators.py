@@ -224,3 +224,41 @@ def test_wide_rows_keep_the_latest(spark):
     for wide in (False, True):
         assert {(r["k"], r["content"]) for r in latest(df, ["k"], "at", wide).collect()} == want
         assert latest(df.limit(0), ["k"], "at", wide).count() == 0
+
+
+def test_full_text_both_ways(spark):
+    """The matrix products and the join find the same, over several blocks of queries, with facets, nulls and ties."""
+    import random
+
+    from lexgrain.operators import lexical_search as L
+
+    rng = random.Random(2)
+    v = [f"mot{i}" for i in range(30)]
+    rows = spark.createDataFrame([(f"k{i:03d}", " ".join(rng.choices(v, k=rng.randrange(12))), rng.choice(["a", "b", None])) for i in range(200)] + [("none", None, "a")], "k string, t string, f string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices([*v, "ailleurs"], k=3)), rng.choice(["a", None])) for i in range(20)] + [(98, None, None), (99, "", "a")], "q int, question string, qf string")
+    asked = L.asked_terms(queries, "question")
+    found = rows.select("k", "f", L.hits("t", asked).alias("h"))
+    agree = F.col("qf").isNull() | F.coalesce(F.col("f") == F.col("qf"), F.lit(False))
+    want = {(r["q"], r["k"], round(r["lexical_score"], 6)) for r in L.top(L.scores(found, "k", "h", queries, "q", "question", agree, "qf"), "q", "k", 5).collect()}
+    got = {(r["q"], r["k"], round(r["lexical_score"], 6)) for r in L.best_matches(found, "k", "h", queries, "q", "question", 5, {"f": "qf"}, block=7).collect()}
+    assert got == want and want
+    counts = {r["q"]: r["matches"] for r in L.best_matches(found, "k", "h", queries, "q", "question", None, {"f": "qf"}, block=7).collect()}
+    every = L.scores(found, "k", "h", queries, "q", "question", agree, "qf").groupBy("q").count()
+    assert counts == {r["q"]: r["count"] for r in every.collect()}
+    assert L.best_matches(found, "k", "h", queries.limit(0), "q", "question", 5).count() == 0 and L.best_matches(found.limit(0), "k", "h", queries, "q", "question", 5).count() == 0
+
+
+def test_hot_keys_meet_in_many_tasks(spark):
+    from lexgrain.operators.skew import join_facts
+
+    rows = spark.range(3000).select(F.col("id").alias("v"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("u"))
+    facts = rows.select("u").distinct().withColumn("fact", F.length("u"))
+    got = join_facts(rows, facts, "u", "v", "inner", part=100)
+    assert got.count() == 3000 and got.where("fact <> length(u)").count() == 0
+    assert join_facts(rows.limit(0), facts, "u", "v").count() == 0
+
+
+def test_sound_files(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"")
+    (tmp_path / "b.wav").write_bytes(b"123")
+    assert {r["path"].rsplit("/", 1)[1]: r["status"] for r in store_files.scan_sound(spark, str(tmp_path)).collect()} == {"b.wav": "ok"}
