@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexgrain.functions.text import normalize_key
 from lexgrain.functions.vectors import normalized
 
 
@@ -66,3 +67,19 @@ def cross_scores(pairs: DataFrame, key: list[str], question: str, subject: str,
     asked = pairs.select(F.struct(*key).alias("_key"), text.alias("_text"))
     got = apply_model(asked, "_key", "_text", load, "array<double>", batch)
     return got.select("_key.*", yes_share(F.col("output")[0], F.col("output")[1]).alias("score"), "error")
+
+
+def chat(rows: DataFrame, key: str, messages: str, load: Callable[[], Callable[[list[str]], list]], temperature: float = 0.2, most_tokens: int = 1500, batch: int = 4) -> DataFrame:
+    """``key, answer, error``: a chat model's answer to ``messages``, an array of role and content. The model gets each conversation as JSON with
+    its settings; conversations without messages have neither answer nor error."""
+    body = F.struct(F.col(messages).alias("messages"), F.lit(temperature).alias("temperature"), F.lit(most_tokens).alias("max_tokens"))
+    asked = rows.select(key, F.when(F.size(messages) > 0, F.to_json(body)).alias("_text"))
+    return apply_model(asked, key, "_text", load, "string", batch).withColumnRenamed("output", "answer")
+
+
+def rendered(rows: DataFrame, key: str, name: str, markdown: str, load: Callable[[], Callable[[list[str]], list]], ending: str = "docx", batch: int = 8) -> DataFrame:
+    """``key, file_name, content, error``: Markdown turned into files by an external converter, under names of letters, digits and lines only."""
+    got = apply_model(rows, key, markdown, load, "binary", batch)
+    safe = F.concat_ws("-", normalize_key(name), F.col(key).cast("string"))
+    named = rows.select(F.col(key).alias("_key"), F.concat(safe, F.lit(f".{ending}")).alias("file_name"))
+    return got.join(named, F.col(key) == F.col("_key")).select(key, "file_name", F.col("output").alias("content"), "error")

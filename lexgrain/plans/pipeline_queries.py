@@ -310,6 +310,32 @@ def cross_encoder_contract(spark: SparkSession, d: str) -> DataFrame:
     return models.cross_scores(pairs, ["query_id", "chunk_id"], "question", "subject", "hierarchy_path", "content", stand_in).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("SELECT query_id, 'user: ' || question || ' (0.2, 1500)' AS answer, CAST(NULL AS VARCHAR) AS error FROM search_requests WHERE question IS NOT NULL")
+def chat_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Questions under a system message through a stand-in that repeats the last message and the settings."""
+
+    def load():
+        import json
+
+        def model(some):
+            got = [json.loads(t) for t in some]
+            return [f"{x['messages'][-1]['role']}: {x['messages'][-1]['content']} ({x['temperature']}, {x['max_tokens']})" for x in got]
+
+        return model
+
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    r = table(spark, d, "search_requests").where("question is not null").select("query_id", F.array(message("system", F.lit("Réponds.")), message("user", F.col("question"))).alias("m"))
+    return models.chat(r, "query_id", "m", load)
+
+
+@query(f"SELECT doc_id, {T.normalize_key_sql('source')} || '-' || doc_id || '.docx' AS file_name, octet_length(encode(text)) AS size, CAST(NULL AS VARCHAR) AS error FROM documents")
+def render_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as files of a stand-in converter."""
+    stand_in = lambda: lambda some: [t.encode() for t in some]
+    got = models.rendered(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text", stand_in)
+    return got.select("doc_id", "file_name", F.octet_length("content").cast("long").alias("size"), "error")
+
+
 # Retrieval as a whole -------------------------------------------------------------------------------------------------------
 
 _USABLE = "len(embedding) = 64 AND isfinite(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0"

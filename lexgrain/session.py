@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        atexit.register(_forget_at_end, spark)
+    _WRITTEN.setdefault(app, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +70,13 @@ def forget(spark: SparkSession) -> int:
     return len(paths)
 
 
+def _forget_at_end(spark: SparkSession) -> None:
+    try:
+        forget(spark)
+    except Exception:  # noqa: BLE001, the session may be gone already
+        pass
+
+
 #: Rows that may be sent to every task.
 SMALL = 100_000
 
@@ -75,6 +86,22 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+class Kept:
+    """A table worked out once, written, and used until it is refreshed: what a process would otherwise hold for its whole life."""
+
+    def __init__(self, make: Callable[[], DataFrame], name: str) -> None:
+        self.make, self.name, self.table = make, name, None
+
+    def get(self) -> DataFrame:
+        if self.table is None:
+            self.table = written(self.make(), self.name)
+        return self.table
+
+    def refresh(self) -> DataFrame:
+        self.table = None
+        return self.get()
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -262,3 +262,23 @@ def test_sound_files(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(b"")
     (tmp_path / "b.wav").write_bytes(b"123")
     assert {r["path"].rsplit("/", 1)[1]: r["status"] for r in store_files.scan_sound(spark, str(tmp_path)).collect()} == {"b.wav": "ok"}
+
+
+def test_kept_tables(spark):
+    from lexgrain.session import Kept
+
+    made = []
+    kept = Kept(lambda: made.append(1) or spark.range(len(made)), "kept")
+    assert kept.get().count() == 1 and kept.get().count() == 1 and len(made) == 1
+    assert kept.refresh().count() == 2 and len(made) == 2
+
+
+def test_shared_folder_on_a_cluster():
+    """Without a folder that all executors share, only a local session may go on."""
+    from types import SimpleNamespace as N
+
+    from lexgrain.session import shared_folder
+
+    context = N(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(N(conf=N(get=lambda *_: None), sparkContext=context))
