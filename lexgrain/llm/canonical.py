@@ -19,9 +19,15 @@ from pyspark.sql import functions as F
 from lexgrain.functions.words import folded
 from lexgrain.sources.tables import latest
 
-# Words that typists put before a value.
+# Words that typists put before a value; another list may be given.
 LEADS = ("programme de", "programme du", "programme d'", "programme", "sujet de", "sujet", "corrige de", "corrige", "epreuve de", "epreuve", "classe de", "classe", "niveau", "serie", "ser", "option")
-_LEAD = re.compile("^(?:" + "|".join(re.escape(x) for x in sorted(LEADS, key=len, reverse=True)) + r")(?![a-z0-9'])\s*")
+
+
+def _before(leads: tuple[str, ...]) -> re.Pattern:
+    return re.compile("^(?:" + "|".join(re.escape(x) for x in sorted(leads, key=len, reverse=True)) + r")(?![a-z0-9'])\s*" if leads else r"^(?!)")
+
+
+_LEAD = _before(LEADS)
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "ʼ": "'", "`": "'", "´": "'"})
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 _OTHER = re.compile(r"[^a-z0-9']+")
@@ -32,12 +38,12 @@ def _plain(text: str) -> str:
     return _OTHER.sub(" ", folded(text.translate(_QUOTES))).strip().strip("'").strip()
 
 
-def readings(value: str) -> list[str]:
+def readings(value: str, lead: re.Pattern = _LEAD) -> list[str]:
     """What a typed value may be without its wrappings: whole, without brackets, lead words, version, year, plural, gaps; words in any order."""
     out: list[str] = []
     for text in (value, _BRACKETS.sub(" ", value)):
         plain = _plain(text)
-        bare = _TAIL.sub("", _LEAD.sub("", plain)).strip()
+        bare = _TAIL.sub("", lead.sub("", plain)).strip()
         for x in (plain, bare, bare[:-1] if bare.endswith("s") else bare, _sorted(bare), bare.replace(" ", "")):
             if x and x not in out:
                 out.append(x)
@@ -58,8 +64,10 @@ def bigrams(text: str) -> list[str]:
     return sorted({padded[i : i + 2] for i in range(len(padded) - 1)})
 
 
-def spelling(a: str, b: str) -> float:
-    """1 - the number of insertions, deletions, changes and swaps of neighbours over the longer length."""
+def spelling(a: str, b: str, least: float = 0.0) -> float:
+    """1 - the number of insertions, deletions, changes and swaps of neighbours over the longer length; 0 if their lengths alone keep it under ``least``."""
+    if abs(len(a) - len(b)) > (1 - least) * max(len(a), len(b)):
+        return 0.0
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -72,11 +80,11 @@ def spelling(a: str, b: str) -> float:
     return 1 - last[-1] / max(1, len(a), len(b))
 
 
-def alike_words(a: str, b: str) -> float:
+def alike_words(a: str, b: str, least: float = 0.0) -> float:
     """Spelling likeness; 0.95 at least where every word of a begins, by three letters or more, or is the word of b in its place."""
     x, y = a.split(), b.split()
     short = len(x) == len(y) and all(p == q or (len(p) >= 3 and q.startswith(p)) for p, q in zip(x, y))
-    return max(spelling(a, b), 0.95 if short else 0.0)
+    return max(spelling(a, b, least), 0.95 if short else 0.0)
 
 
 def _forms(rows: DataFrame, key: str, kind: str, many) -> DataFrame:
@@ -95,17 +103,18 @@ def _forms(rows: DataFrame, key: str, kind: str, many) -> DataFrame:
     return rows.select(key, "field", "text").mapInArrow(cut, f"key {kind}, field string, form string, tokens array<string>")
 
 
-def match_values(values: DataFrame, entries: DataFrame, similarity: float = 0.3, alike: float = 0.6, short: int = 3) -> DataFrame:
+def match_values(values: DataFrame, entries: DataFrame, similarity: float = 0.3, alike: float = 0.6, short: int = 3, leads: tuple[str, ...] = LEADS) -> DataFrame:
     """``field, value, ref, jaccard, alike`` for every distinct (field, value): the entry of the field it means, or ref 0.
 
     values: ``field, value``; entries: ``ref, field, text`` with a row for each name and alias (numbers from 1). A value equal to a
     form after folding is that entry. Otherwise the entry with the best mean of Jaccard and spelling likeness wins if it has
     at least ``similarity`` and ``alike``; forms of up to ``short`` characters must be equal. Ties go to the smaller ref. Null values are
-    left out; an empty or blank value has ref 0; without entries all have ref 0.
+    left out; an empty or blank value has ref 0; without entries all have ref 0. leads: folded words that may stand before a value.
     """
     plain = values.where("value is not null and field is not null").select("field", "value").distinct()
     named = plain.select(F.col("value").alias("key"), "field", F.col("value").alias("text"))
-    left = _forms(named, "key", "string", readings).distinct()
+    lead = _before(leads)
+    left = _forms(named, "key", "string", lambda x: readings(x, lead)).distinct()
     right = _forms(entries.select(F.col("ref").alias("key"), "field", "text"), "key", dict(entries.dtypes)["ref"], names).distinct()
     rarity = left.select("field", F.explode("tokens").alias("t")).unionByName(right.select("field", F.explode("tokens").alias("t"))).groupBy("field", "t").agg(F.count("*").alias("df"))
 
@@ -128,7 +137,7 @@ def match_values(values: DataFrame, entries: DataFrame, similarity: float = 0.3,
     def spell(batches):
         for batch in batches:
             f, g = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array([alike_words(*p) for p in zip(f, g)], pa.float64())], names=["field", "value", "ref", "f", "g", "jaccard", "alike"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array([alike_words(*p, least=alike) for p in zip(f, g)], pa.float64())], names=["field", "value", "ref", "f", "g", "jaccard", "alike"])
 
     spelt = scored.select("field", "value", "ref", "f", "g", "jaccard").mapInArrow(spell, f"field string, value string, ref {dict(entries.dtypes)['ref']}, f string, g string, jaccard double, alike double")
     good = spelt.where((F.col("f") == F.col("g")) | ((F.col("alike") >= alike) & (F.least(F.length("f"), F.length("g")) > short)))

@@ -82,3 +82,25 @@ def test_many_copies_stay_linear(spark):
 def test_query(spark, folder):
     rows = p4_found(spark, folder).collect()
     assert rows and all(a < b for a, b in rows) and len(rows) == len(set(rows))
+
+
+def test_hot_bands_in_blocks(spark):
+    """Bands of a third of all texts, cut in blocks before they meet, give the same candidates as uncut."""
+    from pyspark.sql import functions as F
+
+    from lexgrain.llm.near_duplicates import candidate_pairs, samples
+
+    template = " ".join(f"gabarit{i}" for i in range(60))
+    texts = [template + f" propre{k} autre{k}" for k in range(150)] + [" ".join(f"mot{k}x{i}" for i in range(60)) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    drawn = samples(df, 3, 268, None).where("id is not null").select("id", "drawn")
+    cut = {tuple(r) for r in candidate_pairs(drawn, 4, 100, cell=20, part=5000).collect()}
+    whole = {tuple(r) for r in candidate_pairs(drawn, 4, 100, cell=10**9).collect()}
+    assert cut == whole and len(whole) >= 150 * 149 // 2
+
+
+def test_every_pair_of_copies_on_demand(spark):
+    copy = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    df = spark.createDataFrame([(f"k{i:02d}", copy) for i in range(30)] + [("z", copy + " lambda")], "id string, content string")
+    got = {(r[0], r[1]) for r in near_duplicate_pairs(df, "id", similarity=0.7, expanded=None).collect()}
+    assert len(got) == 30 * 29 // 2 + 30
