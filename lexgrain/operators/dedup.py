@@ -63,9 +63,10 @@ GRAMS = 256
 
 
 def _gram_counts(text: str) -> np.ndarray:
-    """Counts of pairs of neighbouring characters, in 256 slots."""
+    """Counts of pairs of neighbouring characters, in 256 slots, 255 at most (which only brings two texts nearer)."""
     x = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.bincount(((x[:-1] * np.uint32(31) + x[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(24), minlength=GRAMS).astype(np.uint32)
+    found = np.bincount(((x[:-1] * np.uint32(31) + x[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(24), minlength=GRAMS)
+    return np.minimum(found, 255).astype(np.uint8)
 
 
 def linked(rows: DataFrame, group: list[str], key: str, text: str, threshold: float = 92.0) -> DataFrame:
@@ -92,21 +93,26 @@ def linked(rows: DataFrame, group: list[str], key: str, text: str, threshold: fl
     narrow = narrow.withColumn("b", F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(share))).cast("int"))
     left = narrow.select(*gs, *[F.col(c).alias(f"{c}1") for c in "knrs"], F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     right = narrow.select(*gs, *[F.col(c).alias(f"{c}2") for c in "knrs"], "b")
+    # the rows are few bytes, the pairs are many: partitions by number, which are not merged for being small
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    left, right = (x.repartition(parts, *gs, "b") for x in (left, right))
     met = left.join(right, [*gs, "b"]).where(((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("k1") < F.col("k2")))) & (F.col("n1") >= share * F.col("n2")))
 
     def prune(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 4000):
                 part = batch.slice(begin, 4000)
-                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(part.num_rows, GRAMS).astype(np.int32) for i in (3, 7))
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, GRAMS).astype(np.int16) for i in (3, 7))
                 most = 3 * (1 - share) * (part.column(1).to_numpy() + part.column(5).to_numpy()) + 1e-6
-                keep = pa.array(np.flatnonzero(np.abs(x - y).sum(1) <= most))
+                keep = pa.array(np.flatnonzero(np.abs(x - y).sum(1, dtype=np.int64) <= most))
                 yield pa.RecordBatch.from_arrays([part.column(i).take(keep) for i in (0, 1, 2, 4, 5, 6)], names=["k1", "n1", "r1", "k2", "n2", "r2"])
 
     facts = f"k1 {kind}, n1 int, r1 int, k2 {kind}, n2 int, r2 int"
     close = met.select("k1", "n1", "r1", "s1", "k2", "n2", "r2", "s2").mapInArrow(prune, facts).distinct()
     texts = base.select("k", "t")
-    both = close.join(texts.select(F.col("k").alias("k1"), F.col("t").alias("t1")), "k1").join(texts.select(F.col("k").alias("k2"), F.col("t").alias("t2")), "k2")
+    one = close.join(texts.select(F.col("k").alias("k1"), F.col("t").alias("t1")), "k1").repartition(parts, "k2")
+    both = one.join(texts.select(F.col("k").alias("k2"), F.col("t").alias("t2")).repartition(parts, "k2"), "k2")
 
     def score(batches):
         for batch in batches:
