@@ -162,7 +162,13 @@ def first_page(spark: SparkSession, d: str) -> DataFrame:
     return base.chunks(spark, d, "document_id", "page_number").groupBy("document_id").agg(F.min("page_number").alias("first_page"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, list_filter(string_split_regex(p, '{T.SPACES}+'), lambda x: x <> '') AS w FROM p), s AS (SELECT doc_id, i, w, unnest(range(0, len(w), 512)) AS k FROM w WHERE len(w) > 0),
+z AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS r, len(w[k + 1:k + 512]) AS n, length(array_to_string(w[k + 1:k + 512], ' ')) AS c FROM s),
+l AS (SELECT doc_id, list({{'n': n, 'no': 0, 'nos': [0]}} ORDER BY r) AS l FROM z GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN a.n + x.n > 512 THEN {{'n': x.n, 'no': a.no + 1, 'nos': list_append(a.nos, a.no + 1)}} ELSE {{'n': a.n + x.n, 'no': a.no, 'nos': list_append(a.nos, a.no)}} END).nos AS nos FROM l),
+a AS (SELECT doc_id, nos[r] AS no, sum(n) AS tokens, sum(c) + 2 * (count(*) - 1) AS chars FROM z JOIN f USING (doc_id) GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS chunk_order, tokens, chars FROM a WHERE chars >= 80""")
 def chunker(spark: SparkSession, d: str) -> DataFrame:
     return layout.token_chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_order", "tokens", F.length("content").alias("chars"))
 
