@@ -419,9 +419,13 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-SQL = {
-    "p4_found": f"""WITH c AS (SELECT DISTINCT chunk_id, content FROM chunks WHERE content IS NOT NULL), w AS (SELECT chunk_id, regexp_extract_all({folded_sql('content')}, '[a-z0-9]+') AS w FROM c),
+_PAIRS = f"""c AS (SELECT DISTINCT chunk_id, content FROM chunks WHERE content IS NOT NULL), w AS (SELECT chunk_id, regexp_extract_all({folded_sql('content')}, '[a-z0-9]+') AS w FROM c),
 r AS MATERIALIZED (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(array_to_string(w[i:i + 2], ' ')))) AS r FROM w WHERE len(w) >= 3), n AS (SELECT chunk_id, count(*) AS n FROM r GROUP BY chunk_id),
-p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS common FROM r a JOIN r b ON a.r = b.r AND a.chunk_id < b.chunk_id GROUP BY ALL)
-SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE common >= 0.5 * (x.n + y.n - common)"""
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS common FROM r a JOIN r b ON a.r = b.r AND a.chunk_id < b.chunk_id GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE common >= 0.5 * (x.n + y.n - common))"""
+SQL = {
+    "p4_found": f"WITH {_PAIRS} SELECT a AS chunk_id_a, b AS chunk_id_b FROM pairs",
+    "p4_groups": f"""WITH RECURSIVE {_PAIRS}, links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT DISTINCT a AS node, a AS other FROM links UNION SELECT reached.node, links.b FROM reached JOIN links ON links.a = reached.other),
+class AS (SELECT node, min(other) AS class_id FROM reached GROUP BY node) SELECT node AS chunk_id, class_id, links FROM class JOIN (SELECT a AS node, count(*) AS links FROM links GROUP BY a) USING (node)""",
 }
