@@ -50,8 +50,9 @@ def quality_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def corpus_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Counts of documents, chunks and embedded chunks."""
-    c = chunks.agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))
-    return documents.agg(F.count("*").alias("documents")).crossJoin(c)
+    one, none = F.lit(1), F.lit(0)
+    rows = documents.select(one.alias("d"), none.alias("c"), none.alias("e")).unionByName(chunks.select(none.alias("d"), one.alias("c"), F.col("embedding").isNotNull().cast("int").alias("e")))
+    return rows.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for x, name in (("d", "documents"), ("c", "chunks"), ("e", "embedded"))])
 
 
 def profile(kind: Column) -> Column:
