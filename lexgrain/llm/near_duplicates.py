@@ -9,18 +9,24 @@
    run come from a pool of 2**14 triples per sample, chosen by hash; ln(weight) is rounded to steps of 0.1. Both
    only make the sampling coarser by a few percent and turn each draw into one table lookup.
 4. The samples, a byte each, are written once. They are grouped in bands; texts with an equal band become candidates.
-   A band shared by many texts is cut in blocks, and pairs of blocks are spread over tasks. Candidates whose samples
-   agree far too seldom for the similarity asked for (five standard deviations) go no further.
+   A band shared by many texts is cut in blocks, and pairs of blocks are spread over tasks. Unrelated texts that share
+   a band by chance grow as the square of the corpus: every row of a band carries half bytes of 24 samples outside the band,
+   and pairs that agree in too few of them are dropped in the band, before they are written anywhere. Candidates whose
+   samples agree far too seldom for the similarity asked for (five standard deviations) go no further.
 5. Candidates are verified on the texts: weighted Jaccard of the TF-IDF runs, and Jaccard of the distinct runs.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.operators.bitmaps import bitmap, has
 from lexgrain.session import written
 from lexgrain.functions.text import folded_sql
 from lexgrain.functions.words import WordIds, mixed, runs
@@ -170,39 +176,84 @@ def samples(texts: DataFrame, n: int, k: int, idf) -> DataFrame:
     return texts.select("id", "content").mapInArrow(draw, _DRAWN)
 
 
-def _keys(batch: pa.RecordBatch, rows: int, count: int):
-    """(ids, band numbers of each): every text under its bands, a third of them from samples used before, in other company."""
+SIGNED = 24  # samples in the signature of a row of a band, half a byte each
+SHORT = (1 << 32) - 1  # the bits of an id that stand for it in the rows of bands and in candidates; those of one short id stand together
+WANTED_LOG = 24  # a bitmap of 2 MB tells the texts that are in likely pairs
+# cell: 30 bits of the band's number, two of the side
+_ENTRY = np.dtype([("cell", "<u4"), ("id", "<u4"), ("sign_low", "<u4"), ("sign", "<u8")])
+PACKED = 1_000_000  # rows of bands that are packed at a time
+
+
+@lru_cache(maxsize=8)
+def _places(k: int, rows: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which samples make each band, which others make the signature of its rows), of k samples a text."""
+    bands = np.concatenate([np.arange(k), np.random.default_rng(11).permutation(k)])[: rows * count].reshape(count, rows)
+    rng = np.random.default_rng(13)
+    return bands, np.stack([rng.permutation(np.setdiff1d(np.arange(k), own))[:SIGNED] for own in bands])
+
+
+def _keys(batch: pa.RecordBatch, rows: int, count: int, signed: bool = False):
+    """(ids, band numbers of each, signatures in two parts): every text under its bands, some of them from samples used before, in other company."""
     for k in range(0, batch.num_rows, 1000):
         part = batch.slice(k, 1000)
         s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-        again = s[:, np.random.default_rng(11).permutation(s.shape[1])]
-        s = np.concatenate([s, again], 1)[:, : rows * count].reshape(part.num_rows, count, rows).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), s.shape[:2]).copy()
+        bands, others = _places(s.shape[1], rows, count)
+        key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), (part.num_rows, count)).copy()
         for j in range(rows):
-            key = (key << np.uint64(8)) | s[:, :, j]
-        yield part.column(0).to_numpy(), mixed(key)
+            key = (key << np.uint64(8)) | s[:, bands[:, j]]
+        sign, low = np.zeros(key.shape, np.uint64), np.zeros(key.shape, np.uint32)
+        for j in range(16 * signed):
+            sign = (sign << np.uint64(4)) | (s[:, others[:, j]] & np.uint8(15))
+        for j in range(16, SIGNED * signed):
+            low = (low << np.uint32(4)) | (s[:, others[:, j]] & np.uint8(15))
+        yield part.column(0).to_numpy(), mixed(key), sign, low
+
+
+def agreeing(similarity: float) -> int:
+    """How many of a signature's samples must agree: as many as a pair at 0.9 times the similarity has in 94 of 100 bands at least."""
+    p = 0.9 * similarity + (1 - 0.9 * similarity) / 16
+    over = [sum(comb(SIGNED, i) * p**i * (1 - p) ** (SIGNED - i) for i in range(t, SIGNED + 1)) for t in range(SIGNED + 1)]
+    return max(t for t, share in enumerate(over) if share >= 0.94)
+
+
+def _unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many half bytes of two unsigned numbers differ."""
+    z = x ^ y
+    z |= z >> z.dtype.type(2)
+    z |= z >> z.dtype.type(1)
+    return np.bitwise_count(z & z.dtype.type(0x1111111111111111 & np.iinfo(z.dtype).max))
 
 
 SKETCH = 128
 
 
 def likely_pairs(pairs: DataFrame, drawn: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose first 128 samples agree as often as a similarity five standard deviations below ``similarity`` would.
+    """Of candidates (ids by their lower bits) the ``a, b`` whose first 128 samples, half a byte each, agree as often as a similarity
+    five standard deviations below ``similarity`` would.
 
     Called with 0.9 times the similarity asked for: a pair at exactly 0.5 is lost with a chance under 1e-9, above it less.
     """
-    least = SKETCH * similarity - 5 * np.sqrt(SKETCH * similarity * (1 - similarity))
+    p = similarity + (1 - similarity) / 16
+    least = SKETCH * p - 5 * np.sqrt(SKETCH * p * (1 - p))
+
+    def halved(batches):
+        for batch in batches:
+            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, :SKETCH] & np.uint8(15)
+            both = (s[:, ::2] << np.uint8(4)) | s[:, 1::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in both], pa.binary())], names=["id", "s"])
 
     def agree(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = np.flatnonzero((x == y).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+            keep = pa.array(np.flatnonzero(SKETCH - _unlike(x, y).sum(1, dtype=np.int64) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (0, 1)], names=["a", "b"])
 
-    short = drawn.groupBy("id").agg(F.first(F.substring("drawn", 1, SKETCH)).alias("s"))
-    left = pairs.join(short.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    both = left.join(short.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(agree, "a long, b long")
+    short = drawn.mapInArrow(halved, "id long, s binary").groupBy("id").agg(F.first("s").alias("s"))
+    short = short.select("id", "s", F.col("id").bitwiseAND(SHORT).alias("of")).repartition("of")
+    left = pairs.join(short.select(F.col("of").alias("a"), F.col("id").alias("i"), F.col("s").alias("x")), "a")
+    both = left.join(short.select(F.col("of").alias("b"), F.col("id").alias("j"), F.col("s").alias("y")), "b")
+    likely = both.select("i", "j", "x", "y").mapInArrow(agree, "a long, b long")
+    return likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def crowded(drawn: DataFrame, rows: int, count: int) -> tuple[np.ndarray, int]:
@@ -211,7 +262,7 @@ def crowded(drawn: DataFrame, rows: int, count: int) -> tuple[np.ndarray, int]:
     def add(batches):
         counters = np.zeros(1 << COUNTERS_LOG, np.int64)
         for batch in batches:
-            for s, key in _keys(batch, rows, count):
+            for _, key, _, _ in _keys(batch, rows, count):
                 counters += np.bincount(_slots(key.ravel()), minlength=len(counters))
         at = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counters[at], counters.sum()))], names=["at", "n"])
@@ -219,12 +270,12 @@ def crowded(drawn: DataFrame, rows: int, count: int) -> tuple[np.ndarray, int]:
     return _counters(drawn.select("id", "drawn").mapInArrow(add, "at long, n long"))
 
 
-def candidate_pairs(drawn: DataFrame, rows: int, count: int, part: int = 4_000_000, cell: int = 20_000) -> DataFrame:
-    """Distinct ``a, b`` (a < b) that share a band.
+def candidate_pairs(drawn: DataFrame, rows: int, count: int, part: int = 4_000_000, cell: int = 20_000, similarity: float = 0.5) -> DataFrame:
+    """Distinct ``a, b`` (a < b), by the lower 32 bits of the ids, that share a band and whose signatures in it agree as ``similarity`` asks (``agreeing``).
 
     Bands that may be hot (their slot holds ``cell`` rows more than the average slot) are cut before the shuffle: each text
     takes one of the blocks of about ``cell`` rows, and each pair of blocks is a cell of its own, so no task receives more of
-    a band than two blocks. Partitions are as many as the rows ask for, about ``part`` rows each.
+    a band than two blocks. Partitions are as many as the rows ask for, about ``part`` rows each. Rows travel packed, 20 bytes each.
     """
     spark = drawn.sparkSession
     load, total = crowded(drawn, rows, count)
@@ -232,73 +283,92 @@ def candidate_pairs(drawn: DataFrame, rows: int, count: int, part: int = 4_000_0
     blocks[load - total // len(load) < cell] = 1
     shared = spark.sparkContext.broadcast(blocks)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-total // part)))
+    most = SIGNED - agreeing(similarity)
 
     def place(batches):
-        blocks = shared.value
+        blocks, held, rows_held = shared.value, [], 0
         for batch in batches:
-            for own, key in _keys(batch, rows, count):
-                who, band = np.repeat(own, count), key.ravel()
+            for own, key, sign, low in _keys(batch, rows, count, True):
+                who, band, sign, low = np.repeat(own, count), key.ravel(), sign.ravel(), low.ravel()
                 many = blocks[_slots(band)]
                 cold = many == 1
-                yield _placed(band[cold], who[cold], np.zeros(int(cold.sum()), np.int8))
+                held.append((band[cold], who[cold], sign[cold], low[cold], np.zeros(int(cold.sum()), np.uint32)))
+                rows_held += len(held[-1][0])
                 hot = np.flatnonzero(~cold)
                 for i in hot.tolist():
                     m = int(many[i])
                     mine = int(mixed(who[i : i + 1].view(np.uint64))[0] % np.uint64(m))
                     other = np.arange(m)
-                    low, high = np.minimum(other, mine).astype(np.uint64), np.maximum(other, mine).astype(np.uint64)
-                    names = mixed(band[i] + mixed(low * np.uint64(1 << 20) + high + np.uint64(1)))
-                    yield _placed(names, np.full(m, who[i]), np.where(other == mine, 0, np.where(other > mine, 1, 2)).astype(np.int8))
+                    first, last = np.minimum(other, mine).astype(np.uint64), np.maximum(other, mine).astype(np.uint64)
+                    names = mixed(band[i] + mixed(first * np.uint64(1 << 20) + last + np.uint64(1)))
+                    held.append((names, np.full(m, who[i]), np.full(m, sign[i]), np.full(m, low[i]), np.where(other == mine, 0, np.where(other > mine, 1, 2)).astype(np.uint32)))
+                    rows_held += m
+                if rows_held >= PACKED:
+                    yield _packed(held, parts)
+                    held, rows_held = [], 0
+        if held:
+            yield _packed(held, parts)
 
     def group(batches):
-        got = [b for b in batches if b.num_rows]
+        got = [np.frombuffer(x, _ENTRY) for b in batches for x in b.column(0).to_pylist()]
         if not got:
             return
-        band, own, side = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
-        del got
-        order = np.lexsort((own, band))
-        band, own, side = band[order], own[order], side[order]
+        got = np.concatenate(got)
+        order = np.lexsort((got["id"], got["cell"] >> np.uint32(2)))
+        cell, own = got["cell"][order], got["id"][order].astype(np.int64)
+        band, side = cell >> np.uint32(2), cell & np.uint32(3)
         keep = np.append(True, (band[1:] != band[:-1]) | (own[1:] != own[:-1]))
-        band, own, side = band[keep], own[keep], side[keep]
+        band, side, own, order = band[keep], side[keep], own[keep], order[keep]
+        sign, low = got["sign"][order], got["sign_low"][order]
+        del got, order, cell
         begin = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
         sizes = np.diff(np.append(begin, len(band)))
-        two = begin[(sizes == 2) & (side[begin] == 0)]
-        a, b = own[two], own[two + 1]
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        for k in range(0, len(pair), 20_000):
-            yield _blocks([x[:1] for x in pair[k : k + 20_000]], [x[1:] for x in pair[k : k + 20_000]])
-        left, right, held = [], [], 0
-        for s, m in zip(begin[sizes > 1], sizes[sizes > 1]):
+        # whole bands of up to BLOCK rows: every row with the next one of its band, with the one after that, and so on
+        few = (sizes <= BLOCK) & (side[begin] == 0)
+        after = np.repeat(np.where(few, begin + sizes, 0), sizes) - np.arange(len(band)) - 1
+        at, step = np.flatnonzero(after > 0), 1
+        while len(at):
+            for k in range(0, len(at), 1 << 18):
+                x = at[k : k + (1 << 18)]
+                x = x[_unlike(sign[x], sign[x + step]) + _unlike(low[x], low[x + step]) <= most]
+                if len(x):
+                    yield _paired(own[x], own[x + step])
+            step += 1
+            at = at[after[at] >= step]
+        for s, m in zip(begin[~few], sizes[~few]):
             if side[s] == 0:
-                if m == 2:
-                    continue
-                met = [(own[i : min(i + BLOCK, s + m)], own[j : min(j + BLOCK, s + m)]) for i in range(s, s + m, BLOCK) for j in range(i, s + m, BLOCK)]
+                met = ((np.arange(i, min(i + BLOCK, s + m)), np.arange(j, min(j + BLOCK, s + m))) for i in range(s, s + m, BLOCK) for j in range(i, s + m, BLOCK))
             else:
-                x, y = own[s : s + m][side[s : s + m] == 1], own[s : s + m][side[s : s + m] == 2]
-                met = [(x[i : i + BLOCK], y[j : j + BLOCK]) for i in range(0, len(x), BLOCK) for j in range(0, len(y), BLOCK)]
+                x, y = s + np.flatnonzero(side[s : s + m] == 1), s + np.flatnonzero(side[s : s + m] == 2)
+                met = ((x[i : i + BLOCK], y[j : j + BLOCK]) for i in range(0, len(x), BLOCK) for j in range(0, len(y), BLOCK))
             for x, y in met:
-                left.append(x)
-                right.append(y)
-                held += len(x) + len(y)
-                if held > 100_000:
-                    yield _blocks(left, right)
-                    left, right, held = [], [], 0
-        if left:
-            yield _blocks(left, right)
+                i, j = np.nonzero(_unlike(sign[x][:, None], sign[y][None, :]) + _unlike(low[x][:, None], low[y][None, :]) <= most)
+                if x[0] == y[0]:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield _paired(own[x[i]], own[y[j]])
 
-    banded = drawn.select("id", "drawn").mapInArrow(place, "band long, id long, side byte")
-    blocked = banded.repartition(parts, "band").mapInArrow(group, "left array<long>, right array<long>")
-    pairs = blocked.select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y")).where("x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    packed = drawn.select("id", "drawn").mapInArrow(place, "part int, rows binary")
+    return packed.repartitionById(parts, "part").select("rows").mapInArrow(group, "a long, b long").repartition("a").distinct()
 
 
-def _placed(band: np.ndarray, who: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(who), pa.array(side)], names=["band", "id", "side"])
+def _packed(held: list, parts: int) -> pa.RecordBatch:
+    """A row for each partition that gets any of the rows (name of the cell, id, signature, side)."""
+    name, who, sign, low, side = (np.concatenate([h[k] for h in held]) for k in range(5))
+    at = ((name & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32 if parts > 65_535 else np.uint16)
+    order = np.argsort(at, kind="stable")
+    rows = np.empty(len(name), _ENTRY)
+    # the lowest of the 30 bits keeps cells of two sides apart from whole ones, should the others be equal
+    number = ((name >> np.uint64(35)) << np.uint64(1)) | (side > 0)
+    rows["cell"] = ((number << np.uint64(2)) | side).astype(np.uint32)[order]
+    rows["id"], rows["sign"], rows["sign_low"] = (who[order] & SHORT).astype(np.uint32), sign[order], low[order]
+    ends = np.flatnonzero(np.append(np.diff(at[order].astype(np.int64)) > 0, True)) + 1
+    begins = np.append(0, ends[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(at[order][begins].astype(np.int32)), pa.array([rows[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary())], names=["part", "rows"])
 
 
-def _blocks(left: list, right: list) -> pa.RecordBatch:
-    kind = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in left], kind), pa.array([x.tolist() for x in right], kind)], names=["left", "right"])
+def _paired(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def _verify(pairs: DataFrame, n: int, idf) -> DataFrame:
@@ -346,7 +416,7 @@ def _classes(rows: DataFrame, content: str, n: int, similarity: float, measure:
     """(the pairs of classes, the samples of every class that has a word)."""
     spark = rows.sparkSession
     texts = rows.where(F.col(content).isNotNull()).select(F.xxhash64(content).alias("id"), F.col(content).alias("content"))
-    k = max(SKETCH, band_rows * ((2 * band_count + 2) // 3))
+    k = max(SKETCH, band_rows * ((4 * band_count + 4) // 5))
     if measure == "weighted":
         counters, total = run_frequencies(texts.select("content"), n)
         idf = spark.sparkContext.broadcast(_idf(counters, total))
@@ -356,11 +426,17 @@ def _classes(rows: DataFrame, content: str, n: int, similarity: float, measure:
         counted = drawn.where("id is null").select(F.explode(F.arrays_zip("at", "n")).alias("c")).select("c.at", "c.n")
         idf = spark.sparkContext.broadcast(_idf(*_counters(counted)))
     drawn = drawn.where("id is not null").select("id", "drawn")
-    pairs = likely_pairs(candidate_pairs(drawn, band_rows, band_count), drawn, 0.9 * similarity)
-    one = texts.groupBy("id").agg(F.first("content").alias("content"))
+    pairs = written(likely_pairs(candidate_pairs(drawn, band_rows, band_count, similarity=similarity), drawn, 0.9 * similarity), "likely")
+    bits = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", WANTED_LOG))
+
+    def asked(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has(bits.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    one = texts.mapInArrow(asked, texts.schema).groupBy("id").agg(F.first("content").alias("content"))
     left = pairs.join(one.select(F.col("id").alias("a"), F.col("content").alias("x")), "a")
     both = left.join(one.select(F.col("id").alias("b"), F.col("content").alias("y")), "b").select("a", "b", "x", "y")
-    return _verify(both, n, idf).where(F.col(measure) >= similarity), drawn
+    return written(_verify(both, n, idf).where(F.col(measure) >= similarity), "links"), drawn
 
 
 def near_duplicate_pairs(

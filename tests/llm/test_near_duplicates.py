@@ -104,3 +104,41 @@ def test_every_pair_of_copies_on_demand(spark):
     df = spark.createDataFrame([(f"k{i:02d}", copy) for i in range(30)] + [("z", copy + " lambda")], "id string, content string")
     got = {(r[0], r[1]) for r in near_duplicate_pairs(df, "id", similarity=0.7, expanded=None).collect()}
     assert len(got) == 30 * 29 // 2 + 30
+
+
+def test_chance_candidates_stay_in_their_bands(spark):
+    """Texts of one small vocabulary share bands by chance, as the square of their number: such pairs don't leave the bands."""
+    from lexgrain.llm.near_duplicates import candidate_pairs, samples
+
+    rng = random.Random(3)
+    phrases = [" ".join(f"p{i}m{k}" for k in range(5)) for i in range(60)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(16)) for _ in range(1500)]
+    near = [" ".join(t.split()[:70] + [f"fin{i}"]) for i, t in enumerate(texts[:50])]
+    df = spark.createDataFrame(list(enumerate(texts + near)), "id long, content string")
+    drawn = samples(df, 3, 268, None).where("id is not null").select("id", "drawn")
+    got = {tuple(r) for r in candidate_pairs(drawn, 4, 100).collect()}
+    assert got >= {(i, 1500 + i) for i in range(50)}
+    assert len(got) < 3000
+
+
+def test_equal_lower_bits_of_ids(spark):
+    """Candidates name ids by their lower bits; the pairs are told apart by the whole ids."""
+    from lexgrain.llm.near_duplicates import candidate_pairs, likely_pairs, samples
+
+    a, b = ((" ".join(f"{x}{i}" for i in range(60))) for x in "ab")
+    data = [(5, a), (7, a + " fin"), (5 + (1 << 40), b), (-(1 << 50) + 9, b + " fin")]
+    drawn = samples(spark.createDataFrame(data, "id long, content string"), 3, 320, None).where("id is not null").select("id", "drawn")
+    got = {tuple(r) for r in likely_pairs(candidate_pairs(drawn, 4, 100), drawn, 0.45).collect()}
+    assert got == {(5, 7), (-(1 << 50) + 9, 5 + (1 << 40))}
+
+
+def test_bitmap(spark):
+    import numpy as np
+
+    from lexgrain.operators.bitmaps import bitmap, has
+
+    own = np.array([0, 1, -1, 2**62, -(2**62), 123 << 40], np.int64)
+    words = bitmap(spark.createDataFrame([(int(x),) for x in own] + [(None,)], "id long"), "id", 20)
+    assert len(words) == 1 << 14
+    assert has(words, own.view(np.uint64)).all()
+    assert has(words, (np.arange(1 << 20).astype(np.uint64) << np.uint64(44))).sum() == len(set((own.view(np.uint64) >> np.uint64(44)).tolist()))
