@@ -21,26 +21,12 @@ from pyspark.sql import functions as F
 
 from lexgrain.functions.text import folded_sql
 from lexgrain.functions.words import WordIds, runs
+from lexgrain.operators.bitmaps import bitmap, has
 from lexgrain.session import written
 
 BITS = 23
-
-
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _bitmap(terms: DataFrame) -> np.ndarray:
-    """One bit per upper bits of the terms: at most 2**23 numbers reach the driver, a 1 MB map goes out."""
-    at = terms.select(F.shiftrightunsigned("term", 64 - BITS).alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)
-    bits = np.zeros(1 << BITS, bool)
-    bits[at] = True
-    return np.packbits(bits)
-
-
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _bit(h)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+#: A bitmap of 2 MB tells the documents whose texts are asked for.
+DOCS_BITS = 24
 
 
 def postings(corpus: DataFrame, bits, gram: int) -> DataFrame:
@@ -54,7 +40,7 @@ def postings(corpus: DataFrame, bits, gram: int) -> DataFrame:
                 terms, rows, places = [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     h = runs(ids.of(text), gram)
-                    at = np.flatnonzero(_has(bits.value, h)) if len(h) else h
+                    at = np.flatnonzero(has(bits.value, h)) if len(h) else h
                     if len(at):
                         terms.append(h[at])
                         places.append(at.astype(np.int32))
@@ -118,10 +104,6 @@ def near_window(a: np.ndarray, b: np.ndarray, offset: int, width: int, near: flo
     return int(good[0]) if len(good) else -1
 
 
-#: Up to so many documents, their keys are sent to every task instead of the texts being shuffled.
-FEW_DOCUMENTS = 200_000
-
-
 def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 18, anchors: int = 4, agree: int = 2, gram: int = 4, near: float = 0.8, slack: int = 4) -> DataFrame:
     """``doc, item, match, run_words, doc_place, item_place``, one row for each document and test text that meet.
 
@@ -133,7 +115,7 @@ def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, i
     items = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("text")).dropDuplicates(["item"])
     spark = corpus.sparkSession
     terms = written(_item_terms(items, gram), "test-terms")
-    index = written(postings(corpus, spark.sparkContext.broadcast(_bitmap(terms)), gram), "postings")
+    index = written(postings(corpus, spark.sparkContext.broadcast(bitmap(terms, "term", BITS)), gram), "postings")
     frequent = index.groupBy("term").agg(F.count("*").alias("df"))
     known = terms.join(frequent, "term", "left").select("item", "place", "term", F.coalesce("df", F.lit(0)).alias("df"))
     chosen = written(_anchors(known, run - gram + 1, anchors), "anchors")
@@ -141,9 +123,15 @@ def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, i
     agreed = met.groupBy("doc", "item", (F.col("p") - F.col("place")).alias("offset")).agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= F.least(F.col("n"), F.lit(agree)))
     # at most as many offsets as the document has words
     spots = written(agreed.groupBy("doc", "item").agg(F.collect_set("offset").alias("offsets")), "spots")
-    docs = spots.select("doc").distinct()
-    docs = F.broadcast(docs) if docs.limit(FEW_DOCUMENTS + 1).count() <= FEW_DOCUMENTS else docs
-    texts = corpus.join(docs, "doc", "left_semi").withColumnRenamed("text", "t")
+    # neither the keys of these documents nor their pairs with test texts go through the driver: both grow with the corpus
+    held = spark.sparkContext.broadcast(bitmap(spots.select(F.xxhash64("doc").alias("id")), "id", DOCS_BITS))
+
+    def asked(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has(held.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    named = corpus.select(F.xxhash64("doc").alias("id"), "doc", F.col("text").alias("t"))
+    texts = named.mapInArrow(asked, named.schema).drop("id")
 
     def judge(batches):
         ids = WordIds()
@@ -172,7 +160,7 @@ def leaks(corpus: DataFrame, doc: str, text: str, items: DataFrame, item: str, i
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array([o[k + 1] for o in out], kinds[k]) for k in range(4)]], names=["doc", "item", "match", "run_words", "doc_place", "item_place"])
 
     types = dict(spots.dtypes)
-    pairs = spots.join(items.withColumnRenamed("text", "u"), "item").join(texts, "doc").select("doc", "item", "offsets", "t", "u")
+    pairs = spots.hint("merge").join(texts, "doc").join(items.withColumnRenamed("text", "u"), "item").select("doc", "item", "offsets", "t", "u")
     judged = pairs.mapInArrow(judge, f"doc {types['doc']}, item {types['item']}, match string, run_words int, doc_place int, item_place int")
     rest = [F.col(c) for c in ("match", "run_words", "doc_place", "item_place")]
     one = judged.groupBy("doc", "item").agg(F.max_by(F.struct(*rest), F.struct("run_words", "doc_place")).alias("r"))

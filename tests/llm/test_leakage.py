@@ -63,3 +63,13 @@ def test_looping_text_and_hot_terms(spark):
     docs = [(0, (t + " ") * 300)] + [(i, f"debut {i} " + t) for i in range(1, 400)] + [(1000 + i, f"rien de commun {i}") for i in range(50)]
     got = leaks(spark.createDataFrame(docs, "d long, text string"), "d", "text", spark.createDataFrame([(1, t)], "i long, text string"), "i", "text")
     assert {(r["d"], r["match"], r["run_words"]) for r in got.collect()} == {(i, "exact", 20) for i in range(400)}
+
+
+def test_no_broadcast_grows_with_the_corpus(spark):
+    """Documents that meet test texts are joined to their texts by a shuffle, few as they are: their pairs would pass through the driver."""
+    t = " ".join(f"c{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, f"debut {i} " + t) for i in range(300)] + [(1000 + i, f"rien de commun {i}") for i in range(50)], "d long, text string")
+    got = leaks(docs, "d", "text", spark.createDataFrame([(1, t)], "i long, text string"), "i", "text")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc" in plan and "BroadcastExchange" not in plan
+    assert {r["d"] for r in got.collect()} == set(range(300))
