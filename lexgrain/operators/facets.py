@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions.text import folded, unaccented
+from lexgrain.session import small
 
 # The only columns that a filter may name.
 FILTERABLE = ("subject", "level", "track", "cycle", "language", "document_type")
@@ -70,13 +71,14 @@ def containing(texts: DataFrame, values: DataFrame) -> DataFrame:
     """The pairs of texts (with ``_q``) and values (with ``_d``, not empty) where the text contains the value.
 
     An equality join on the first three letters of the value (fewer for shorter ones) with the letters at every place of the
-    text; neither side is broadcast by force, and stored values typed in many ways may be many.
+    text. The exploded texts are many times the table they come from, which Spark's estimate does not know, so they are never the
+    side that is broadcast; the values are, as long as they are counted to be few.
     """
     n = F.length("_q")
     grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(F.col("_q"), i, k))).otherwise(F.array().cast("array<string>"))))
     spread = texts.withColumn("_g", F.explode(F.array_distinct(grams)))
     keyed = values.where(F.length("_d") > 0).withColumn("_g", F.left("_d", F.lit(3)))
-    return spread.join(keyed, "_g").where(F.col("_q").contains(F.col("_d"))).drop("_g")
+    return spread.join(small(keyed), "_g").where(F.col("_q").contains(F.col("_d"))).drop("_g")
 
 
 def mentioned(questions: DataFrame, key: str, question: str, values: DataFrame) -> DataFrame:

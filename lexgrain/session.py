@@ -82,8 +82,9 @@ SMALL = 100_000
 
 
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """The frame, marked for broadcast if it is counted to have at most ``most`` rows; a join falls back on a shuffle beyond that."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """The frame, marked for broadcast if it is counted to have at most ``most`` rows; beyond that a join is marked for a shuffle, as Spark
+    would go by the size of files, and send what is small on disk to the driver."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 class Kept:

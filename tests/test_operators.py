@@ -282,3 +282,28 @@ def test_shared_folder_on_a_cluster():
     context = N(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(N(conf=N(get=lambda *_: None), sparkContext=context))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_texts_are_never_broadcast(spark):
+    """One text against many values: the letters of the texts are the larger side, though Spark estimates them to be the smaller."""
+    from lexgrain.operators import facets
+
+    texts = spark.createDataFrame([(1, "le cours de svt"), (2, "rien")], "_key int, _q string")
+    values = spark.createDataFrame([("svt",)] + [(f"value number {i}",) for i in range(5000)], "_d string")
+    got = facets.containing(texts, values)
+    assert "BuildRight" in _plan(got) and "BuildLeft" not in _plan(got)
+    assert [tuple(r) for r in got.collect()] == [(1, "le cours de svt", "svt")]
+
+
+def test_what_is_counted_as_large_is_not_broadcast(spark):
+    from lexgrain.session import small
+
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    of = lambda n: spark.range(n).withColumnRenamed("id", "k")
+    assert "BroadcastHashJoin" in _plan(rows.join(small(of(10), 10), "k", "left_semi"))
+    large = rows.join(small(of(11), 10), "k", "left_semi")
+    assert "BroadcastHashJoin" not in _plan(large) and large.count() == 11
