@@ -307,3 +307,41 @@ def test_what_is_counted_as_large_is_not_broadcast(spark):
     assert "BroadcastHashJoin" in _plan(rows.join(small(of(10), 10), "k", "left_semi"))
     large = rows.join(small(of(11), 10), "k", "left_semi")
     assert "BroadcastHashJoin" not in _plan(large) and large.count() == 11
+
+
+def test_near_duplicates_meet_in_blocks(spark):
+    """Every pair of a group, over blocks and length buckets of any size, against all pairs; a pair is no row before its counts are near."""
+    import random
+
+    rng = random.Random(7)
+    base = "la structure du roman est décrite par le groupe et la classe répond à la question posée par le maître"
+    rows = []
+    for i in range(90):
+        t = list((base * 2)[: 150 + rng.randrange(50)])
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = rng.choice("abcdefgh ")
+        rows.append((f"k{i:02d}", rng.choice(["s", "t", None]), "".join(t), "high"))
+    rows += [("a1", "s", "a", "low"), ("a2", "s", "a", "low"), ("a3", "s", "é", "low"), ("a4", "s", "", "low"), ("a5", "alone", base, "low")]
+    df = spark.createDataFrame(rows, "k string, s string, t string, reliability string")
+    order = sorted(rows, key=lambda r: (len(r[2]), r[0]))
+    want = {(a[0], b[0]) for i, a in enumerate(order) for b in order[i + 1 :] if a[1] == b[1] and a[2] and len(a[2]) >= 0.92 * len(b[2]) and dedup.indel_ratio(a[2], b[2]) >= 92}
+    assert len(want) > 30 and ("a1", "a2") in want
+    for block in (3, 7, 4000):
+        found = dedup.linked(df, ["s"], "k", "t", 92.0, block)
+        assert sorted((r["k1"], r["k2"]) for r in found.collect()) == sorted(want)
+
+
+def test_indel_ratio_stops_only_where_it_cannot_reach(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(600):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(1, 200))]
+        b = list(a)
+        for _ in range(rng.randrange(60)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "bc"])
+        a, b, least = "".join(a), "".join(b), rng.choice([60.0, 80.0, 92.0])
+        whole, got = dedup.indel_ratio(a, b), dedup.indel_ratio(a, b, least)
+        assert got == (whole if whole >= least else 0.0)
+    assert dedup.lcs_length("a" * 99 + "b" * 99, "b" * 99 + "a" * 99, 150) == 0
