@@ -73,7 +73,8 @@ def _best(spark: SparkSession, d: str, k: int | None = 30, **facets: str) -> Dat
     folded = {f"c_{c}": T.unaccented(c) for c in facets}
     req = base.requests(spark, d).select("query_id", "question", *[T.unaccented(c).alias(f"q_{c}") for c in facets])
     if asked is not None:
-        rows = base.chunks(spark, d, hits=lexical_search.hits("indexed_content", asked), **folded)
+        # written, as every block of requests reads them
+        rows = written(base.chunks(spark, d, hits=lexical_search.hits("indexed_content", asked), **folded).drop("created_at"), "hits")
         return lexical_search.best_matches(rows, "chunk_id", "hits", req, "query_id", "question", k, {f"c_{c}": f"q_{c}" for c in facets})
     # more different terms than a task should hold: the terms of texts and questions meet in a join
     rows = base.chunks(spark, d, hits=lexical_search.hits("indexed_content", None), **folded).drop("created_at")
